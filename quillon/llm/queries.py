@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from quillon.llm import sharding
+from quillon.llm import mixing, rules, sharding
 from quillon.llm._common import table
 
 
+def op7_tree_mix(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_adaptive_rules(spark, sf_dir):
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_ring_shards": op10_ring_shards}
-SQL = {}
+QUERIES = {f.__name__: f for f in (op7_tree_mix, op9_adaptive_rules, op10_ring_shards)}
+SQL = {"op7_tree_mix": mixing.SQL, "op9_adaptive_rules": rules.SQL}
