@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, rules, sharding
+from quillon.llm import decontaminate, mixing, rules, sharding, simhash
 from quillon.llm._common import table
 
 
+def op1_simhash_classes(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op3_fm_decontamination(spark, sf_dir):
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_tree_mix(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -19,5 +27,5 @@ def op10_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_tree_mix, op9_adaptive_rules, op10_ring_shards)}
-SQL = {"op7_tree_mix": mixing.SQL, "op9_adaptive_rules": rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_classes, op3_fm_decontamination, op7_tree_mix, op9_adaptive_rules, op10_ring_shards)}
+SQL = {"op3_fm_decontamination": decontaminate.SQL, "op7_tree_mix": mixing.SQL, "op9_adaptive_rules": rules.SQL}

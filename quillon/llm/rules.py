@@ -24,7 +24,7 @@ from quillon.llm._common import saved
 SPACE = r"[ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
 #: measure: (spread in interquartile ranges, slack, also a lower fence)
-FENCES = {"symbols": (3, 150, False), "shouts": (3, 800, False), "dup_lines": (3, 100, False), "repeats": (3, 1500, False), "word_length": (3, 200, True)}
+FENCES = {"symbols": (3, 150, False), "shouts": (3, 800, False), "dup_lines": (3, 600, False), "repeats": (3, 3500, False), "word_length": (3, 200, True)}
 LEAST = 200
 #: Of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
