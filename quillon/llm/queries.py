@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, mixing, rules, sharding, simhash
+from quillon.llm import decontaminate, mixing, repeats, rules, sharding, simhash
 from quillon.llm._common import table
 
 
@@ -14,6 +14,10 @@ def op3_fm_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_induced_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_tree_mix(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_classes, op3_fm_decontamination, op7_tree_mix, op9_adaptive_rules, op10_ring_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_classes, op3_fm_decontamination, op6_induced_repeats, op7_tree_mix, op9_adaptive_rules, op10_ring_shards)}
 SQL = {"op3_fm_decontamination": decontaminate.SQL, "op7_tree_mix": mixing.SQL, "op9_adaptive_rules": rules.SQL}
