@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Strings below this length are sorted by doubling.
-SMALL = 4096
+SMALL = 100_000
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
@@ -44,62 +44,49 @@ def classify(text: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _deal(lists: list[list[np.ndarray]], places: np.ndarray, symbols: np.ndarray) -> None:
-    """Appends places to the lists of their symbols, in order."""
-    if len(places):
+def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, alphabet: int) -> np.ndarray:
+    """All suffixes in the order that the LMS suffixes ``seeds``, in their order, induce."""
+    count = np.bincount(text, minlength=alphabet)
+    ends = np.cumsum(count)
+    starts = ends - count
+    middle = starts + np.bincount(text[~small], minlength=alphabet)
+    out = np.zeros(len(text), np.int32)
+    used = np.flatnonzero(count).tolist()
+    seeds = seeds[np.argsort(text[seeds], kind="stable")]
+    seed_end = np.cumsum(np.bincount(text[seeds], minlength=alphabet)).tolist()
+    free = starts.copy()
+
+    def deal(before: np.ndarray, up: bool) -> None:
+        """Puts suffixes into the free places of their symbols, in order."""
+        if not len(before):
+            return
+        symbols = text[before]
         order = np.argsort(symbols, kind="stable")
         s = symbols[order]
-        cuts = np.flatnonzero(s[1:] != s[:-1]) + 1
-        for c, part in zip(s[np.concatenate([[0], cuts])].tolist(), np.split(places[order], cuts)):
-            lists[c].append(part)
-
-
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.int32)
-
-
-def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, alphabet: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """From the LMS suffixes ``seeds`` in order, each symbol's L suffixes in order and its S suffixes in reverse order."""
-    n = len(text)
-    larger: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
-    smaller: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
-    own: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
-    _deal(own, seeds, text[seeds])
-    larger[int(text[n - 1])].append(np.array([n - 1], np.int32))
-    up = []
-    for c in range(alphabet):
-        done, wave = [], _joined(larger[c])
-        while len(wave):
-            done.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[~small[before]]
-            s = text[before]
-            same = s == c
-            wave = before[same]
-            _deal(larger, before[~same], s[~same])
-        up.append(_joined(done))
-        before = _joined(own[c])
-        before = before[before > 0] - 1
-        _deal(larger, before, text[before])
-        larger[c] = []
-    down: list[np.ndarray] = [np.zeros(0, np.int32)] * alphabet
-    for c in range(alphabet - 1, -1, -1):
-        done, wave = [], _joined(smaller[c])
-        while len(wave):
-            done.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[small[before]]
-            s = text[before]
-            same = s == c
-            wave = before[same]
-            _deal(smaller, before[~same], s[~same])
-        down[c] = _joined(done)
-        before = up[c][::-1]
-        before = before[before > 0] - 1
-        before = before[small[before]]
-        _deal(smaller, before, text[before])
-        smaller[c] = []
-    return up, down
+        n = np.bincount(s, minlength=alphabet)
+        rank = np.arange(len(s)) - (np.cumsum(n) - n)[s]
+        out[free[s] + rank if up else free[s] - 1 - rank] = before[order]
+        np.add(free, n if up else -n, out=free)
+
+    def left_of(wave: np.ndarray, kind: bool) -> np.ndarray:
+        before = wave[wave > 0] - 1
+        return before[small[before] == kind]
+
+    deal(np.array([len(text) - 1], np.int32), True)
+    for c in used:
+        a = int(starts[c])
+        while a < free[c]:
+            a, wave = int(free[c]), out[a : int(free[c])]
+            deal(left_of(wave, False), True)
+        deal(left_of(seeds[seed_end[c - 1] if c else 0 : seed_end[c]], False), True)
+    free = ends.copy()
+    for c in reversed(used):
+        b = int(ends[c])
+        while b > free[c]:
+            b, wave = int(free[c]), out[int(free[c]) : b][::-1]
+            deal(left_of(wave, True), False)
+        deal(left_of(out[int(starts[c]) : int(middle[c])][::-1], True), False)
+    return out
 
 
 def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -124,10 +111,9 @@ def suffix_array(text: np.ndarray, alphabet: int = 256) -> np.ndarray:
     small = classify(text)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
-        _, down = induce(text, small, lms, alphabet)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
-        order = np.concatenate([d[::-1] for d in down])
+        order = induce(text, small, lms, alphabet)
         order = order[is_lms[order]]
         size = np.zeros(n, np.int32)
         size[lms[:-1]] = np.diff(lms) + 1
@@ -147,8 +133,7 @@ def suffix_array(text: np.ndarray, alphabet: int = 256) -> np.ndarray:
             order = lms[inner[inner % 2 == 0] // 2]
     else:
         order = lms
-    up, down = induce(text, small, order, alphabet)
-    return np.concatenate([x for c in range(alphabet) for x in (up[c], down[c][::-1])])
+    return induce(text, small, order, alphabet)
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
