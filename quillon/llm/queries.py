@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, mixing, repeats, rules, sharding, simhash
+from quillon.llm import decontaminate, language_model, mixing, repeats, rules, sharding, simhash
 from quillon.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op7_tree_mix(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_class_maxent(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_adaptive_rules(spark, sf_dir):
     judged = rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -31,5 +35,5 @@ def op10_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_classes, op3_fm_decontamination, op6_induced_repeats, op7_tree_mix, op9_adaptive_rules, op10_ring_shards)}
+QUERIES = {f.__name__: f for f in (op1_simhash_classes, op3_fm_decontamination, op6_induced_repeats, op7_tree_mix, op8_class_maxent, op9_adaptive_rules, op10_ring_shards)}
 SQL = {"op3_fm_decontamination": decontaminate.SQL, "op7_tree_mix": mixing.SQL, "op9_adaptive_rules": rules.SQL}
