@@ -25,6 +25,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session's Arrow batches of ``rows`` rows unless it set another size than Spark's 10,000.
+
+    Spark bounds a batch by rows, not bytes; texts are long, and the JVM and the
+    Python worker each hold a batch more than once.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(rows))
+    return df
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and its n + 1 offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import ALNUM, LOWER, pieces, prefix_hash, span_hash, text_buffer, word_spans
+from quillon.llm._common import ALNUM, LOWER, bounded_batches, pieces, prefix_hash, span_hash, text_buffer, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -246,7 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     out; repeated rows are judged alike; an empty benchmark hits nothing.
     """
     blocks = _blocks(benchmark, window)
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    slim = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
 
     def run(batches):
         for b in batches:

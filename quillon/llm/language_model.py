@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import LOWER, NOT_SPACE, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
+from quillon.llm._common import LOWER, NOT_SPACE, bounded_batches, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
 
 HEAD = 1 << 18
 GROUPED, CONTEXTS = 8192, 63
@@ -328,7 +328,7 @@ def score_documents(docs: DataFrame, folds: int = 10, head_size: int = HEAD, ste
     row; repeated rows count and are scored each. Without training texts every
     token is unknown.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     training = docs.filter(~held_out(F.col("doc_id"), folds))
     counts = count_words(training)
     model, least = train(training, counts, head_size, steps)

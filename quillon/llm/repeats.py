@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import _BASE, _INVERSE, mixed, pieces, powers, prefix_hash, saved, text_buffer
+from quillon.llm._common import _BASE, _INVERSE, bounded_batches, mixed, pieces, powers, prefix_hash, saved, text_buffer
 from quillon.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 128
@@ -197,7 +197,7 @@ def _window_hashes(length: int):
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, class_bytes: int = CLASS_BYTES) -> DataFrame:
     """(doc_id, text_hash, a, b): ranges of starts of repeated windows, which may touch or repeat."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = saved(slim.mapInArrow(_stretch_table(length, gram), f"doc_id {kind}, text_hash bigint, start int, windows int, class bigint, print bigint, own boolean"))
     several = (F.count("*") == 1) | (F.min("print") != F.max("print"))
     classes = table.groupBy("class").agg(F.count("*").alias("n"), several.alias("mixed"), F.bool_or("own").alias("own")).filter("n > 1 or own").select("class", "mixed")

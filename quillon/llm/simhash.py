@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import saved, text_buffer
+from quillon.llm._common import bounded_batches, saved, text_buffer
 from quillon.llm.components import components
 
 SHINGLE, RADIUS = 3, 3
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             got = np.array([fingerprint(raw[at[i] : at[i + 1]], shingle) for i in range(b.num_rows)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    slim = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     return slim.mapInArrow(batch, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
