@@ -29,7 +29,7 @@ HEAD = 1 << 18
 GROUPED, CONTEXTS = 8192, 63
 CLUSTERS, BINS, REST_BINS = 5, 5, 5
 #: Hashed features and gradient steps.
-FEATURES, STEPS = 1 << 15, 8
+FEATURES, STEPS = 1 << 14, 6
 BLOCK = 1024
 #: Hash of the end token, and of what stands before a text.
 END, START = np.uint64(1), np.uint64(2)
@@ -209,7 +209,7 @@ def _gradient(broadcast):
                         total[s[cut], -1] += np.diff(np.concatenate([cut, [len(s)]]))
         for k in range(0, FEATURES, BLOCK):
             if total[k : k + BLOCK, -1].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + BLOCK].astype(np.float64).tobytes()], pa.binary())], ["block", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + BLOCK].tobytes()], pa.binary())], ["block", "sums"])
 
     return run
 
@@ -219,7 +219,7 @@ def _summed(batches):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for k, v in zip(b.column(0).to_pylist(), b.column(1)):
-            x = np.frombuffer(v.as_py(), np.float64)
+            x = np.frombuffer(v.as_py(), np.float32).astype(np.float64)
             sums[k] = sums[k] + x if k in sums else x
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
 
@@ -272,10 +272,12 @@ def train(docs: DataFrame, counts: DataFrame, head_size: int = HEAD, steps: int
     classes[head.words == END] = number
     number += 2
     model = Model(head, classes, number, sum(r["tokens"] for r in tail), sum(r["types"] for r in tail), discount, total)
+    # A task's sums have the weights' size, so tasks are few against the input: one for every eight of its partitions.
+    tasks = max(2 * context.defaultParallelism, text.rdd.getNumPartitions() // 8)
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("step")), F.lit(steps))
     for step in range(steps if total else 0):
         sent = context.broadcast(model)
-        sums = text.filter(part == step).select("text").mapInArrow(_gradient(sent), "block int, sums binary")
+        sums = text.filter(part == step).select("text").coalesce(tasks).mapInArrow(_gradient(sent), "block int, sums binary")
         got = sums.repartition(FEATURES // BLOCK, "block").mapInArrow(_summed, "block int, sums binary").collect()  # at most FEATURES // BLOCK rows
         weights = model.weights.copy()
         for r in got:
