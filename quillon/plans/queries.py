@@ -696,3 +696,45 @@ def late_evidence(spark, sf_dir):
     """[SS5] With an order of arrival that is not the frames'."""
     rows = fx.crops(spark, sf_dir).withColumn("arrival", F.col("frame_index") * 7 % 11)
     return evidence.late(rows, ["track_id"], ["arrival", "frame_index"]).select("track_id", "frame_index", "late")
+
+
+# ---- requests and sinks ------------------------------------------------------------------
+
+_LINE = """case event_id % 8 when 0 then '{"id": "' || event_id || '", "action": "ping"}' when 1 then '{"id": "' || event_id || '", "action": "process", "type": "image", "path": "/in/a' || user_id || '.JPG"}'
+  when 2 then '{"id": "' || event_id || '", "action": "process", "type": "video", "path": "/in/v.mp4"}' when 3 then '{"id": "' || event_id || '", "action": "process", "type": "video", "path": "/in/v.png"}'
+  when 4 then 'not json {' when 5 then '{"id": "' || event_id || '", "action": "dance"}' when 6 then '{"id": "' || event_id || '", "action": "process", "type": "image", "path": " "}' else '{"action": "shutdown"}' end"""
+
+
+@query("""select event_id, case when event_id % 8 in (4, 7) then '' else cast(event_id as varchar) end as request_id, case event_id % 8 when 0 then 'ping' when 4 then null when 5 then 'dance' when 7 then 'shutdown' else 'process' end as action,
+  case event_id % 8 when 4 then 'JSONDecodeError' when 3 then 'ValueError' when 5 then 'ValueError' when 6 then 'ValueError' end as error_code,
+  case event_id % 8 when 3 then 'Unsupported type or extension: video, .png' when 4 then 'not a JSON object' when 5 then 'Unsupported action: dance' when 6 then 'path must be a nonempty string' end as error_message from events""")
+def request_parse(spark, sf_dir):
+    """[SC2, SC5, SS9, SS10]"""
+    from quillon.streaming.requests import parsed
+
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_LINE).alias("value"))
+    return parsed(lines).select("event_id", "request_id", "action", "error_code", "error_message")
+
+
+@query("""select event_id, 'clip' || user_id || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || substr(md5(cast(event_id as varchar)), 1, 8) as folder,
+  'clip' || user_id || '.json' as file, case when event_id % 2 = 0 then 'image' else 'video' end as media_type, 'track_' || user_id || '/top' || (event_id % 4 + 1) || '_frame' || lpad(cast(event_id as varchar), 6, '0') || '.jpg' as crop from events""")
+def output_paths(spark, sf_dir):
+    """[SC16, SC17, DA4, SO1]"""
+    from quillon.sources import media, sinks
+
+    path = F.concat(F.lit("/in/clip"), F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, ".PNG").otherwise(".mkv"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("path", path)
+    folder = sinks.run_folder(F.col("path"), F.col("ts"), F.md5(F.col("event_id").cast("string")))
+    file = F.substring_index(sinks.output_path(F.col("path"), folder), "/", -1)
+    return rows.select("event_id", folder.alias("folder"), file.alias("file"), media.media_type(F.col("path")).alias("media_type"), sinks.crop_path(F.col("user_id"), F.col("event_id") % 4 + 1, F.col("event_id")).alias("crop"))
+
+
+@query(None)
+def draw_labels(spark, sf_dir):
+    """[SC14, SC15, PR23, JN16]"""
+    from quillon.sources import sinks
+
+    box = F.struct("x1", "y1", "x2", "y2").alias("box")
+    seen = _named(fx.observations(spark, sf_dir)).withColumnRenamed("source_id", "key").withColumnRenamed("conf", "confidence")
+    rows = seen.select("key", "frame_index", box, "class_name", "confidence")
+    return sinks.labels(rows, rows.withColumn("candidate_index", F.lit(0)), _video_rows(spark, sf_dir), ["key"], debug=True).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
