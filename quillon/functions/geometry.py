@@ -74,9 +74,9 @@ def over_smaller(a: Column, b: Column) -> Column:
 
 
 def clamp(x: Column, low, high) -> Column:
-    """MA3."""
+    """MA3; null stays null."""
     low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
-    return F.least(F.greatest(x, low), high)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
 def clip(b: Column, w: Column, h: Column) -> Column:

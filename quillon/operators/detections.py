@@ -79,6 +79,10 @@ def _median(values: Column) -> Column:
     return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
 
 
+def _distances(values: Column, middle: Column) -> Column:
+    return F.transform(values, lambda v: F.abs(v - middle))
+
+
 def split_rows(centres: Column, median_height: Column) -> Column:
     """WI2: how many of the sorted centres form the upper row; null for one row.
 
@@ -89,7 +93,7 @@ def split_rows(centres: Column, median_height: Column) -> Column:
     def tried(k: Column) -> Column:
         parts = F.slice(centres, 1, k), F.slice(centres, k + 1, F.size(centres))
         middles = [_median(p) for p in parts]
-        spreads = [_median(F.transform(p, lambda v, m=m: F.abs(v - m))) for p, m in zip(parts, middles)]
+        spreads = [_median(_distances(p, m)) for p, m in zip(parts, middles)]
         spread, gap = F.greatest(F.lit(1.0), *spreads), middles[1] - middles[0]
         edge = F.element_at(centres, k + 1) - F.element_at(centres, k)
         good = (gap >= F.greatest(0.35 * median_height, 2.0 * spread)) & (edge >= 0.25 * median_height)
