@@ -27,7 +27,7 @@ from quillon.llm._common import LOWER, NOT_SPACE, bounded_batches, mixed, pieces
 
 HEAD = 1 << 18
 GROUPED, CONTEXTS = 8192, 63
-CLUSTERS, BINS, REST_BINS = 5, 5, 5
+CLUSTERS, BINS, REST_BINS = 5, 4, 3
 #: Hashed features and gradient steps.
 FEATURES, STEPS = 1 << 14, 6
 BLOCK = 1024

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 RING = 1 << 31
 VIRTUAL = 64
 #: Ranges of each arc that are ranked apart.
-CELLS = 64
+CELLS = 16
 
 
 def ring(shards: int, virtual: int = VIRTUAL) -> list[tuple[int, int]]:
