@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -42,6 +43,12 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df``, saved, and to be broadcast if it has at most ``rows`` rows; beyond that joins shuffle it."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and its n + 1 offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._common import saved
+from quillon.llm._common import saved, small
 from quillon.llm.rules import SPACE
 
 #: Hexadecimal digits of the order key by which a leaf is counted.
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
     plan = plan.withColumn("epochs", F.expr("budget div greatest(tokens, 1)"))
     plan = plan.withColumn("rest", F.when(F.col("budget") >= max_epochs * F.col("tokens"), F.lit(-1)).otherwise(F.col("budget") - F.col("epochs") * F.col("tokens")))
     plan = plan.select(*names, F.when(F.col("rest") < 0, F.lit(max_epochs)).otherwise(F.col("epochs")).cast("bigint").alias("epochs"), "rest")
-    keyed = slim.join(plan, names)
+    keyed = slim.join(small(plan), names)
     order_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epochs").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = keyed.withColumn("key", order_key).withColumn("range", F.substring("key", 1, DIGITS))
     ranges = keyed.groupBy(*names, "range", "rest").agg(F.sum("n_tokens").alias("tokens"))
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
     ends = ranges.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("tokens"))
     ends = ends.filter("before <= rest and rest < upto").select(*names, F.col("range").alias("last_range"), F.col("rest") - F.col("before"))
     ends = ends.toDF(*names, "last_range", "left_over")
-    last = keyed.join(ends, names, "left")
+    last = keyed.join(small(ends), names, "left")
     past = F.when(F.col("last_range").isNull(), F.col("rest") >= 0).otherwise(F.col("range") < F.col("last_range"))
     whole = last.filter(F.col("last_range").isNull() | (F.col("range") != F.col("last_range"))).withColumn("copies", F.col("epochs") + past.cast("bigint"))
     run = F.sum("n_tokens").over(Window.partitionBy(*names, "last_range").orderBy("key", "n_tokens", "text_hash").rowsBetween(Window.unboundedPreceding, 0))

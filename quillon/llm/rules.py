@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._common import saved
+from quillon.llm._common import saved, small
 
 SPACE = r"[ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
@@ -122,7 +122,7 @@ def thresholds(sketched: DataFrame, least: int = LEAST) -> DataFrame:
 def judge(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The measures of every document with `kept`: it passes the base rules and lies inside its group's fences."""
     measured = saved(measure(docs))
-    limits = thresholds(sketch(measured), least)
+    limits = small(thresholds(sketch(measured), least))
     outside = F.lit(False)
     for m, (_, _, both) in FENCES.items():
         outside |= F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
