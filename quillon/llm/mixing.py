@@ -57,12 +57,13 @@ def spread(nodes: DataFrame, parents: list[str], node: str) -> DataFrame:
 
 def budgets(leaves: DataFrame, tree: list[str], weights: dict[str, dict[str, int]], numerator: int, denominator: int, max_epochs: int) -> DataFrame:
     """Each leaf with its token budget; the root has tokens * numerator / denominator."""
-    level = leaves.agg((F.expr(f"coalesce(sum(tokens), 0) * {numerator} div {denominator}")).alias("got")).withColumn("got", F.least("got", F.lit(1 << 62)))
-    up: list[str] = []
+    level, up = leaves, []
     for node in tree:
         here = leaves.groupBy(*up, node).agg((F.sum("tokens") * max_epochs).alias("limit")).withColumn("weight", weight_of(node, weights.get(node, {})))
-        parent = level.select(*up, F.col("got").alias("budget"))
-        here = here.join(parent, up) if up else here.crossJoin(F.broadcast(parent))  # the root is one row
+        if up:
+            here = here.join(level.select(*up, F.col("got").alias("budget")), up)
+        else:
+            here = here.withColumn("budget", F.expr(f"sum(limit) over () div {max_epochs} * {numerator} div {denominator}"))
         level = spread(here, up, node)
         up = [*up, node]
     return level.select(*tree, F.col("got").alias("budget"))
