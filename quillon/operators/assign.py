@@ -1,4 +1,4 @@
-"""One-to-one assignment within groups (JN7, JN8, FI15): a numpy solver, run for each group.
+"""One-to-one assignment within groups (JN7, JN8, FI15): a numpy solver, run for each group of an Arrow batch.
 
 The solver is for the small matrices of a frame. A group's rows fit a task, since a
 frame's boxes are few; the frames spread over the cluster.
@@ -7,7 +7,7 @@ frame's boxes are few; the frames spread over the cluster.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,22 +88,39 @@ def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assigned(edges: DataFrame, keys: list[str], limit: float, a: str = "a", b: str = "b", cost: str = "cost") -> DataFrame:
-    """JN7 for each group of an edge table (keys, a, b, cost): the matched edges. Pairs that are not listed cannot match."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([a, b])
-        rows, row = np.unique(pdf[a].to_numpy(), return_inverse=True)
-        columns, column = np.unique(pdf[b].to_numpy(), return_inverse=True)
-        costs = np.full((len(rows), len(columns)), np.inf)
-        np.minimum.at(costs, (row, column), pdf[cost].to_numpy(float))
-        found = match(costs, limit)
-        out = pd.DataFrame({a: [rows[r] for r, _ in found], b: [columns[c] for _, c in found], cost: [costs[p] for p in found]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, a, b, cost]]
+    """JN7 for each group of an edge table (keys, a, b, cost): the matched edges. Pairs that are not listed cannot match.
 
+    Groups come as arrays, many to an Arrow batch. Where no row or column has two
+    edges, all of them match: an edge within the limit beats leaving both alone.
+    """
     slim = edges.select(*keys, a, b, F.col(cost).cast("double").alias(cost)).filter(F.col(cost) <= limit)
-    return slim.groupBy(*keys).applyInPandas(run, slim.schema)
+    groups = slim.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(a, b, cost))).alias("_e"))
+
+    def chosen(rows: np.ndarray, columns: np.ndarray, prices: np.ndarray) -> list[int]:
+        r, row = np.unique(rows, return_inverse=True)
+        c, column = np.unique(columns, return_inverse=True)
+        if len(r) == len(rows) and len(c) == len(rows):
+            return list(range(len(rows)))
+        costs, edge = np.full((len(r), len(c)), np.inf), np.zeros((len(r), len(c)), int)
+        for k in np.argsort(-prices, kind="stable"):  # of equal pairs the cheapest stays
+            costs[row[k], column[k]], edge[row[k], column[k]] = prices[k], k
+        return [int(edge[p]) for p in match(costs, limit)]
+
+    def run(batches):
+        for batch in batches:
+            listed = batch.column(len(keys))
+            at = listed.offsets.to_numpy()
+            flat = listed.values
+            rows, columns, prices = (np.asarray(flat.field(k)) for k in range(3))
+            picked, owner = [], []
+            for i in range(batch.num_rows):
+                found = chosen(rows[at[i] : at[i + 1]], columns[at[i] : at[i + 1]], prices[at[i] : at[i + 1]])
+                picked += [k + int(at[i]) for k in found]
+                owner += [i] * len(found)
+            take, edge = pa.array(owner, pa.int64()), pa.array(picked, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(len(keys))], *[flat.field(k).take(edge) for k in range(3)]], [*keys, a, b, cost])
+
+    return groups.mapInArrow(run, slim.schema)
 
 
 def unmatched(rows: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -133,20 +133,16 @@ def _overlaps(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0), np.where(small > 0, both / np.where(small > 0, small, 1), 0)
 
 
-def resolve_frame(rows: pd.DataFrame, history: History) -> pd.DataFrame:
-    """One frame's candidates, in order: scores, group, selected, history_updated, rejected_by_history."""
+def resolve_frame(plate: np.ndarray, vehicle: np.ndarray, owner: np.ndarray, confidence: np.ndarray, vehicle_confidence: np.ndarray, history: History) -> tuple[np.ndarray, ...]:
+    """One frame's candidates, in order: the columns that RESOLVED names (a conflict group is -1 without conflict)."""
     c = history.c
-    out = rows.copy()
-    plate, vehicle = (np.array([[b[s] for s in g.SIDES] for b in rows[n]], float).reshape(-1, 4) for n in ("plate", "vehicle"))
     size = vehicle[:, 2:] - vehicle[:, :2]
     middle = (plate[:, :2] + plate[:, 2:]) / 2
     ok = (plate[:, 2:] > plate[:, :2]).all(axis=1) & (size > 0).all(axis=1) & ((middle >= vehicle[:, :2]) & (middle <= vehicle[:, 2:])).all(axis=1)
-    out["valid"] = ok
     with np.errstate(divide="ignore", invalid="ignore"):
         geometry = np.hstack([(middle - vehicle[:, :2]) / size, (plate[:, 2:] - plate[:, :2]) / size])
-    n = len(rows)
+    n = len(plate)
     temporal, samples, outlier = np.zeros(n), np.zeros(n, int), np.zeros(n, bool)
-    owner = rows["vehicle_index"].to_numpy()
     for i in np.flatnonzero(ok):
         temporal[i], samples[i], outlier[i] = history.score(int(owner[i]), geometry[i])
     live = np.flatnonzero(ok & ~outlier)
@@ -162,7 +158,6 @@ def resolve_frame(rows: pd.DataFrame, history: History) -> pd.DataFrame:
     cut = np.maximum(np.minimum(plate[:, 2:], vehicle[:, 2:]) - np.maximum(plate[:, :2], vehicle[:, :2]), 0)
     contained[ok] = ((cut[:, 0] * cut[:, 1])[ok]) / np.prod(plate[ok, 2:] - plate[ok, :2], axis=1)
     tight, score = np.zeros(n), np.zeros(n)
-    confidence, vehicle_confidence = (rows[k].to_numpy(float) for k in ("plate_confidence", "vehicle_confidence"))
     for i in live:
         own = live[group[live] == group[i]]
         tight[i] = 1.0 if len(own) == 1 else np.clip(area[i] / area[own].max(), 0, 1)
@@ -185,12 +180,9 @@ def resolve_frame(rows: pd.DataFrame, history: History) -> pd.DataFrame:
         if margin[i] >= c.update_margin:
             history.add(int(owner[i]), geometry[i])
             updated[i] = True
-    sizes = {k: int((group[live] == k).sum()) for k in set(group[live])}
-    out["temporal_score"], out["history_samples"], out["rejected_by_history"] = temporal, samples, outlier
-    out["tight_parent"], out["containment"], out["owner_score"] = tight, contained, score
-    out["conflict_group"] = [int(group[i]) if i in live and sizes[group[i]] > 1 else None for i in range(n)]
-    out["selected"], out["history_updated"] = np.isin(np.arange(n), chosen), updated
-    return out
+    sizes = np.bincount(group[live], minlength=n)
+    conflict = np.where(np.isin(np.arange(n), live) & (sizes[group] > 1), group, -1)
+    return ok, temporal, samples, outlier, tight, contained, score, conflict, np.isin(np.arange(n), chosen), updated
 
 
 RESOLVED = "valid boolean, temporal_score double, history_samples int, rejected_by_history boolean, tight_parent double, containment double, owner_score double, conflict_group int, selected boolean, history_updated boolean"
@@ -202,15 +194,27 @@ def image_ownership(df: DataFrame, source: str = "source_id", frame: str = "fram
     Rows have candidate_index, vehicle_index, plate and vehicle boxes and their
     confidences. Sources spread over the cluster; a source is sequential by nature.
     """
-    kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    names = [*df.columns, *[p.split()[0] for p in RESOLVED.split(", ")]]
+    names = [p.split()[0] for p in RESOLVED.split(", ")]
+    sides = [F.col(f"{b}.{s}").cast("double").alias(f"_{b[0]}{s}") for b in ("plate", "vehicle") for s in g.SIDES]
+    kinds = {n: df.schema[n].dataType.simpleString() for n in (source, frame)}
+    slim = df.select(source, frame, "candidate_index", "vehicle_index", *sides, F.col("plate_confidence").alias("_c"), F.col("vehicle_confidence").alias("_v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([frame, "candidate_index"])
+        plate, vehicle = (pdf[[f"_{b}{s}" for s in g.SIDES]].to_numpy(float) for b in "pv")
+        owner, confidence, other = pdf["vehicle_index"].to_numpy(), pdf["_c"].to_numpy(float), pdf["_v"].to_numpy(float)
+        frames = pdf[frame].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(frames[1:] != frames[:-1]) + 1, [len(frames)]])
         history = History(c)
-        frames = [resolve_frame(part.reset_index(drop=True), history) for _, part in pdf.sort_values([frame, "candidate_index"]).groupby(frame, sort=True)]
-        return pd.concat([f.astype({"conflict_group": "Int32"}) for f in frames])[names]
-
-    return df.groupBy(source).applyInPandas(run, ", ".join(f"`{k}` {v}" for k, v in kind.items()) + ", " + RESOLVED)
+        parts = [resolve_frame(plate[i:j], vehicle[i:j], owner[i:j], confidence[i:j], other[i:j], history) for i, j in zip(cuts[:-1], cuts[1:])]
+        out = pdf[[source, frame, "candidate_index"]].copy()
+        for k, name in enumerate(names):
+            out[name] = np.concatenate([p[k] for p in parts])
+        return out
+
+    made = slim.groupBy(source).applyInPandas(run, f"{source} {kinds[source]}, {frame} {kinds[frame]}, candidate_index int, " + RESOLVED)
+    made = made.withColumn("conflict_group", F.when(F.col("conflict_group") >= 0, F.col("conflict_group")))
+    return df.join(made, [source, frame, "candidate_index"])
 
 
 def resolution_stats(resolved: DataFrame, keys: list[str]) -> DataFrame:

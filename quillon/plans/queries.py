@@ -225,13 +225,13 @@ def reading_order(spark, sf_dir):
 # ---- joins within frames -----------------------------------------------------------------
 
 
-@query(f"""select a.frame_id, a.i as a, b.i as b, round({IOU}, 6) as iou, round(1-{IOU}, 6) as distance, round(case when a.class_id <> b.class_id then 1e6 else 1-{IOU} end, 6) as gated, round(1-{IOU}*b.conf, 6) as fused
+@query(f"""select a.frame_id, a.i as a, b.i as b, round({IOU}, 6) as iou, round(1-{IOU}, 6) as distance, round(case when a.class_id <> b.class_id then 1e6 else 1-{IOU} end, 6) as gated, round(1-{IOU}*b.conf, 9) as fused
   from boxes a join boxes b on a.frame_id = b.frame_id where a.conf < 0.5e0 and b.conf >= 0.5e0""", "boxes")
 def iou_pairs(spark, sf_dir):
     """[JN1, JN2, JN3, JN4]"""
     rows = fx.boxes(spark, sf_dir)
     out = assign.pairs(rows.filter("conf < 0.5"), rows.filter("conf >= 0.5"), ["frame_id"])
-    return out.select("frame_id", "a", "b", r6("iou"), r6("distance"), r6("gated"), r6("fused"))
+    return out.select("frame_id", "a", "b", r6("iou"), r6("distance"), r6("gated"), F.round("fused", 9).alias("fused"))
 
 
 _TOUCH = f"({IOU} >= 0.7e0 or (case when least({AREA('a')},{AREA('b')}) > 0 then {INTER}/least({AREA('a')},{AREA('b')}) else 0 end) >= 0.85e0)"
@@ -287,11 +287,11 @@ _IMAGE = f"""with p as ({_PLATE}), q as (select *, track_id as v, (x2-x1)*(y2-y1
 
 
 @query(_IMAGE + """ select frame_id, i as candidate_index, component, legacy as legacy_owner, round(ra, 6) as area, round(co, 6) as containment,
-  round(0.4e0*0.5e0 + 0.25e0*(case when gs = 1 then 1 else ra/mr end) + 0.15e0*co + 0.15e0*pc + 0.05e0*vc, 8) as owner_score from w""", "boxes candidates")
+  round(0.4e0*0.5e0 + 0.25e0*(case when gs = 1 then 1 else ra/mr end) + 0.15e0*co + 0.15e0*pc + 0.05e0*vc, 10) as owner_score from w""", "boxes candidates")
 def image_owner_scores(spark, sf_dir):
     """[FI7, PR14, AG9, AG24, MA6, WI10]"""
     out = ownership.image_scores(fx.candidates(spark, sf_dir), ["frame_id"])
-    return out.select("frame_id", "candidate_index", "component", "legacy_owner", r6("geometry.area", "area"), r6("containment"), F.round("owner_score", 8).alias("owner_score"))
+    return out.select("frame_id", "candidate_index", "component", "legacy_owner", r6("geometry.area", "area"), r6("containment"), F.round("owner_score", 10).alias("owner_score"))
 
 
 @query(_IMAGE + " select frame_id, v as vehicle_index, count(distinct component) as n_groups from w group by frame_id, v having count(distinct component) > 1", "boxes candidates")
