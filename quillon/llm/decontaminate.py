@@ -275,6 +275,20 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
 
+def cut_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, all columns, without the passages that hit: each span of hit words is taken out of the text."""
+    found = contamination(docs, benchmark, window).filter("n_hit > 0").groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    both = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__hash"]), "left")
+    raw = docs["text"].cast("binary")
+    # what lies between spans: from each end to the next start, and the rest
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.filter("__spans", lambda _, i: i % 2 == 1))
+    ends = F.concat(F.filter("__spans", lambda _, i: i % 2 == 0), F.array(F.octet_length(raw).cast("bigint")))
+    pieces_left = F.zip_with(starts, ends, lambda a, b: F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
+    text = F.when(found["__spans"].isNull(), docs["text"]).otherwise(F.array_join(pieces_left, ""))
+    return both.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+
+
 SQL = r"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
   b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
   bw as (select distinct item_id, size, array_to_string(w[i + 1:i + size], ' ') as t from

@@ -117,7 +117,7 @@ def mixed_documents(docs: DataFrame, numerator: int, denominator: int = 100, max
     same = docs["doc_id"].eqNullSafe(got["_id"]) & (F.xxhash64(docs["text"]) == got["_hash"])
     out = docs.join(got, same)
     if max_epochs > 1:
-        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), got["_copies"].cast("int"))).alias("__copy")).drop("__copy")
     return out.select(*[docs[c] for c in docs.columns])
 
 

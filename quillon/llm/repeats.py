@@ -21,17 +21,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._common import _BASE, _INVERSE, bounded_batches, mixed, pieces, powers, prefix_hash, saved, text_buffer
 from quillon.llm.suffix_array import permuted_prefixes, suffix_array
 
-LENGTH, GRAM = 400, 128
+LENGTH, GRAM = 400, 64
 #: Windows of a stretch at most; a longer run of one class is split.
 STRETCH = 1024
-SHARD_BYTES = 3 << 20
-CLASS_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20
+CLASS_BYTES = 4 << 20
 #: Never occurs in UTF-8.
 SEPARATOR = 0xFF
 
@@ -82,6 +83,31 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return owner, starts - offsets[owner], ends - starts, low[starts], held > 1
 
 
+def _start(place: Column) -> Column:
+    return F.shiftright(place, 12)
+
+
+def _windows(place: Column) -> Column:
+    return F.shiftright(place, 1).bitwiseAND(F.lit(2047))
+
+
+def _packed(batches):
+    """Texts in zstd: what a join on documents shuffles, so that it is less than the input."""
+    for b in batches:
+        data, offsets = text_buffer(b.column(2))
+        raw, press = data.tobytes(), zstandard.ZstdCompressor(level=1)
+        z = [press.compress(raw[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["doc_id", "text_hash", "z"])
+
+
+def _joined(docs: DataFrame, more: DataFrame, column: str, how: str) -> DataFrame:
+    """(doc_id, z, ``column``): documents, packed, with what ``more`` (doc_id, text_hash, ``column``) has for them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    z = docs.mapInArrow(_packed, f"doc_id {kind}, text_hash bigint, z binary")
+    right = more.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), column)
+    return z.join(right, z["doc_id"].eqNullSafe(right["_id"]) & (z["text_hash"] == right["_hash"]), how).select("doc_id", "text_hash", "z", column)
+
+
 def _stretch_table(length: int, gram: int):
     def run(batches):
         for b in batches:
@@ -94,33 +120,34 @@ def _stretch_table(length: int, gram: int):
                 last = (at[owner] + start + windows + length - 1).tolist()
                 made = b"".join([hashlib.blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(first, last)])
                 take = pa.array(owner + i)
+                place = (start << 12) | (windows << 1) | own
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(np.frombuffer(made, np.int64)), pa.array(own)],
-                    ["doc_id", "text_hash", "start", "windows", "class", "print", "own"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(low.view(np.int64)), pa.array(np.frombuffer(made, np.int64)), pa.array(place)],
+                    ["doc_id", "text_hash", "class", "print", "place"],
                 )
 
     return run
 
 
 def _cut(length: int):
-    """(text, wanted stretches) -> a row with the bytes of each."""
+    """(doc_id, text_hash, z, wanted stretches) -> a row with the bytes of each."""
 
     def run(batches):
         for b in batches:
-            data, offsets = text_buffer(b.column(2))
-            raw = data.tobytes()
-            out = {k: [] for k in ("row", "start", "windows", "class", "print", "whole", "bytes")}
-            for i, wanted in enumerate(b.column(3)):
+            unpack = zstandard.ZstdDecompressor()
+            out = {k: [] for k in ("row", "place", "class", "print", "whole", "bytes")}
+            for i, (z, wanted) in enumerate(zip(b.column(2), b.column(3))):
+                text = unpack.decompress(z.as_py())
                 for w in wanted.as_py():
-                    at = int(offsets[i]) + w["start"]
+                    at = w["place"] >> 12
                     out["row"].append(i)
-                    out["bytes"].append(raw[at : at + w["windows"] + length - 1])
-                    for k in ("start", "windows", "class", "print", "whole"):
+                    out["bytes"].append(text[at : at + (w["place"] >> 1 & 2047) + length - 1])
+                    for k in ("place", "class", "print", "whole"):
                         out[k].append(w[k])
             take = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(out["start"], pa.int32()), pa.array(out["windows"], pa.int32()), pa.array(out["class"], pa.int64()), pa.array(out["print"], pa.int64()), pa.array(out["whole"], pa.bool_()), pa.array(out["bytes"], pa.binary())],
-                ["doc_id", "text_hash", "start", "windows", "class", "print", "whole", "bytes"],
+                [b.column(0).take(take), b.column(1).take(take), pa.array([p >> 12 for p in out["place"]], pa.int32()), pa.array(out["class"], pa.int64()), pa.array(out["print"], pa.int64()), pa.array(out["whole"], pa.bool_()), pa.array(out["bytes"], pa.binary())],
+                ["doc_id", "text_hash", "start", "class", "print", "whole", "bytes"],
             )
 
     return run
@@ -198,23 +225,23 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes:
     """(doc_id, text_hash, a, b): ranges of starts of repeated windows, which may touch or repeat."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = saved(slim.mapInArrow(_stretch_table(length, gram), f"doc_id {kind}, text_hash bigint, start int, windows int, class bigint, print bigint, own boolean"))
+    table = saved(slim.mapInArrow(_stretch_table(length, gram), f"doc_id {kind}, text_hash bigint, class bigint, print bigint, place bigint"))
     several = (F.count("*") == 1) | (F.min("print") != F.max("print"))
-    classes = table.groupBy("class").agg(F.count("*").alias("n"), several.alias("mixed"), F.bool_or("own").alias("own")).filter("n > 1 or own").select("class", "mixed")
+    own = F.max(F.col("place").bitwiseAND(F.lit(1))) == 1
+    classes = table.groupBy("class").agg(F.count("*").alias("n"), several.alias("mixed"), own.alias("own")).filter("n > 1 or own").select("class", "mixed")
     shared = table.join(classes, "class")
-    where = F.min(F.struct("doc_id", "text_hash", "start", "windows")).alias("w")
+    where = F.min(F.struct("doc_id", "text_hash", "place")).alias("w")
     prints = saved(shared.groupBy("class", "print").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), where))
     equal = prints.filter("n > 1").select("class", "print")
-    whole = table.join(equal, ["class", "print"]).select("doc_id", "text_hash", F.col("start").alias("a"), F.expr("start + windows").alias("b"))
+    start = _start(F.col("place")).cast("int")
+    whole = table.join(equal, ["class", "print"]).select("doc_id", "text_hash", start.alias("a"), (start + _windows(F.col("place")).cast("int")).alias("b"))
     one = prints.filter("mixed").select("class", "print", (F.col("n") > 1).alias("whole"), "w.*")
-    sizes = one.groupBy("class").agg(F.sum(F.col("windows") + length).alias("size"))
+    sizes = one.groupBy("class").agg(F.sum(_windows(F.col("place")) + length).alias("size"))
     total = sizes.agg(F.sum("size"), F.max("size")).first()
     if total[0] is None:
         return whole
-    wanted = one.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows", "class", "print", "whole")).alias("wanted"))  # at most the document's
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "wanted")
-    found = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["_id"]) & (slim["text_hash"] == wanted["_hash"])).select("doc_id", "text_hash", "text", "wanted")
-    cut = found.mapInArrow(_cut(length), f"doc_id {kind}, text_hash bigint, start int, windows int, class bigint, print bigint, whole boolean, bytes binary")
+    wanted = one.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "class", "print", "whole")).alias("wanted"))  # at most the document's
+    cut = _joined(slim, wanted, "wanted", "inner").mapInArrow(_cut(length), f"doc_id {kind}, text_hash bigint, start int, class bigint, print bigint, whole boolean, bytes binary")
     large = sizes.filter(F.col("size") > class_bytes).select("class")
     hot = total[1] > class_bytes
     if hot:
@@ -235,11 +262,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes:
 def _digest(length: int, keep_text: bool):
     def run(batches):
         for b in batches:
-            data, offsets = text_buffer(b.column(1))
-            raw = data.tobytes()
+            unpack = zstandard.ZstdDecompressor()
             size, removed, count, kept, texts = [], [], [], [], []
-            for i, ranges in enumerate(b.column(2)):
-                text, ranges, at = raw[offsets[i] : offsets[i + 1]], ranges.as_py(), 0
+            for z, ranges in zip(b.column(2), b.column(3)):
+                text, ranges, at = unpack.decompress(z.as_py()), ranges.as_py(), 0
                 runs, gone, left = 0, 0, []
                 if ranges:
                     end = -1
@@ -276,7 +302,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranges = spans(docs, length, **sizes).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # at most the document's
-    ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "ranges")
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_text_hash"))
-    both = slim.join(ranges, slim["doc_id"].eqNullSafe(ranges["_id"]) & (slim["_text_hash"] == ranges["_hash"]), "left").select("doc_id", "text", "ranges")
+    slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    both = _joined(slim, ranges, "ranges", "left")
     return both.mapInArrow(_digest(length, keep_text), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * keep_text)

@@ -133,3 +133,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, virtual: int = VIRTUAL) -
 def shard_stage(docs: DataFrame, shards: int = 40) -> DataFrame:
     """The documents with their shard and slot."""
     return assign(docs, "doc_id", shards, tie=[F.xxhash64("text")])
+
+
+def write_shards(sharded: DataFrame, folder: str) -> None:
+    """The rows of each shard below ``folder``/shard=n, in files whose rows follow their slots; a large shard has several."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)

@@ -172,4 +172,4 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select("best.*")
     best = best.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     kept = docs.join(best, docs["doc_id"].eqNullSafe(best["_id"]) & (F.xxhash64(docs["text"]) == best["_hash"]), "left_semi")
-    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")

@@ -152,7 +152,7 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
     free[left] = text[left - 1] != text[phi[left] - 1]
     at = np.flatnonzero(free)
     have = phi[at] >= 0
-    length = np.zeros(len(at), np.int64)
+    length = np.zeros(len(at), np.int32)
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
     eight = np.zeros(n + 1, np.uint64)
     for k in range(8):
@@ -166,8 +166,8 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray,
         if some.any():
             lowest = x[some] & (~x[some] + np.uint64(1))
             zero[some] = (np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64)
-        length[live] += np.minimum(zero, np.maximum(n - np.maximum(a, b), 0))
+        length[live] += np.minimum(zero, np.maximum(n - np.maximum(a, b), 0)).astype(np.int32)
         on = (zero == 8) & (np.maximum(a, b) + 8 < n)
         live, a, b = live[on], a[on] + 8, b[on] + 8
     which = np.cumsum(free) - 1
-    return phi, length[which] - (np.arange(n) - at[which])
+    return phi, length[which] - (np.arange(n, dtype=np.int32) - at[which].astype(np.int32))

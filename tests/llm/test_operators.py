@@ -181,6 +181,14 @@ def test_decontamination_against_all_windows(spark, monkeypatch, block):
         assert sum(len(decontaminate.word_spans(decontaminate.LOWER[np.frombuffer(c, np.uint8)], np.array([0, len(c)]), decontaminate.ALNUM)[0]) for c in cut) == r.n_hit
 
 
+def test_passages_are_cut_out(spark):
+    passage = prose(1, 20)
+    df = documents(spark, [(1, f"é start {passage}. And {passage} end"), (2, "clean text"), (None, passage), (4, None)]).withColumn("__x", F.lit(1))
+    out = decontaminate.cut_documents(df, spark.createDataFrame([(7, passage)], "item_id bigint, text string"))
+    assert out.columns == df.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "é start . And  end", 2: "clean text", None: "", 4: None}
+
+
 def test_fm_index_finds_and_locates_all_occurrences():
     rng = np.random.default_rng(3)
     text = rng.integers(0, 4, 500)
@@ -340,7 +348,10 @@ def test_mix_meets_budgets(spark):
 def test_mixed_documents_repeat_and_keep_columns(spark, docs):
     out = mixing.mixed_documents(docs, 100, 100, max_epochs=1)
     assert out.columns == docs.columns and out.count() == docs.count()
+    docs = docs.withColumns({"_copies": F.lit(0), "_hash": F.lit(0), "_id": F.lit(0)})
+    assert simhash.deduplicated(docs).columns == rules.kept_documents(docs).columns == docs.columns
     half = mixing.mixed_documents(docs, 150, 100, max_epochs=2)
+    assert half.columns == docs.columns
     assert docs.count() < half.count() <= 2 * docs.count()
 
 
@@ -438,6 +449,12 @@ def test_shards_are_even_and_gapless(spark, docs):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
 
 
+def test_written_shards_follow_their_slots(spark, docs, tmp_path):
+    sharding.write_shards(sharding.shard_stage(docs, 5), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count() and back.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("ok")).filter("not ok").count() == 0
+
+
 def test_one_key_may_hold_most_rows(spark):
     rows = spark.createDataFrame([(5, f"t{i % 4}") for i in range(300)] + [(i, "x") for i in range(60)], "doc_id bigint, text string")
     sizes = [r["count"] for r in sharding.shard_documents(rows, shards=8).groupBy("shard").count().collect()]
