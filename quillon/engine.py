@@ -100,7 +100,7 @@ class Engine:
         seen = self.scan(frames, keys, in_parent=True).filter(F.col("conf") >= c.detection.vehicle_confidence).withColumn("i", F.col("det_index")).persist()
         lower = type(c.validation)(**{**c.validation.__dict__, "min_confidence": c.tracking.low})
         good = detections.validated(seen, keys, c=lower).filter("accepted")
-        tracks = tracking.tracked(good, fps, "source", c.tracking)
+        tracks = tracking.tracked(good, fps, "source", c.tracking).persist()
         marked = seen.join(tracking.observations(tracks, "source").select(*keys, "det_index", "track_id"), [*keys, "det_index"])
         decided = ownership.video_ownership(self._candidates(marked, keys), keys, c.video_ownership).filter("ownership_status = 'selected'")
         history = tracking.histories(tracks, "source")

@@ -577,30 +577,36 @@ def response_json(spark, sf_dir):
 
 
 def _video_rows(spark, sf_dir) -> DataFrame:
-    """The whole video path over the observations, readings and crops: the flagship."""
-    seen = tracking.tracked(fx.observations(spark, sf_dir))
-    tracks = tracking.histories(seen).filter("track_id = 1").withColumnsRenamed({"source_id": "key"}).drop("track_id", "status")
-    named = _named(fx.observations(spark, sf_dir)).filter("det_index = 0").withColumnRenamed("source_id", "key")
-    votes = tracking.class_vote(named, ["key"])
-    texts = fusion.fused(fx.readings(spark, sf_dir)).withColumnRenamed("track_id", "key")
-    crops = fx.crops(spark, sf_dir).withColumnRenamed("track_id", "key")
+    """The whole video path over the observations, readings and crops: the flagship. Each track has its source's readings and crops."""
+    seen = tracking.tracked(fx.observations(spark, sf_dir)).persist()  # five uses; the tracker is Python
+    pair = ["source_id", "track_id"]
+    tracks = tracking.histories(seen).drop("status")
+    named = _named(fx.observations(spark, sf_dir)).join(tracking.observations(seen).select("source_id", "frame_index", "det_index", "track_id"), ["source_id", "frame_index", "det_index"])
+    votes = tracking.class_vote(named, pair)
+    own = lambda df: df.withColumnRenamed("track_id", "source_id").join(tracks.select(*pair), "source_id")
+    key = F.struct(*pair)
+    read = own(fx.readings(spark, sf_dir)).withColumn("key", key).drop(*pair)
+    texts = fusion.fused(read, tracks.select(key.alias("key")), "key")
+    texts = texts.select("key.*", *[c for c in texts.columns if c != "key"])
+    crops = own(fx.crops(spark, sf_dir))
     plate = F.struct(*[(F.col("frame_index") + k).alias(s) for k, s in enumerate(g.SIDES)])
-    best = evidence.spaced(crops, ["key"]).withColumn("plate", plate)
-    n = crops.groupBy("key").agg(F.count("*").alias("n"))
-    return results.finalize_video(tracks, votes, texts, n, best, ["key"])
+    best = evidence.spaced(crops, pair).withColumn("plate", plate)
+    n = crops.groupBy(*pair).agg(F.count("*").alias("n"))
+    return results.finalize_video(tracks, votes, texts, n, best, pair)
 
 
 @query(None)
 def fused_plates(spark, sf_dir):
-    """[JN14, PR17, PR23, TK4, TK5, FI13, SO2] One explained row per source's first track, through tracker, votes, crops, fusion and text rules."""
+    """[JN14, PR17, PR23, TK4, TK5, FI13, SO2] One explained row per track, through tracker, votes, crops, fusion and text rules."""
     rows = _video_rows(spark, sf_dir)
-    return rows.select("key", "vehicle.class_name", "vehicle.observations", "plate.status", "plate.status_reason", "plate.text", "plate.formatted", "plate.confidence", "plate.best_frame", "evidence.fusion_method", "evidence.topk_selected", t.video_label(F.col("plate")).alias("label"))
+    return rows.select("source_id", "track_id", "vehicle.class_name", "vehicle.observations", "plate.status", "plate.status_reason", "plate.text", "plate.formatted", "plate.confidence", "plate.best_frame", "evidence.fusion_method", "evidence.topk_selected", t.video_label(F.col("plate")).alias("label"))
 
 
 @query(None)
 def video_customer_rows(spark, sf_dir):
     """[FI11, PR19, SC12]"""
-    return results.customer(_video_rows(spark, sf_dir), "key", 0.5, video=True)
+    rows = _video_rows(spark, sf_dir).withColumn("key", F.struct("source_id", "track_id"))
+    return results.customer(rows, "key", 0.5, video=True).select("key.*", "vehicle_type", "license", "confidence", "status")
 
 
 # ---- tracks ------------------------------------------------------------------------------
@@ -735,6 +741,8 @@ def draw_labels(spark, sf_dir):
     from quillon.sources import sinks
 
     box = F.struct("x1", "y1", "x2", "y2").alias("box")
-    seen = _named(fx.observations(spark, sf_dir)).withColumnRenamed("source_id", "key").withColumnRenamed("conf", "confidence")
-    rows = seen.select("key", "frame_index", box, "class_name", "confidence")
-    return sinks.labels(rows, rows.withColumn("candidate_index", F.lit(0)), _video_rows(spark, sf_dir), ["key"], debug=True).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+    tracks = tracking.observations(tracking.tracked(fx.observations(spark, sf_dir))).select("source_id", "frame_index", "det_index", "track_id")
+    rows = _named(fx.observations(spark, sf_dir)).join(tracks, ["source_id", "frame_index", "det_index"]).withColumnRenamed("conf", "confidence")
+    rows = rows.select("source_id", "track_id", "frame_index", box, "class_name", "confidence")
+    made = sinks.labels(rows, rows.withColumn("candidate_index", F.lit(0)), _video_rows(spark, sf_dir), ["source_id", "track_id"], debug=True)
+    return made.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
