@@ -49,6 +49,12 @@ def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fewer_tasks(df: DataFrame, share: int = 8) -> DataFrame:
+    """``df`` in one task for every ``share`` of its partitions (two a core at least): for tasks whose results have a fixed size."""
+    context = df.sparkSession.sparkContext
+    return df.coalesce(max(2 * context.defaultParallelism, df.rdd.getNumPartitions() // share))
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and its n + 1 offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

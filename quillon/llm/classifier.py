@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import NOT_SPACE, bounded_batches, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
+from quillon.llm._common import NOT_SPACE, bounded_batches, fewer_tasks, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
 
 #: Random features, the kernel's width in standard deviations, the ridge, bins of the calibration.
 COMPONENTS, WIDTH, RIDGE, BINS = 384, 4.0, 1e-3, 512
@@ -170,8 +170,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", t
     model, weights, calibration = Features(np.zeros(STATISTICS), np.ones(STATISTICS)), np.zeros(COMPONENTS + STATISTICS + 1), None
     if row[0]:
         model = Features(np.array(row[1 : STATISTICS + 1], float), np.array(row[STATISTICS + 1 :], float))
-        sums = training.mapInArrow(_normal_sums(model), "n bigint, sums binary")
-        parts = sums.repartition(8).mapInArrow(_add, "n bigint, sums binary").collect()  # at most 8 rows
+        sums = fewer_tasks(training).mapInArrow(_normal_sums(model), "n bigint, sums binary")
+        parts = sums.repartition(8).mapInArrow(_add, "n bigint, sums binary").collect()  # at most 8 rows of about a megabyte
         total = sum(np.frombuffer(r["sums"]) for r in parts).reshape(len(weights), -1)
         count = sum(r["n"] for r in parts)
         weights = np.linalg.solve(total[:, :-1] / count + RIDGE * np.eye(len(weights)), total[:, -1] / count)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import LOWER, NOT_SPACE, bounded_batches, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
+from quillon.llm._common import LOWER, NOT_SPACE, bounded_batches, fewer_tasks, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
 
 HEAD = 1 << 18
 GROUPED, CONTEXTS = 8192, 63
@@ -272,12 +272,10 @@ def train(docs: DataFrame, counts: DataFrame, head_size: int = HEAD, steps: int
     classes[head.words == END] = number
     number += 2
     model = Model(head, classes, number, sum(r["tokens"] for r in tail), sum(r["types"] for r in tail), discount, total)
-    # A task's sums have the weights' size, so tasks are few against the input: one for every eight of its partitions.
-    tasks = max(2 * context.defaultParallelism, text.rdd.getNumPartitions() // 8)
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("step")), F.lit(steps))
     for step in range(steps if total else 0):
         sent = context.broadcast(model)
-        sums = text.filter(part == step).select("text").coalesce(tasks).mapInArrow(_gradient(sent), "block int, sums binary")
+        sums = fewer_tasks(text.filter(part == step).select("text")).mapInArrow(_gradient(sent), "block int, sums binary")
         got = sums.repartition(FEATURES // BLOCK, "block").mapInArrow(_summed, "block int, sums binary").collect()  # at most FEATURES // BLOCK rows
         weights = model.weights.copy()
         for r in got:
