@@ -108,7 +108,7 @@ class Engine:
         live = tracking.surviving(history).select("source", "track_id")
         best = evidence.spaced(crops.join(live, ["source", "track_id"], "left_semi"), ["source", "track_id"], c.buffer)
         regions = best.select("source", "track_id", "frame_index", "rank", "plate", F.col("total_score").alias("quality_score")).join(frames.select(*keys, "content"), keys)
-        read = media.read_crops(regions, self.decode, self.reader, f"{self.name}-reader", isolate=False)
+        read = media.read_crops(regions, self.decode, self.reader, f"{self.name}-reader", isolate=False).persist()  # fusion reads it more than once, the model should not
         one = F.struct("source", "track_id")
         fused = fusion.fused(read.withColumn("key", one).select("key", "frame_index", "rank", "raw_text", "ocr_confidence", "quality_score", "char_confidences"), history.select(one.alias("key")), "key", c.fusion)
         fused = fused.select("key.*", *[x for x in fused.columns if x != "key"])

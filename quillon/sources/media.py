@@ -24,10 +24,11 @@ _made: dict[str, object] = {}
 
 
 def made_once(name: str, factory: Callable[[], object]) -> object:
-    """What ``factory`` makes, once in each worker."""
-    if name not in _made:
-        _made[name] = factory()
-    return _made[name]
+    """What ``factory`` makes, once in each worker; other factories under the same name are kept apart."""
+    key = f"{name}/{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    if key not in _made:
+        _made[key] = factory()
+    return _made[key]
 
 
 def extension(path: Column) -> Column:

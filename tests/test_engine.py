@@ -35,7 +35,7 @@ def noise(seed):
 
 @pytest.fixture
 def engine(spark):
-    return Engine(spark, Vehicles, Plates, Reader, name="test")
+    return Engine(spark, Vehicles, Plates, Reader, name="test-engine")
 
 
 def test_images(engine, spark, tmp_path):
