@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, mixing, rules, sharding, simhash
+from quillon.llm import decontaminate, mixing, near_copies, rules, sharding
 from quillon.llm._common import shared_folder, table
 
 #: Of the documents' tokens, those that the mix holds, in percent; each document at most once.
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.deduplicated(docs)
+    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    return near_copies.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ STAGES = [
     ("sharded", sharded),
 ]
 
-#: Near-duplicate classes (XXH64 fingerprints and their components) can't be expressed in SQL.
+#: Near copies (word shingles and their components) can't be expressed in SQL.
 ORACLE_SQL = None
 
 
