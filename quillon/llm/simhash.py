@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._common import bounded_batches, saved, text_buffer
 from quillon.llm.components import components
+from quillon.llm.near_copies import one_of_each
 
 SHINGLE, RADIUS = 3, 3
 #: Members of a bucket that one task compares with each other.
@@ -145,6 +146,18 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
     return out
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int, pairwise: int) -> DataFrame:
+    """As near_duplicates, with component: the smallest fingerprint of the document's component, its own name."""
+    prints = saved(fingerprints(docs, shingle))
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    named = components(links(classes, radius, pairwise))
+    named = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.join(lowest, "component").select("fp", "component", "component_id")
+    out = prints.join(named, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id (the smallest doc_id it is linked to, itself included).
 
@@ -152,24 +165,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     any others. A null doc_id is its component's name only if no other member has
     one. Repeated rows stay repeated. An empty table gives an empty result.
     """
-    prints = saved(fingerprints(docs, shingle))
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    named = components(links(classes, radius, pairwise))
-    named = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(lowest, "component").select("fp", "component_id")
-    out = prints.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    return _grouped(docs, shingle, radius, pairwise).drop("component")
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents of which each group of near-duplicates keeps one: that with the smallest doc_id, all columns.
 
     Of rows that repeat this doc_id one stays: that with the smallest text hash,
-    and of rows equal in that too, one.
+    and of rows equal in that too, one. Groups with equal or null doc_ids stay apart.
     """
-    found = near_duplicates(docs, shingle, radius)
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select("best.*")
-    best = best.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["_id"]) & (F.xxhash64(docs["text"]) == best["_hash"]), "left_semi")
-    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return one_of_each(docs, _grouped(docs, shingle, radius, PAIRWISE))
