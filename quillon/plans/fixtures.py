@@ -2,7 +2,7 @@
 
 The driver's tables hold no detections; these recipes make them from lineitem and
 events by integer arithmetic, so both engines build the same rows. Each uses the
-whole table.
+whole table, but READINGS, and TEXTS from it, keep the four best readings of a track.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ CROPS = """with e as (select user_id, event_id, cast(row_number() over (partitio
 select user_id as track_id, fi as frame_index, 0 as candidate_index, cast(30 + (event_id*7) % 60 as int) as width, cast(18 + (event_id*5) % 40 as int) as height,
   ((event_id*37) % 1000) / 1000e0 as sharpness_score, (400 + (event_id*53) % 600) / 1000e0 as total_score, (250 + (event_id*13) % 700) / 1000e0 as plate_confidence from e"""
 
-#: Plate texts: all readings, each of them with a vehicle class, some spoiled in ways that the text rules name.
+#: Plate texts: all of READINGS (the four best of a track, not all events), each of them with a vehicle class, some spoiled in ways that the text rules name.
 TEXTS = """select track_id, frame_index, case frame_index % 9 when 0 then concat(' ', lower(raw_text), ' ') when 1 then concat(substr(raw_text,1,3), '-', substr(raw_text,4)) when 2 then replace(raw_text, '0', 'o')
     when 3 then concat(substr(raw_text,1,2), '8', substr(raw_text,4)) when 4 then concat('13', substr(raw_text,3)) when 5 then concat(substr(raw_text,1,3), '7', substr(raw_text,4))
     when 6 then replace(replace(raw_text, '1', 'I'), '5', 'S') when 7 then concat(substr(raw_text,1,6), '?', substr(raw_text,8)) else raw_text end as raw_text,
