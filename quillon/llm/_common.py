@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; a longer document is a piece of its own.
@@ -18,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder that the cluster shares, from spark.checkpoint.dir. Only a local master, as in tests, may leave it unset; it gets a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -31,19 +36,57 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with the session's Arrow batches of ``rows`` rows unless it set another size than Spark's 10,000.
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside, unless the session set fewer.
 
-    Spark bounds a batch by rows, not bytes; texts are long, and the JVM and the
-    Python worker each hold a batch more than once.
+    Texts are long, and the JVM and the Python worker each hold a batch more than
+    once. The session's own value is back afterwards, so what runs inside must be
+    saved there.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(rows))
-    return df
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+def saved_bounded(df: DataFrame) -> DataFrame:
+    """``df``, saved, computed in bounded Arrow batches."""
+    with bounded_batches(df.sparkSession):
+        return saved(df)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def same_text(docs: DataFrame, listed: DataFrame, kind: str, *more: str) -> DataFrame:
+    """``docs`` joined (``kind``) with the rows of ``listed`` (doc_id, text_hash, ``more``) of the same doc_id and text.
+
+    The names of ``listed`` get a prefix that no column of ``docs`` has; a column of
+    ``more`` is found under ``free_name(docs, name)``.
+    """
+    names = {c: free_name(docs, f"_{c}") for c in ("doc_id", "text_hash")}
+    right = listed.select(*(F.col(c).alias(n) for c, n in names.items()), *(F.col(c).alias(free_name(docs, c)) for c in more))
+    on = docs["doc_id"].eqNullSafe(right[names["doc_id"]]) & (text_hash(docs["text"]) == right[names["text_hash"]])
+    out = docs.join(right, on, kind)
+    return out if kind in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
+def text_hash(text: Column) -> Column:
+    """64 bits that tell texts with one doc_id apart; null and empty texts are alike."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df``, saved, and to be broadcast if it has at most ``rows`` rows; beyond that joins shuffle it."""
     df = saved(df)
     return F.broadcast(df) if df.count() <= rows else df

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import NOT_SPACE, bounded_batches, fewer_tasks, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
+from quillon.llm._common import NOT_SPACE, fewer_tasks, mixed, pieces, prefix_hash, saved, saved_bounded, span_hash, text_buffer, word_spans
 
 #: Random features, the kernel's width in standard deviations, the ridge, bins of the calibration.
 COMPONENTS, WIDTH, RIDGE, BINS = 384, 4.0, 1e-3, 512
@@ -161,8 +161,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", t
     empty and scored like any others. With no usable labels, every score is 0.5.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
-    vectors = saved(text.mapInArrow(_vectors, f"doc_id {kind}, x array<float>"))
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    vectors = saved_bounded(text.mapInArrow(_vectors, f"doc_id {kind}, x array<float>"))
     given = labels.filter(F.col(target).isNotNull() & ~held_out(F.col("doc_id"), folds)).select("doc_id", F.col(target).cast("double").alias("y"))
     training = saved(vectors.join(given, "doc_id").select("x", "y"))
     moments = training.select(*[F.col("x")[k].cast("double").alias(f"x{k}") for k in range(STATISTICS)])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import ALNUM, LOWER, bounded_batches, pieces, prefix_hash, span_hash, text_buffer, word_spans
+from quillon.llm._common import ALNUM, LOWER, free_name, pieces, prefix_hash, same_text, saved_bounded, small, span_hash, text_buffer, text_hash, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -246,7 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     out; repeated rows are judged alike; an empty benchmark hits nothing.
     """
     blocks = _blocks(benchmark, window)
-    slim = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("text_hash"))
 
     def run(batches):
         for b in batches:
@@ -260,7 +260,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 )
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    out = slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_words bigint, n_hit bigint, items array<string>, spans array<bigint>")
+    out = saved_bounded(slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_words bigint, n_hit bigint, items array<string>, spans array<bigint>"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -271,22 +271,20 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, all columns."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+    return same_text(docs, small(contamination(docs, benchmark, window).filter("contaminated").select("doc_id", "text_hash")), "left_anti")
 
 
 def cut_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, without the passages that hit: each span of hit words is taken out of the text."""
     found = contamination(docs, benchmark, window).filter("n_hit > 0").groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__hash"]), "left")
-    raw = docs["text"].cast("binary")
+    both, spans = same_text(docs, found, "left", "spans"), free_name(docs, "spans")
+    raw = F.col("text").cast("binary")
     # what lies between spans: from each end to the next start, and the rest
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.filter("__spans", lambda _, i: i % 2 == 1))
-    ends = F.concat(F.filter("__spans", lambda _, i: i % 2 == 0), F.array(F.octet_length(raw).cast("bigint")))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(spans, lambda _, i: i % 2 == 1))
+    ends = F.concat(F.filter(spans, lambda _, i: i % 2 == 0), F.array(F.octet_length(raw).cast("bigint")))
     pieces_left = F.zip_with(starts, ends, lambda a, b: F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
-    text = F.when(found["__spans"].isNull(), docs["text"]).otherwise(F.array_join(pieces_left, ""))
-    return both.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(pieces_left, ""))
+    return both.withColumn("text", text).select(*docs.columns)
 
 
 SQL = r"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

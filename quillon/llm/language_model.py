@@ -328,7 +328,12 @@ def score_documents(docs: DataFrame, folds: int = 10, head_size: int = HEAD, ste
     row; repeated rows count and are scored each. Without training texts every
     token is unknown.
     """
-    spark = bounded_batches(docs).sparkSession
+    with bounded_batches(docs.sparkSession):
+        return _score_documents(docs, folds, head_size, steps)
+
+
+def _score_documents(docs: DataFrame, folds: int, head_size: int, steps: int) -> DataFrame:
+    spark = docs.sparkSession
     training = docs.filter(~held_out(F.col("doc_id"), folds))
     counts = count_words(training)
     model, least = train(training, counts, head_size, steps)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._common import saved, small
+from quillon.llm._common import free_name, same_text, saved, small, text_hash
 from quillon.llm.rules import SPACE
 
 #: Hexadecimal digits of the order key by which a leaf is counted.
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, tree: dict[str, Column], weights: dict[str, dict[str, i
     """One row per document: doc_id, the tree's columns, n_tokens and copies (how often the mix holds it)."""
     names = list(tree)
     levels = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in tree.items()]
-    slim = saved(docs.select("doc_id", *levels, n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("text_hash")))
+    slim = saved(docs.select("doc_id", *levels, n_tokens(F.col("text")).alias("n_tokens"), text_hash(F.col("text")).alias("text_hash")))
     leaves = slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(leaves, names, weights, numerator, denominator, max_epochs).join(leaves, names)
     plan = plan.withColumn("epochs", F.expr("budget div greatest(tokens, 1)"))
@@ -112,13 +112,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, numerator: int, denominator: int = 100, max_epochs: int = 1) -> DataFrame:
     """The documents of the mix, all columns, each as often as the mix holds it."""
-    got = mix(docs, tree(), WEIGHTS, numerator, denominator, max_epochs).filter("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("_copies"))
-    got = got.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies")
-    same = docs["doc_id"].eqNullSafe(got["_id"]) & (F.xxhash64(docs["text"]) == got["_hash"])
-    out = docs.join(got, same)
-    if max_epochs > 1:
-        return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), got["_copies"].cast("int"))).alias("__copy")).drop("__copy")
-    return out.select(*[docs[c] for c in docs.columns])
+    got = mix(docs, tree(), WEIGHTS, numerator, denominator, max_epochs).filter("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"))
+    if max_epochs == 1:
+        return same_text(docs, got, "left_semi")
+    out, copies = same_text(docs, got, "inner", "copies"), free_name(docs, "copies")
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(copies)
 
 
 def _sql() -> str:

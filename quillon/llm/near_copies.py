@@ -1,40 +1,50 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
-
-Two sets with a Jaccard similarity of 4/5 or more share an element among the first
-|x| // 5 + 1 of either, in any order common to both. So every such pair shares a
-bucket, by construction and not by chance; elements are in order of rarity, so that
-common lines and passages make few buckets.
-
-Equal sets are one class before any bucket is built. Buckets of up to `PAIRS` classes
-give all their pairs; larger ones pair each class with the smallest. Pairs that
-differ in too many bits of a parity bitmap can't be alike; all others are checked on
-their sets, and components formed. A larger bucket that lies within one component
-is settled; the classes of the others that meet, and are of like size, are compared in one
-task, each with those outside its component. No bucket is capped.
+"""Near copies for the pipeline: SimHash candidates by covering masks, then exact similarity.
+
+Two texts are near copies if the sets of their five-word shingles have a Jaccard
+similarity of 4/5 or more. Candidates come from SimHash: a text has `PRINTS`
+independent fingerprints of its single words, in which a word that occurs c times
+weighs 1 + ln c, and two texts are candidates if one of their fingerprints differs
+in `RADIUS` bits or fewer. Every such pair shares a bucket of the covering masks
+(see simhash), so no candidate is missed; single words change little between near
+copies, and several fingerprints make up for the noise of one.
+
+Equal sets are one class before any bucket is built. Candidates are checked in
+three steps, each of which leaves out what earlier steps have joined:
+
+* each class with the smallest of its buckets' smallest classes;
+* all other classes with the smallest of their buckets;
+* in buckets that still hold several components, classes of different components:
+  up to `PAIRS` members as pairs, more by blocks of members, each two of which
+  meet in one task unless both are of one component.
+
+No bucket is capped, no group is collected into one task, and none emits its pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import LOWER, NOT_SPACE, bounded_batches, mixed, pieces, prefix_hash, saved, small, span_hash, text_buffer, word_spans
+from quillon.llm._common import LOWER, NOT_SPACE, free_name, mixed, pieces, prefix_hash, same_text, saved, saved_bounded, small, span_hash, text_buffer, text_hash, word_spans
 from quillon.llm.components import components
+from quillon.llm.covering import RADIUS, masks, signed
 
 WORDS = 5
-#: Classes of a bucket that give all their pairs.
-PAIRS = 16
-#: Elements are ranked by their number in one class of `SAMPLE`, if that is `COMMON` or more, at most `RANKED` of them.
-SAMPLE, COMMON, RANKED = 16, 8, 1 << 16
+#: Fingerprints of a text.
+PRINTS = 6
+#: Members of a bucket whose pairs are formed, and members of a block beyond that.
+PAIRS, BLOCK = 16, 512
 #: Bits of a set's parity bitmap.
 BITS = 512
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
-    """The sorted set of hashes of each text's runs of ``size`` lower-cased words; all words of a shorter text are one."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words, of the runs of ``size`` words that they begin, and the n + 1 word offsets of the texts."""
     data = LOWER[data]
     starts, ends, at = word_spans(data, offsets, NOT_SPACE)
     words = span_hash(prefix_hash(data), starts, ends)
@@ -42,22 +52,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> list[n
     runs = np.zeros(len(words), np.uint64)
     for k in range(size):
         runs = runs * _FACTOR + padded[k : k + len(words)]
-    runs = mixed(runs)
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        if b - a < size:
-            whole = np.uint64(b - a)
-            for w in words[a:b]:
-                whole = whole * _FACTOR + w
-            out.append(mixed(np.array([whole], np.uint64)) if b > a else words[:0])
-        else:
-            out.append(np.unique(runs[a : b - size + 1]))
-    return out
+    return words, mixed(runs), at
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+def shingle_set(words: np.ndarray, runs: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """The sorted set of a text's runs of ``size`` words; all words of a shorter text are one."""
+    if len(words) >= size:
+        return np.unique(runs[: len(words) - size + 1])
+    whole = np.uint64(len(words))
+    for w in words:
+        whole = whole * _FACTOR + w
+    return mixed(np.array([whole], np.uint64)) if len(words) else words
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
@@ -66,55 +71,95 @@ def bitmap(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
-def sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, text_hash, cls (a hash of the set), shingles and their bitmap. A null text has no words."""
+def word_prints(words: np.ndarray, number: int = PRINTS) -> np.ndarray:
+    """``number`` fingerprints: a bit is 1 if it is set in words of over half of the weight. No words: zeros."""
+    distinct, counts = np.unique(words, return_counts=True)
+    weights = np.rint(16 + 16 * np.log(counts)).astype(np.float32)
+    sums = np.zeros(64 * number)
+    for i in range(0, len(distinct), 4096):  # sums of whole numbers below 2**24 are exact
+        part = distinct[i : i + 4096]
+        bits = np.empty((len(part), number), np.uint64)
+        for k in range(number):
+            bits[:, k] = mixed(part * _FACTOR + np.uint64(k + 1))
+        sums += weights[i : i + 4096] @ np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    return np.packbits(2 * sums > weights.sum(dtype=np.float64), bitorder="little").view(np.uint64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def _each(b: pa.RecordBatch, column: int, size: int):
+    """Row, word hashes and shingle set of every text of a batch, by pieces."""
+    data, at = text_buffer(b.column(column))
+    for i, j in pieces(at):
+        with np.errstate(over="ignore"):
+            words, runs, first = hashed_words(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
+            for row, x, y in zip(range(i, j), first[:-1].tolist(), first[1:].tolist()):
+                yield row, words[x:y], shingle_set(words[x:y], runs[x:y], size)
+
+
+def described(docs: DataFrame, size: int = WORDS, prints: int = PRINTS) -> DataFrame:
+    """doc_id, text_hash, cls (a hash of the shingle set), size (of the set), its bitmap and the fingerprints. A null text has no words."""
 
     def batch(batches):
         for b in batches:
-            data, at = text_buffer(b.column(2))
-            for i, j in pieces(at):
-                with np.errstate(over="ignore"):
-                    got = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), _lists(got), _lists([bitmap(x) for x in got])], ["doc_id", "text_hash", "shingles", "bits"])
+            cls, sizes, bits, fps = [], [], [], []
+            for _, words, held in _each(b, 2, size):
+                cls.append(hashlib.blake2b(held.tobytes(), digest_size=8).digest())
+                sizes.append(len(held)), bits.append(bitmap(held)), fps.append(word_prints(words, prints))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.frombuffer(b"".join(cls), np.int64)), pa.array(sizes, pa.int32()), _lists(bits), _lists(fps)], ["doc_id", "text_hash", "cls", "size", "bits", "fps"])
 
-    slim = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    made = slim.mapInArrow(batch, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_hash bigint, shingles array<bigint>, bits array<bigint>")
-    return made.withColumn("cls", F.xxhash64("shingles"))
+    slim = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(batch, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_hash bigint, cls bigint, size int, bits array<bigint>, fps array<bigint>")
 
 
-def _prefixes(broadcast):
-    """(key, size, cls) of the first |x| // 5 + 1 elements by rarity; size is |x|."""
+def shingles(docs: DataFrame, made: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFrame:
+    """(cls, shingles) of the ``wanted`` classes, each from one of its documents."""
 
-    def run(batches):
-        common, count = broadcast.value
+    def batch(batches):
         for b in batches:
-            keys, size = [], []
-            for s in b.column(1):
-                x = s.values.to_numpy(zero_copy_only=False)
-                n = len(x)
-                if len(common) and n:
-                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                    x = x[np.argsort(np.where(common[at] == x, count[at], 0), kind="stable")]
-                keys.append(x[: n // 5 + 1].view(np.uint64))
-                size.append(n)
-            many = np.array([len(k) for k in keys], np.int64)
-            cls = np.repeat(b.column(0).to_numpy(zero_copy_only=False), many)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(np.repeat(np.array(size, np.int32), many)), pa.array(cls)], ["key", "size", "cls"])
-
-    return run
-
-
-def checked(pairs: DataFrame, made: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` (a, b: classes) whose sets have a Jaccard similarity of 4/5 or more."""
-    bits = made.select("cls", F.size("shingles").alias("size"), "bits").dropDuplicates(["cls"])
-    side = lambda df, end, *cols: df.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in cols))
-    near = pairs.join(side(bits, "a", "size", "bits"), "a").join(side(bits, "b", "size", "bits"), "b")
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([held for _, _, held in _each(b, 1, size)])], ["cls", "shingles"])
+
+    one = made.join(small(wanted.select("cls").distinct()), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("cls", "x.*")
+    plain = docs.select("doc_id", "text")
+    texts = same_text(plain, small(one), "inner", "cls").select("cls", F.col("text").cast("string").alias("text"))
+    return saved_bounded(texts.mapInArrow(batch, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]))
+
+
+def _ends(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with the ``columns`` of both classes, named _a and _b."""
+    for end in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return pairs
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (a, b) that their sets' sizes and bitmaps allow to be near copies."""
     differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    near = saved(near.filter(9 * differ <= F.col("size_a") + F.col("size_b")).select("a", "b"))
-    used = small(near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct())
-    held = made.select("cls", "shingles").join(used, "cls", "left_semi").dropDuplicates(["cls"])
-    both = near.join(side(held, "a", "shingles"), "a").join(side(held, "b", "shingles"), "b")
-    return both.filter(9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b")
+    alike = 5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")
+    return saved(_ends(pairs, classes, "size", "bits").filter(alike & (9 * differ <= F.col("size_a") + F.col("size_b"))).select("a", "b"))
+
+
+def checked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` whose sets have a Jaccard similarity of 4/5 or more."""
+    both = _ends(pairs, held, "shingles")
+    return saved(both.filter(9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b"))
+
+
+def buckets(classes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each bucket's smallest class with its others, and the members (key, n, cls, fp) of buckets of three or more."""
+    kept = masks(radius)
+    rows = classes.select("cls", F.posexplode("fps").alias("s", "fp"))
+    keys = F.array(*[F.xxhash64(F.col("s") * len(kept) + t, F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(kept)])
+    rows = rows.select("cls", "fp", F.explode(keys).alias("key"))
+    found = saved(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("fp").alias("differ")).filter("n > 1"))
+    two = found.filter((F.col("n") == 2) & (F.bit_count("differ") <= radius)).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    many = saved(rows.join(small(found.filter("n > 2").select("key", "n", "lo")), "key"))
+    hubs = small(many.filter("cls = lo").select("key", F.col("fp").alias("hub")))
+    stars = many.filter("cls != lo").join(hubs, "key").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius).select(F.col("lo").alias("a"), F.col("cls").alias("b"))
+    return two.union(stars).distinct(), many.select("key", "n", "cls", "fp")
 
 
 def spanning(names: np.ndarray, labels: np.ndarray, held: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -153,34 +198,53 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
 
-def classes(made: DataFrame, most: int = PAIRS) -> DataFrame:
-    """(node, component) of the classes that have a near copy; ``made`` is saved."""
-    spark = made.sparkSession
-    sample = made.filter(F.pmod("cls", F.lit(SAMPLE)) == 0).dropDuplicates(["cls"]).select(F.explode("shingles").alias("key"))
-    ranked = sample.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(RANKED).toPandas().sort_values("key")
-    sent = spark.sparkContext.broadcast((ranked["key"].to_numpy(np.int64), ranked["count"].to_numpy(np.int64)))
-    rows = saved(made.select("cls", "shingles").mapInArrow(_prefixes(sent), "key bigint, size int, cls bigint").distinct())
-    buckets = saved(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).filter("n > 1"))
-    many = rows.join(buckets, "key")
-    alike = "5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)"
-    few = many.filter(F.col("n") <= most).groupBy("key").agg(F.collect_list(F.struct("cls", "size")).alias("m")).select("m", F.explode("m").alias("x"))  # at most `most` members
-    pairs = few.select("x", F.explode(F.expr(f"filter(m, y -> y.cls > x.cls and {alike})")).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    large = saved(many.filter(F.col("n") > most).select("key", "hub", "cls"))
-    pairs = saved(pairs.union(large.filter("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))).distinct())
-    links = saved(checked(pairs, made))
-    found = saved(components(links))
-    label = F.coalesce("component", "cls").alias("label")
-    large = large.join(found, F.col("cls") == F.col("node"), "left").select("key", "hub", "cls", label)
-    open_ = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    left = saved(large.join(open_, "key", "left_semi"))
-    if not left.limit(1).count():
-        return found
-    meet = components(left.select(F.col("hub").alias("a"), F.col("cls").alias("b")))
-    apart = left.select("cls", "label").distinct().join(meet, F.col("cls") == F.col("node")).select("cls", "label", F.col("component").alias("meet"))
-    band = F.floor(F.log(F.size("shingles") + F.lit(1)) / F.log(F.lit(1.3)))  # sizes of alike sets lie in one band or two adjacent ones
-    held = made.select("cls", "shingles").join(small(apart.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
-    more = apart.join(held, "cls").withColumn("band", F.explode(F.array(band, band + 1))).groupBy("meet", "band").applyInArrow(_compare, "a bigint, b bigint")
-    return components(saved(links.union(more)))
+def blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(meet, i, j, cls, label): ``members`` (meet, cls, label) of every two blocks of a group that could hold a new link.
+
+    A component of ``block`` members or more has blocks of its own; the others
+    share blocks. Two blocks of one component are left out.
+    """
+    count = members.groupBy("meet", "label").agg(F.count("*").alias("c"))
+    own = F.col("c") >= block
+    shared = count.groupBy("meet").agg(F.coalesce(F.sum(F.when(~own, F.col("c"))), F.lit(0)).alias("rest"))
+    count = count.join(shared, "meet").select("meet", "label", F.when(own, F.col("label")).alias("one"), F.ceil(F.when(own, F.col("c")).otherwise(F.col("rest")) / block).alias("parts"))
+    dealt = F.pmod(F.xxhash64(F.when(F.col("one").isNull(), F.col("label")).otherwise(F.col("cls"))), F.col("parts"))
+    rows = saved(members.join(small(count), ["meet", "label"]).select("meet", "cls", "label", F.xxhash64(F.coalesce("one", F.lit(0)), F.col("one").isNull(), dealt).alias("i"), "one"))
+    heads = rows.select("meet", "i", "one").distinct()
+    pairs = heads.join(heads.select("meet", F.col("i").alias("j"), F.col("one").alias("other")), "meet").filter("i <= j and not (one <=> other and one is not null)")
+    pairs = pairs.select("meet", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at"))
+    return rows.withColumnRenamed("i", "at").select("meet", "at", "cls", "label").join(small(pairs), ["meet", "at"]).drop("at")
+
+
+def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the classes that have a near copy; ``made`` is what `described` gave, saved."""
+    classes = saved(made.select("cls", "size", "bits", "fps").dropDuplicates(["cls"]))
+    stars, many = buckets(classes)
+    stars = possible(stars, classes)
+    held = shingles(docs, made, stars.select(F.explode(F.array("a", "b")).alias("cls")))
+    links = checked(stars.groupBy("b").agg(F.min("a").alias("a")), held)
+    label = lambda df, end, found: df.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    apart = lambda df, found: label(label(df, "a", found), "b", found).filter("of_a != of_b").select("a", "b")
+    links = links.union(checked(apart(stars, small(components(links))), held))
+    found = small(components(links))
+    tagged = label(many, "cls", found).withColumnRenamed("of_cls", "label")
+    open_ = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    left = saved(tagged.join(small(open_), "key", "left_semi"))
+    few = left.filter(F.col("n") <= most).groupBy("key").agg(F.collect_list(F.struct("cls", "label", "fp")).alias("m")).select("m", F.explode("m").alias("x"))  # at most `most` members
+    near = f"filter(m, y -> y.cls > x.cls and y.label != x.label and bit_count(y.fp ^ x.fp) <= {RADIUS})"
+    pairs = few.select("x", F.explode(F.expr(near)).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    pairs = possible(pairs, classes)
+    if pairs.limit(1).count():
+        more = checked(pairs, shingles(docs, made, pairs.select(F.explode(F.array("a", "b")).alias("cls"))))
+        links = links.union(more)
+    large = left.filter(F.col("n") > most)
+    if large.limit(1).count():
+        hub = large.groupBy("key").agg(F.min("cls").alias("hub"))
+        meet = components(large.join(hub, "key").select(F.col("hub").alias("a"), F.col("cls").alias("b")))
+        members = large.select("cls", "label").distinct().join(meet.withColumnRenamed("component", "meet"), F.col("cls") == F.col("node")).select("meet", "cls", "label")
+        dealt = blocks(saved(members), block).join(shingles(docs, made, members), "cls")
+        links = links.union(saved(dealt.groupBy("meet", "i", "j").applyInArrow(_compare, "a bigint, b bigint")))
+    return components(links)
 
 
 def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -189,19 +253,28 @@ def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     ``grouped`` has doc_id, text_hash and component, the group's own name: groups
     with equal or null doc_ids stay apart.
     """
-    best = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select("best.*")
-    best = best.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["_id"]) & (F.xxhash64(docs["text"]) == best["_hash"]), "left_semi")
-    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
-
-
-def grouped(docs: DataFrame, most: int = PAIRS) -> DataFrame:
+    best = grouped.groupBy("component", "doc_id", "text_hash").count().groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "count")).alias("best"))
+    best = saved(best.select("best.*"))
+    once = same_text(docs, small(best.filter("count = 1")), "left_semi")
+    again = best.filter("count > 1")
+    if not again.limit(1).count():
+        return once
+    name = free_name(docs, "_hash")
+    repeated = same_text(docs, small(again), "left_semi").withColumn(name, text_hash(F.col("text")))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", name]).drop(name))
+
+
+def grouped(docs: DataFrame, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash and component (the smallest class of its group) of each document."""
-    made = saved(sets(docs))
-    found = classes(made, most)
+    made = saved_bounded(described(docs))
+    found = small(classes_found(docs, made, most, block))
     return made.select("doc_id", "text_hash", "cls").join(found, F.col("cls") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "cls").alias("component"))
 
 
-def deduplicated(docs: DataFrame, most: int = PAIRS) -> DataFrame:
-    """The documents, all columns, of which each group of near copies keeps one: that with the smallest doc_id."""
-    return one_of_each(docs, grouped(docs, most))
+def deduplicated(docs: DataFrame, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
+    """The documents, all columns, of which each group of near copies keeps one: that with the smallest doc_id.
+
+    Null and empty texts are one group; repeated rows are copies. An empty table
+    gives an empty result.
+    """
+    return one_of_each(docs, grouped(docs, most, block))

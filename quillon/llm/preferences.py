@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm._common import free_name
+
 OPEN, BETWEEN, CLOSE = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -48,12 +50,13 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     from it when compared). Equal conversations have empty completions.
     """
     turns = lambda c: F.coalesce(F.col(c).cast(TURNS), F.array().cast(TURNS))
-    rows = pairs.withColumns({"_c": turns(chosen), "_r": turns(rejected)})
-    rows = rows.withColumn("n_prompt_turns", common_turns(F.col("_c"), F.col("_r")))
+    c, r = free_name(pairs, "_c"), free_name(pairs, "_r")
+    rows = pairs.withColumns({c: turns(chosen), r: turns(rejected)})
+    rows = rows.withColumn("n_prompt_turns", common_turns(F.col(c), F.col(r)))
     rest = lambda c: F.slice(F.col(c), F.col("n_prompt_turns") + 1, F.greatest(F.size(c), F.lit(1)))
-    rows = rows.withColumns({"prompt": rendered(F.slice("_c", F.lit(1), F.col("n_prompt_turns"))), "_c": rest("_c"), "_r": rest("_r")})
-    rows = rows.withColumns({"chosen_completion": rendered(F.col("_c")), "rejected_completion": rendered(F.col("_r")), "chosen_mask": mask(F.col("_c"), learnt), "rejected_mask": mask(F.col("_r"), learnt)})
-    return rows.drop("_c", "_r")
+    rows = rows.withColumns({"prompt": rendered(F.slice(c, F.lit(1), F.col("n_prompt_turns"))), c: rest(c), r: rest(r)})
+    rows = rows.withColumns({"chosen_completion": rendered(F.col(c)), "rejected_completion": rendered(F.col(r)), "chosen_mask": mask(F.col(c), learnt), "rejected_mask": mask(F.col(r), learnt)})
+    return rows.drop(c, r)
 
 
 def conversation_pairs(turns: DataFrame, reply: str = "assistant") -> DataFrame:

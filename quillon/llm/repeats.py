@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import _BASE, _INVERSE, bounded_batches, mixed, pieces, powers, prefix_hash, saved, text_buffer
+from quillon.llm._common import _BASE, _INVERSE, bounded_batches, mixed, pieces, powers, prefix_hash, saved, saved_bounded, text_buffer, text_hash
 from quillon.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
@@ -224,8 +224,8 @@ def _window_hashes(length: int):
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, class_bytes: int = CLASS_BYTES) -> DataFrame:
     """(doc_id, text_hash, a, b): ranges of starts of repeated windows, which may touch or repeat."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = saved(slim.mapInArrow(_stretch_table(length, gram), f"doc_id {kind}, text_hash bigint, class bigint, print bigint, place bigint"))
+    slim = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    table = saved_bounded(slim.mapInArrow(_stretch_table(length, gram), f"doc_id {kind}, text_hash bigint, class bigint, print bigint, place bigint"))
     several = (F.count("*") == 1) | (F.min("print") != F.max("print"))
     own = F.max(F.col("place").bitwiseAND(F.lit(1))) == 1
     classes = table.groupBy("class").agg(F.count("*").alias("n"), several.alias("mixed"), own.alias("own")).filter("n > 1 or own").select("class", "mixed")
@@ -300,8 +300,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     repeated rows are copies of each other. kept_text leaves out the rests of
     characters that a removed run cuts.
     """
+    with bounded_batches(docs.sparkSession):
+        return _remove_repeats(docs, length, keep_text, sizes)
+
+
+def _remove_repeats(docs: DataFrame, length: int, keep_text: bool, sizes: dict) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranges = spans(docs, length, **sizes).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # at most the document's
-    slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     both = _joined(slim, ranges, "ranges", "left")
-    return both.mapInArrow(_digest(length, keep_text), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * keep_text)
+    return saved(both.mapInArrow(_digest(length, keep_text), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * keep_text))

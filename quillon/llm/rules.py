@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._common import saved, small
+from quillon.llm._common import same_text, saved, small, text_hash
 
 SPACE = r"[ \t\n\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
@@ -65,7 +65,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
-        F.xxhash64("text").alias("text_hash"),
+        text_hash(F.col("text")).alias("text_hash"),
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -133,9 +133,7 @@ def judge(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def kept_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents that the rules keep, all columns."""
-    good = judge(docs, least).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == good["_hash"])
-    return docs.join(good, same, "left_semi")
+    return same_text(docs, judge(docs, least).filter("kept"), "left_semi")
 
 
 def _sql() -> str:

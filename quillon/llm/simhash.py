@@ -1,10 +1,7 @@
 """SimHash near-duplicates, found by covering locality-sensitive hashing.
 
-Each fingerprint bit has a nonzero vector of radius + 1 bits. A table stands for a
-nonzero vector v; its key keeps the bits whose vector has an odd product with v.
-The vectors of `radius` differing bits span less than the space, so some v is
-orthogonal to all of them: in its table both fingerprints keep the same bits.
-So every pair within the radius shares a bucket, by construction and not by chance.
+A table for each covering mask (see covering) has a bucket for each value of the
+fingerprint's masked bits, so every pair within the radius shares a bucket.
 
 Equal fingerprints are one class before any table is built. A bucket of two is its
 smallest and largest member, so most buckets need only partial aggregates. Larger
@@ -24,11 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import bounded_batches, saved, text_buffer
+from quillon.llm import near_copies
+from quillon.llm._common import saved, saved_bounded, small, text_buffer, text_hash
 from quillon.llm.components import components
-from quillon.llm.near_copies import one_of_each
+from quillon.llm.covering import RADIUS, masks, signed
 
-SHINGLE, RADIUS = 3, 3
+SHINGLE = 3
 #: Members of a bucket that one task compares with each other.
 PAIRWISE = 4096
 
@@ -65,20 +63,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             got = np.array([fingerprint(raw[at[i] : at[i + 1]], shingle) for i in range(b.num_rows)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    slim = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("text_hash"))
     return slim.mapInArrow(batch, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
-def masks(radius: int, bits: int = 64) -> list[int]:
-    """The covering masks: bit i has the vector 1 + i mod (2**(radius + 1) - 1)."""
-    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
-    return [sum(1 << i for i, p in enumerate(vectors) if bin(p & v).count("1") % 2) for v in range(1, 2 ** (radius + 1))]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _stars(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``members``: rounds of a seed and all that it reaches."""
     out, free = [], np.ones(len(members), bool)
@@ -132,13 +120,13 @@ def _variants(radius: int, kept: list[int]):
 def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
     """(a, b): links that connect all distinct ``fp`` within ``radius`` bits of each other, directly or through others."""
     kept = masks(radius)
-    rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in kept])).alias("t", "k"))
+    rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in kept])).alias("t", "k"))
     buckets = saved(rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).filter("n > 1"))
     two = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    many = rows.join(buckets.filter("n > 2").select("t", "k", "n"), ["t", "k"])
-    small = many.filter(F.col("n") <= pairwise).groupBy("t", "k").agg(F.collect_set("fp").alias("fps"))  # at most `pairwise` members
-    small = small.select("fps").mapInArrow(_bucket_links(radius), "a bigint, b bigint")
-    out = two.unionByName(small)
+    many = rows.join(small(buckets.filter("n > 2").select("t", "k", "n")), ["t", "k"])
+    few = many.filter(F.col("n") <= pairwise).groupBy("t", "k").agg(F.collect_set("fp").alias("fps"))  # at most `pairwise` members
+    few = few.select("fps").mapInArrow(_bucket_links(radius), "a bigint, b bigint")
+    out = two.unionByName(few)
     if buckets.filter(F.col("n") > pairwise).limit(1).count():
         large = many.filter(F.col("n") > pairwise).select("t", "k", "fp").mapInArrow(_variants(radius, kept), "v bigint, fp bigint, near boolean")
         hub = large.filter("near").groupBy("v").agg(F.min("fp").alias("a"))
@@ -148,13 +136,13 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
 
 def _grouped(docs: DataFrame, shingle: int, radius: int, pairwise: int) -> DataFrame:
     """As near_duplicates, with component: the smallest fingerprint of the document's component, its own name."""
-    prints = saved(fingerprints(docs, shingle))
+    prints = saved_bounded(fingerprints(docs, shingle))
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     named = components(links(classes, radius, pairwise))
-    named = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    named = classes.join(small(named.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(lowest, "component").select("fp", "component", "component_id")
-    out = prints.join(named, "fp")
+    out = prints.join(small(named), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "component")
 
 
@@ -168,10 +156,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return _grouped(docs, shingle, radius, pairwise).drop("component")
 
 
-def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents of which each group of near-duplicates keeps one: that with the smallest doc_id, all columns.
+def one_of_each_class(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The documents of which each component of fingerprints keeps one: that with the smallest doc_id, all columns.
 
     Of rows that repeat this doc_id one stays: that with the smallest text hash,
     and of rows equal in that too, one. Groups with equal or null doc_ids stay apart.
     """
-    return one_of_each(docs, _grouped(docs, shingle, radius, PAIRWISE))
+    return near_copies.one_of_each(docs, _grouped(docs, shingle, radius, PAIRWISE))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents of which each group of near copies keeps one: SimHash candidates, then exact five-word similarity (see near_copies)."""
+    return near_copies.deduplicated(docs)

@@ -42,19 +42,19 @@ def rows_of_families():
     return rows
 
 
-@pytest.mark.parametrize("most", [16, 2])
-def test_groups_against_all_pairs(spark, most):
+@pytest.mark.parametrize(("most", "block"), [(16, 512), (2, 512), (2, 7)])
+def test_groups_against_all_pairs(spark, most, block):
     docs = documents(spark, rows_of_families()).repartition(3).cache()
     rows = docs.select("doc_id", "text").collect()
     want = collections.defaultdict(list)
     for r, g in zip(rows, slow_groups([r.text for r in rows])):
         want[g].append(r.doc_id)
     got = collections.defaultdict(list)
-    for r in near_copies.grouped(docs, most).collect():
+    for r in near_copies.grouped(docs, most, block).collect():
         got[r.component].append(r.doc_id)
     norm = lambda groups: sorted(sorted(map(str, g)) for g in groups.values())
     assert norm(got) == norm(want)
-    assert near_copies.deduplicated(docs, most).count() == len(want)
+    assert near_copies.deduplicated(docs, most, block).count() == len(want)
 
 
 def test_spanning_crosses_labels_only():

@@ -100,7 +100,7 @@ def test_components_of_long_paths(spark):
 
 
 def test_deduplication_keeps_one_of_each_group(spark, docs):
-    kept = simhash.deduplicated(docs).select("doc_id").collect()
+    kept = simhash.one_of_each_class(docs).select("doc_id").collect()
     ids = [r.doc_id for r in kept]
     assert 0 in ids and 20 not in ids and ids.count(3) == 1
     assert sum(i in (23, 24, 25) for i in ids) == 1
