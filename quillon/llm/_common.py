@@ -92,10 +92,16 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def fewer_tasks(df: DataFrame, share: int = 8) -> DataFrame:
-    """``df`` in one task for every ``share`` of its partitions (two a core at least): for tasks whose results have a fixed size."""
+def sized(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """``df``, saved, in one task for every ``rows`` of it (two a core at least), so that small tables aren't many tasks."""
+    df = saved(df)
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
+def fewer_tasks(df: DataFrame, share: int = 8, least: int = 2) -> DataFrame:
+    """``df`` in one task for every ``share`` of its partitions (``least`` a core at least): for tasks whose results have a fixed size."""
     context = df.sparkSession.sparkContext
-    return df.coalesce(max(2 * context.defaultParallelism, df.rdd.getNumPartitions() // share))
+    return df.coalesce(max(least * context.defaultParallelism, df.rdd.getNumPartitions() // share))
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:

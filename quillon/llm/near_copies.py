@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import LOWER, NOT_SPACE, free_name, mixed, pieces, prefix_hash, same_text, saved, saved_bounded, small, span_hash, text_buffer, text_hash, word_spans
+from quillon.llm._common import LOWER, NOT_SPACE, bounded_batches, free_name, mixed, pieces, prefix_hash, same_text, saved, saved_bounded, sized, small, span_hash, text_buffer, text_hash, word_spans
 from quillon.llm.components import components
 from quillon.llm.covering import RADIUS, masks, signed
 
@@ -125,27 +125,28 @@ def shingles(docs: DataFrame, made: DataFrame, wanted: DataFrame, size: int = WO
     one = made.join(small(wanted.select("cls").distinct()), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("cls", "x.*")
     plain = docs.select("doc_id", "text")
     texts = same_text(plain, small(one), "inner", "cls").select("cls", F.col("text").cast("string").alias("text"))
-    return saved_bounded(texts.mapInArrow(batch, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]))
+    with bounded_batches(docs.sparkSession):
+        return sized(texts.mapInArrow(batch, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"]), 1 << 13)
 
 
 def _ends(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """``pairs`` with the ``columns`` of both classes, named _a and _b."""
-    for end in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
-    return pairs
+    pairs = small(pairs)
+    a, b = (table.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)).join(pairs, end) for end in ("a", "b"))
+    return a.join(b, ["a", "b"])
 
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the ``pairs`` (a, b) that their sets' sizes and bitmaps allow to be near copies."""
     differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
     alike = 5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")
-    return saved(_ends(pairs, classes, "size", "bits").filter(alike & (9 * differ <= F.col("size_a") + F.col("size_b"))).select("a", "b"))
+    return sized(_ends(pairs, classes, "size", "bits").filter(alike & (9 * differ <= F.col("size_a") + F.col("size_b"))).select("a", "b"))
 
 
 def checked(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Those of the ``pairs`` whose sets have a Jaccard similarity of 4/5 or more."""
     both = _ends(pairs, held, "shingles")
-    return saved(both.filter(9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b"))
+    return sized(both.filter(9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b"))
 
 
 def buckets(classes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -154,9 +155,9 @@ def buckets(classes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFr
     rows = classes.select("cls", F.posexplode("fps").alias("s", "fp"))
     keys = F.array(*[F.xxhash64(F.col("s") * len(kept) + t, F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(kept)])
     rows = rows.select("cls", "fp", F.explode(keys).alias("key"))
-    found = saved(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("fp").alias("differ")).filter("n > 1"))
+    found = sized(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("fp").alias("differ")).filter("n > 1"))
     two = found.filter((F.col("n") == 2) & (F.bit_count("differ") <= radius)).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    many = saved(rows.join(small(found.filter("n > 2").select("key", "n", "lo")), "key"))
+    many = sized(rows.join(small(found.filter("n > 2").select("key", "n", "lo")), "key"))
     hubs = small(many.filter("cls = lo").select("key", F.col("fp").alias("hub")))
     stars = many.filter("cls != lo").join(hubs, "key").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius).select(F.col("lo").alias("a"), F.col("cls").alias("b"))
     return two.union(stars).distinct(), many.select("key", "n", "cls", "fp")
@@ -218,7 +219,7 @@ def blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
     """(node, component) of the classes that have a near copy; ``made`` is what `described` gave, saved."""
-    classes = saved(made.select("cls", "size", "bits", "fps").dropDuplicates(["cls"]))
+    classes = sized(made.select("cls", "size", "bits", "fps").dropDuplicates(["cls"]))
     stars, many = buckets(classes)
     stars = possible(stars, classes)
     held = shingles(docs, made, stars.select(F.explode(F.array("a", "b")).alias("cls")))
@@ -229,7 +230,7 @@ def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: in
     found = small(components(links))
     tagged = label(many, "cls", found).withColumnRenamed("of_cls", "label")
     open_ = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    left = saved(tagged.join(small(open_), "key", "left_semi"))
+    left = sized(tagged.join(small(open_), "key", "left_semi"))
     few = left.filter(F.col("n") <= most).groupBy("key").agg(F.collect_list(F.struct("cls", "label", "fp")).alias("m")).select("m", F.explode("m").alias("x"))  # at most `most` members
     near = f"filter(m, y -> y.cls > x.cls and y.label != x.label and bit_count(y.fp ^ x.fp) <= {RADIUS})"
     pairs = few.select("x", F.explode(F.expr(near)).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
@@ -239,9 +240,9 @@ def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: in
         links = links.union(more)
     large = left.filter(F.col("n") > most)
     if large.limit(1).count():
-        hub = large.groupBy("key").agg(F.min("cls").alias("hub"))
-        meet = components(large.join(hub, "key").select(F.col("hub").alias("a"), F.col("cls").alias("b")))
-        members = large.select("cls", "label").distinct().join(meet.withColumnRenamed("component", "meet"), F.col("cls") == F.col("node")).select("meet", "cls", "label")
+        lowest = large.groupBy("key").agg(F.min("label").alias("lo"))
+        meet = components(large.select("key", "label").distinct().join(small(lowest), "key").select(F.col("lo").alias("a"), F.col("label").alias("b")))  # of components that share a bucket
+        members = large.select("cls", "label").distinct().join(small(meet.withColumnRenamed("component", "meet")), F.col("label") == F.col("node")).select("meet", "cls", "label")
         dealt = blocks(saved(members), block).join(shingles(docs, made, members), "cls")
         links = links.union(saved(dealt.groupBy("meet", "i", "j").applyInArrow(_compare, "a bigint, b bigint")))
     return components(links)

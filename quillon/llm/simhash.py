@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import near_copies
-from quillon.llm._common import saved, saved_bounded, small, text_buffer, text_hash
+from quillon.llm._common import saved_bounded, sized, small, text_buffer, text_hash
 from quillon.llm.components import components
 from quillon.llm.covering import RADIUS, masks, signed
 
@@ -121,7 +121,7 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
     """(a, b): links that connect all distinct ``fp`` within ``radius`` bits of each other, directly or through others."""
     kept = masks(radius)
     rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in kept])).alias("t", "k"))
-    buckets = saved(rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).filter("n > 1"))
+    buckets = sized(rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).filter("n > 1"))
     two = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     many = rows.join(small(buckets.filter("n > 2").select("t", "k", "n")), ["t", "k"])
     few = many.filter(F.col("n") <= pairwise).groupBy("t", "k").agg(F.collect_set("fp").alias("fps"))  # at most `pairwise` members
@@ -137,7 +137,7 @@ def links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> Dat
 def _grouped(docs: DataFrame, shingle: int, radius: int, pairwise: int) -> DataFrame:
     """As near_duplicates, with component: the smallest fingerprint of the document's component, its own name."""
     prints = saved_bounded(fingerprints(docs, shingle))
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = sized(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     named = components(links(classes, radius, pairwise))
     named = classes.join(small(named.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
