@@ -10,9 +10,11 @@ are located by walking to a sampled position. A word's spans merge in a differen
 array. Words are numbered by a 64-bit hash; an occurrence counts only if its bytes
 are the phrase's.
 
-Nothing is shuffled. The benchmark goes to the executors in blocks of at most
-`BLOCK_BYTES` of text, each its own broadcast, read one at a time, so its size is
-bounded by the driver's disk and not by memory.
+Nothing is shuffled. The benchmark passes the driver as a stream and goes to the
+executors in blocks of about `BLOCK_BYTES` of text, each a broadcast of a few flat
+arrays. A worker holds one block at a time: it goes through the blocks to and fro,
+piece of documents after piece, and drops each block for the next. An index is
+built for each block, since symbols are numbered in a block.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from quillon.llm._common import ALNUM, LOWER, free_name, pieces, prefix_hash, same_text, saved_bounded, small, span_hash, text_buffer, text_hash, word_spans
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+#: Windows searched together.
+TOGETHER = 1 << 15
 SAMPLE = 8
 
 
@@ -124,7 +128,7 @@ class FMIndex:
 
 
 class Phrases:
-    """A block of benchmark items: their distinct windows as symbols, and which items hold each."""
+    """A block of benchmark items in flat arrays: their words, their distinct windows and which items hold each."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         data = LOWER[np.frombuffer(b"".join(t for _, t in items), np.uint8)]
@@ -132,27 +136,52 @@ class Phrases:
         starts, ends, at = word_spans(data, offsets, ALNUM)
         hashes = span_hash(prefix_hash(data), starts, ends)
         self.names = [i for i, _ in items]
+        self.raw = data.tobytes()
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
         self.words = np.unique(hashes)
-        symbols = np.searchsorted(self.words, hashes) + 1
-        raw = data.tobytes()
-        self.by_length: dict[int, tuple[np.ndarray, list[bytes], list[list[int]]]] = {}
-        found: dict[tuple[int, bytes], tuple[np.ndarray, list[int]]] = {}
-        for k in range(len(items)):
-            n = int(at[k + 1] - at[k])
-            size = min(n, window)
-            for i in range(int(at[k]), int(at[k + 1]) - size + 1) if n else ():
-                text = b" ".join(raw[starts[j] : ends[j]] for j in range(i, i + size))
-                own = found.setdefault((size, text), (symbols[i : i + size], []))[1]
-                if not own or own[-1] != k:
-                    own.append(k)
-        for (size, text), (s, own) in found.items():
-            m, t, o = self.by_length.setdefault(size, ([], [], []))
-            m.append(s), t.append(text), o.append(own)
-        self.by_length = {k: (np.array(m, np.int64), t, o) for k, (m, t, o) in self.by_length.items()}
-        self.shortest = min(self.by_length, default=0)
-
-
-def _hits(data, starts, ends, hashes, at, phrases: Phrases, diff: np.ndarray, pairs: set) -> None:
+        self.symbols = (np.searchsorted(self.words, hashes) + 1).astype(np.int32)
+        n = np.diff(at)
+        size = np.minimum(n, window)
+        many = np.where(n > 0, n - size + 1, 0)
+        owner = np.repeat(np.arange(len(items)), many)
+        first = np.arange(int(many.sum())) + np.repeat(at[:-1] - (np.cumsum(many) - many), many)
+        size = size[owner]
+        text = lambda i, k: b" ".join(self.raw[x:y] for x, y in zip(starts[i : i + k].tolist(), ends[i : i + k].tolist()))
+        digests = np.frombuffer(b"".join(hashlib.blake2b(text(i, k), digest_size=16).digest() for i, k in zip(first.tolist(), size.tolist())), "V16")
+        _, one, which = np.unique(digests, return_index=True, return_inverse=True)
+        self.first, self.size = first[one].astype(np.int32), size[one].astype(np.int32)
+        held = np.unique(which.astype(np.int64) * max(len(items), 1) + owner)
+        self.owners = (held % max(len(items), 1)).astype(np.int32)
+        self.owned = np.searchsorted(held // max(len(items), 1), np.arange(len(one) + 1)).astype(np.int32)
+        self.shortest = int(self.size.min(initial=window + 1)) if len(self.size) else 0
+
+    def equal(self, phrase: int, raw: bytes, starts: np.ndarray, ends: np.ndarray, word: int) -> bool:
+        """Whether the document's words from ``word`` on are the phrase's, byte by byte."""
+        a, n = int(self.first[phrase]), int(self.size[phrase])
+        if raw[starts[word] : ends[word + n - 1]] == self.raw[self.starts[a] : self.ends[a + n - 1]]:
+            return True
+        return all(raw[starts[word + k] : ends[word + k]] == self.raw[self.starts[a + k] : self.ends[a + k]] for k in range(n))
+
+
+class Blocks:
+    """The broadcast blocks in a worker, of which one is loaded at a time."""
+
+    def __init__(self, sent: list):
+        self.sent, self.at, self.loaded = sent, -1, None
+
+    def each(self):
+        """All blocks, from the end that was reached last."""
+        n = len(self.sent)
+        for i in range(n) if self.at < n - 1 or n == 1 else range(n - 1, -1, -1):
+            if i != self.at:
+                self.loaded = None
+                block = self.sent[i]
+                self.loaded = block.load_from_path(block._path) if getattr(block, "_path", None) else block.value  # value would be kept
+                self.at = i
+            yield self.loaded
+
+
+def _hits(raw: bytes, starts, ends, hashes, at, phrases: Phrases, diff: np.ndarray, pairs: set) -> None:
     """Adds the spans of all occurrences to ``diff`` (over words) and (document, item name) to ``pairs``."""
     if not phrases.shortest or not len(hashes):
         return
@@ -178,31 +207,34 @@ def _hits(data, starts, ends, hashes, at, phrases: Phrases, diff: np.ndarray, pa
     where[inside] = np.arange(int(size.sum())) + np.repeat(begins - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
     text[inside] = symbol[where[inside]]
     index = FMIndex(text, len(phrases.words))
-    for length, (matrix, texts, owners) in phrases.by_length.items():
-        low, high = index.search(matrix)
-        which = np.flatnonzero(high > low)
-        if not len(which):
-            continue
-        times = (high - low)[which]
-        rows = np.arange(int(times.sum())) + np.repeat(low[which] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-        first = where[index.locate(rows)]
-        phrase = np.repeat(which, times)
-        docs = np.searchsorted(at, first, "right") - 1
-        for w, p, d in zip(first.tolist(), phrase.tolist(), docs.tolist()):
-            if b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(w, w + length)) == texts[p]:
-                diff[w] += 1
-                diff[w + length] -= 1
-                pairs.update((d, phrases.names[k]) for k in owners[p])
-
-
-def _scan(data: np.ndarray, offsets: np.ndarray, blocks) -> list[tuple[int, int, list[str], list[int]]]:
+    for length in np.unique(phrases.size).tolist():
+        own = np.flatnonzero(phrases.size == length)
+        for k in range(0, len(own), TOGETHER):
+            part = own[k : k + TOGETHER]
+            low, high = index.search(phrases.symbols[phrases.first[part][:, None] + np.arange(length)].astype(np.int64))
+            which = np.flatnonzero(high > low)
+            if not len(which):
+                continue
+            times = (high - low)[which]
+            rows = np.arange(int(times.sum())) + np.repeat(low[which] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+            first = where[index.locate(rows)]
+            phrase = np.repeat(part[which], times)
+            docs = np.searchsorted(at, first, "right") - 1
+            for w, p, d in zip(first.tolist(), phrase.tolist(), docs.tolist()):
+                if phrases.equal(p, raw, starts, ends, w):
+                    diff[w] += 1
+                    diff[w + length] -= 1
+                    pairs.update((d, phrases.names[i]) for i in phrases.owners[phrases.owned[p] : phrases.owned[p + 1]].tolist())
+
+
+def _scan(data: np.ndarray, offsets: np.ndarray, blocks: Blocks) -> list[tuple[int, int, list[str], list[int]]]:
     """n_words, n_hit, item names and [first word, end word, ...] spans of each document."""
     data = LOWER[data]
     starts, ends, at = word_spans(data, offsets, ALNUM)
     hashes = span_hash(prefix_hash(data), starts, ends)
-    diff, pairs = np.zeros(len(hashes) + 1, np.int64), set()
-    for block in blocks:
-        _hits(data, starts, ends, hashes, at, block.value, diff, pairs)
+    diff, pairs, raw = np.zeros(len(hashes) + 1, np.int64), set(), data.tobytes()
+    for block in blocks.each():
+        _hits(raw, starts, ends, hashes, at, block, diff, pairs)
     hit = np.cumsum(diff[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     items: dict[int, list[str]] = {}
@@ -221,7 +253,7 @@ def _scan(data: np.ndarray, offsets: np.ndarray, blocks) -> list[tuple[int, int,
 
 
 def _blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of the benchmark, each of at most about BLOCK_BYTES of text."""
+    """Broadcasts of the benchmark, each of about BLOCK_BYTES of text or one longer item."""
     context = benchmark.sparkSession.sparkContext
     out, block, size = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
@@ -245,10 +277,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     alternating ends. Null texts have no words; null items or item names are left
     out; repeated rows are judged alike; an empty benchmark hits nothing.
     """
-    blocks = _blocks(benchmark, window)
+    sent = _blocks(benchmark, window)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash(F.col("text")).alias("text_hash"))
 
     def run(batches):
+        blocks = Blocks(sent)
         for b in batches:
             data, offsets = text_buffer(b.column(1))
             for i, j in pieces(offsets):
@@ -261,6 +294,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     out = saved_bounded(slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_words bigint, n_hit bigint, items array<string>, spans array<bigint>"))
+    for block in sent:
+        block.destroy()
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
