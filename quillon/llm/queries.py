@@ -68,6 +68,7 @@ SQL = {
     "op2_preference_pairs": preferences.SQL,
     "op3_fm_decontamination": decontaminate.SQL,
     "op4_dated_url_lists": url_lists.SQL,
+    "op6_induced_repeats": repeats.SQL,
     "op7_tree_mix": mixing.SQL,
     "op9_adaptive_rules": rules.SQL,
 }

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import _BASE, _INVERSE, bounded_batches, mixed, pieces, powers, prefix_hash, saved, saved_bounded, text_buffer, text_hash
+from quillon.llm._common import _BASE, _INVERSE, bounded_batches, mixed, pieces, powers, prefix_hash, saved, saved_bounded, small, text_buffer, text_hash
 from quillon.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
@@ -242,16 +242,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes:
         return whole
     wanted = one.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "class", "print", "whole")).alias("wanted"))  # at most the document's
     cut = _joined(slim, wanted, "wanted", "inner").mapInArrow(_cut(length), f"doc_id {kind}, text_hash bigint, start int, class bigint, print bigint, whole boolean, bytes binary")
-    large = sizes.filter(F.col("size") > class_bytes).select("class")
+    # a class of half a shard or more is a shard of its own, so that few of them never meet in one task
     hot = total[1] > class_bytes
+    cut = cut.join(small(sizes.filter(F.col("size") > shard_bytes // 2)), "class", "left")
     if hot:
         cut = saved(cut)
-    normal = cut.join(large, "class", "left_anti") if hot else cut
-    shard = F.pmod(F.xxhash64("class"), F.lit(max(1, -(-int(total[0]) // shard_bytes)))).cast("int").alias("shard")
-    normal = normal.select(shard, "doc_id", "text_hash", "start", "class", "print", "whole", "bytes")
-    out = whole.unionByName(normal.groupBy("shard").applyInArrow(_sort_shard(length), _RANGES.format(kind=kind)))
+    normal = cut.filter(F.coalesce(F.col("size") <= class_bytes, F.lit(True))) if hot else cut
+    shard = F.pmod(F.xxhash64("class"), F.lit(max(1, -(-int(total[0]) // shard_bytes))))
+    normal = normal.select(F.when(F.col("size").isNotNull(), F.col("class")).alias("own"), F.when(F.col("size").isNull(), shard).alias("shard"), "doc_id", "text_hash", "start", "class", "print", "whole", "bytes")
+    out = whole.unionByName(normal.groupBy("own", "shard").applyInArrow(_sort_shard(length), _RANGES.format(kind=kind)))
     if hot:
-        rows = cut.join(large, "class", "left_semi").dropDuplicates(["class", "print"]).select("doc_id", "text_hash", "start", "whole", "bytes")
+        rows = cut.filter(F.col("size") > class_bytes).dropDuplicates(["class", "print"]).select("doc_id", "text_hash", "start", "whole", "bytes")
         hashed = rows.mapInArrow(_window_hashes(length), f"doc_id {kind}, text_hash bigint, a int, whole boolean, h1 bigint, h2 bigint")
         twice = hashed.groupBy("h1", "h2").count().filter("count > 1").drop("count")
         hashed = hashed.join(twice, ["h1", "h2"]).filter("not whole").select("doc_id", "text_hash", "a", F.expr("a + 1").alias("b"))
@@ -310,3 +311,14 @@ def _remove_repeats(docs: DataFrame, length: int, keep_text: bool, sizes: dict)
     slim = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     both = _joined(slim, ranges, "ranges", "left")
     return saved(both.mapInArrow(_digest(length, keep_text), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * keep_text))
+
+
+SQL = f"""with d as (select doc_id, row_number() over () as r, encode(coalesce(text, '')) as b from documents),
+  w as (select r, i, md5(b[i + 1:i + {LENGTH}]) as h from (select r, b, unnest(range(0, octet_length(b) - {LENGTH - 1})) as i from d)),
+  twice as (select r, i from (select r, i, count(*) over (partition by h) as n from w) where n > 1),
+  run as (select r, i, sum(new) over (partition by r order by i) as k from (select r, i, case when i > lag(i) over (partition by r order by i) + {LENGTH} then 1 else 0 end as new from twice)),
+  gone as (select r, min(i) as a, max(i) + {LENGTH} as z from run group by r, k),
+  cut as (select r, z as a from gone union all select r, 0 from d),
+  kept as (select cut.r, cut.a, coalesce(min(gone.a), octet_length(any_value(b))) as z, any_value(b) as b from cut join d using (r) left join gone on gone.r = cut.r and gone.a >= cut.a group by cut.r, cut.a),
+  rest as (select r, sha256(unhex(string_agg(hex(b[a + 1:z]), '' order by a))) as kept_sha256 from kept group by r)
+  select doc_id, octet_length(b) as n_bytes, coalesce((select sum(z - a) from gone where gone.r = d.r), 0)::bigint as n_removed, (select count(*) from gone where gone.r = d.r) as n_spans, kept_sha256 from d join rest using (r)"""
