@@ -19,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm._common import free_name, text_hash
+
 RING = 1 << 31
 VIRTUAL = 64
 #: Ranges of each arc that are ranked apart.
@@ -75,46 +77,43 @@ def assign(rows: DataFrame, key: str, shards: int, virtual: int = VIRTUAL, tie:
     """``rows`` with columns shard and slot (gapless from 0 in each shard).
 
     ``tie``: columns that order rows with the same key; rows equal in them too
-    are interchangeable. An empty table gives an empty result. The columns arc,
-    cell, rank, shard and slot of the input, if any, are replaced.
+    are interchangeable. An empty table gives an empty result. Columns shard and
+    slot of the input, if any, are replaced; all others stay.
     """
     spark = rows.sparkSession
     nodes = ring(shards, virtual)
     places = [p for p, _ in nodes]
-    rows = rows.drop("shard", "slot", "_place", "_arc", "_cell", "_rank", "_pieces")
+    rows = rows.drop("shard", "slot")
+    place, low, arc, cell, rank, held, piece = (free_name(rows, c) for c in ("_place", "_low", "_arc", "_cell", "_rank", "_pieces", "_piece"))
     # The arc of a place: binary search in the ring, as one lookup of its high bits and a short scan.
     step = RING >> 12
     first = F.array(*[F.lit(bisect.bisect_left(places, i * step)) for i in range(4096)])
     nearby = max(bisect.bisect_left(places, (i + 1) * step) - bisect.bisect_left(places, i * step) for i in range(4096))
     ends = F.array(*[F.lit(p) for p in places + [RING] * (nearby + 1)])
-    placed = rows.withColumn("_place", ring_place(F.col(key)))
-    low = F.element_at(first, (F.col("_place") / step).cast("int") + 1)
-    placed = placed.withColumn("_low", low)
-    past = sum((F.when(F.element_at(ends, F.col("_low") + 1 + i) < F.col("_place"), 1).otherwise(0) for i in range(nearby)), F.lit(0))
-    placed = placed.withColumn("_arc", F.pmod(F.col("_low") + past, F.lit(len(nodes))).cast("int")).drop("_low")
-    placed = placed.withColumn("_cell", F.pmod(F.xxhash64(F.lit("cell"), "_place", *(tie or [])), F.lit(CELLS)).cast("int"))
-    cells = placed.groupBy("_arc", "_cell").count()
-    cells = cells.groupBy("_arc").agg(F.array_sort(F.collect_list(F.struct("_cell", "count"))).alias("cells")).collect()  # bounded: nodes x CELLS
-    counts = {r["_arc"]: sum(c["count"] for c in r["cells"]) for r in cells}
+    placed = rows.withColumn(place, ring_place(F.col(key)))
+    placed = placed.withColumn(low, F.element_at(first, (F.col(place) / step).cast("int") + 1))
+    past = sum((F.when(F.element_at(ends, F.col(low) + 1 + i) < F.col(place), 1).otherwise(0) for i in range(nearby)), F.lit(0))
+    placed = placed.withColumn(arc, F.pmod(F.col(low) + past, F.lit(len(nodes))).cast("int")).drop(low)
+    placed = placed.withColumn(cell, F.pmod(F.xxhash64(F.lit("cell"), place, *(tie or [])), F.lit(CELLS)).cast("int"))
+    cells = placed.groupBy(F.col(arc).alias("arc"), F.col(cell).alias("cell")).count()
+    cells = cells.groupBy("arc").agg(F.array_sort(F.collect_list(F.struct("cell", "count"))).alias("cells")).collect()  # bounded: nodes x CELLS
+    counts = {r["arc"]: sum(c["count"] for c in r["cells"]) for r in cells}
     cut = walk(counts, nodes, bounds(sum(counts.values()), shards))
     table = []
     for r in cells:
         before = 0
         for c in r["cells"]:
             end = before + c["count"]
-            mine = [(max(a, before) - before, min(b, end) - before, s, slot + max(a, before) - a) for a, b, s, slot in cut[r["_arc"]] if a < end and b > before]
-            table.append((r["_arc"], c["_cell"], mine))
+            mine = [(max(a, before) - before, min(b, end) - before, s, slot + max(a, before) - a) for a, b, s, slot in cut[r["arc"]] if a < end and b > before]
+            table.append((r["arc"], c["cell"], mine))
             before = end
-    pieces = spark.createDataFrame(table, "_arc int, _cell int, _pieces array<struct<a:bigint,b:bigint,shard:int,slot:bigint>>")
-    order = Window.partitionBy("_arc", "_cell").orderBy("_place", F.col(key), *(tie or []))
-    ranked = placed.withColumn("_rank", F.row_number().over(order) - 1)
-    joined = ranked.join(F.broadcast(pieces), ["_arc", "_cell"])  # at most nodes x CELLS rows
-    joined = joined.withColumn("_piece", F.filter("_pieces", lambda p: (p["a"] <= F.col("_rank")) & (F.col("_rank") < p["b"]))[0])
-    return (
-        joined.withColumn("shard", F.col("_piece.shard"))
-        .withColumn("slot", (F.col("_piece.slot") + F.col("_rank") - F.col("_piece.a")).cast("bigint"))
-        .drop("_place", "_arc", "_cell", "_rank", "_pieces", "_piece")
-    )
+    pieces = spark.createDataFrame(table, f"{arc} int, {cell} int, {held} array<struct<a:bigint,b:bigint,shard:int,slot:bigint>>")
+    order = Window.partitionBy(arc, cell).orderBy(place, F.col(key), *(tie or []))
+    ranked = placed.withColumn(rank, F.row_number().over(order) - 1)
+    joined = ranked.join(F.broadcast(pieces), [arc, cell])  # at most nodes x CELLS rows
+    joined = joined.withColumn(piece, F.filter(held, lambda p: (p["a"] <= F.col(rank)) & (F.col(rank) < p["b"]))[0])
+    joined = joined.withColumn("shard", F.col(f"{piece}.shard")).withColumn("slot", (F.col(f"{piece}.slot") + F.col(rank) - F.col(f"{piece}.a")).cast("bigint"))
+    return joined.drop(place, arc, cell, rank, held, piece)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, virtual: int = VIRTUAL) -> DataFrame:
@@ -132,7 +131,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, virtual: int = VIRTUAL) -
 
 def shard_stage(docs: DataFrame, shards: int = 40) -> DataFrame:
     """The documents with their shard and slot."""
-    return assign(docs, "doc_id", shards, tie=[F.xxhash64("text")])
+    return assign(docs, "doc_id", shards, tie=[text_hash(F.col("text"))])
 
 
 def write_shards(sharded: DataFrame, folder: str) -> None:
