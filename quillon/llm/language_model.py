@@ -1,19 +1,24 @@
 """A hashed maximum-entropy language model with classes, trained on the cluster.
 
-P(word | before) = P(class | before) * P(word | class). The first factor is a
-softmax whose features are hashed: the word before, the word two before (a skip),
-and both together; a feature adds a row of weights over the classes. The second is
-the word's share of its class.
+Frequent words are leaves of a tree of classes: a class has up to `ARITY` parts of
+about equal mass, down to single words. P(word | before) is the product, down the
+word's path, of softmaxes over the parts of a class. A softmax starts from the
+parts' shares of the training tokens and adds the weights of three hashed features:
+the word before, the word two before (a skip), and both together.
 
 * Words are counted over all training texts (a shuffle of counts by word hash).
-* Frequent words (at most `HEAD`; none that occur once) have classes; the most frequent
-  `GROUPED` are clustered by the frequent words they follow, and each cluster is cut
-  by frequency. All other words, unknown ones included, are one class, in which
-  absolute discounting leaves room for unknown words.
-* Weights learn by gradient updates: each step sums the gradients of one part of the
-  training texts over the cluster, and the steps' parts are all of them.
-* Scores come from sparse numpy batches. Frequent words and weights are broadcast
-  (sizes fixed by parameters); rare words' counts come by a join, whatever the number.
+* At most `HEAD` frequent words (none that occur once) are leaves; all other words,
+  unknown ones included, are one leaf, in which absolute discounting leaves room for
+  unknown words. Their counts come by a join, whatever the number.
+* Every class has slots for the contexts that the features hash to, as many as its
+  share of the training tokens gives it. The slots grow with the training tokens, one
+  for each `TOKENS_A_SLOT`, up to `SLOTS`; that bound fixes the memory of a worker.
+* A feature's weight is the log-ratio of its slot's counts to the class's shares,
+  times a coefficient for features that occurred about as often on that level of the
+  tree. Counts are summed over all training texts. Coefficients learn by gradient
+  updates: each step sums gradients and curvatures over the cluster, on every
+  `PARTS`-th training text, against counts of the others.
+* Scores come from sparse numpy batches; frequent words and weights are broadcast.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ from pyspark.sql import functions as F
 from quillon.llm._common import LOWER, NOT_SPACE, bounded_batches, fewer_tasks, mixed, pieces, prefix_hash, saved, span_hash, text_buffer, word_spans
 
 HEAD = 1 << 18
-GROUPED, CONTEXTS = 8192, 63
-CLUSTERS, BINS, REST_BINS = 5, 4, 3
-#: Hashed features and gradient steps.
-FEATURES, STEPS = 1 << 14, 6
-BLOCK = 1024
+#: Parts of a class, and features of a context.
+ARITY, FEATURES = 16, 3
+TOKENS_A_SLOT, SLOTS = 2, 1 << 19
+#: Weight of the shares against a slot's counts, bins of counts, gradient steps and one part in so many for them.
+TRUST, BINS, STEPS, PARTS = 4.0, 10, 3, 8
+#: Slots of a block of counts, and tokens worked on together.
+BLOCK, TOGETHER = 1024, 1 << 16
 #: Hash of the end token, and of what stands before a text.
 END, START = np.uint64(1), np.uint64(2)
 PIECE = 1 << 19
@@ -105,110 +112,157 @@ def before(words: np.ndarray, at: np.ndarray, back: int) -> np.ndarray:
     return out
 
 
-def features(words: np.ndarray, at: np.ndarray, number: int) -> list[np.ndarray]:
-    """Hashed features of each token's context: the word before, the skip, both."""
+def contexts(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """32-bit hashes of each token's context: the word before, the skip, both."""
     one, two = before(words, at, 1), before(words, at, 2)
-    k = np.uint64(number - 1)
-    return [(mixed(x) & k).astype(np.int32) for x in (one ^ np.uint64(0x1111), two ^ np.uint64(0x2222 << 20), one * np.uint64(3) + two * np.uint64(0x9E3779B97F4A7C15))]
+    return [mixed(x) >> np.uint64(32) for x in (one ^ np.uint64(0x1111), two ^ np.uint64(0x2222 << 20), one * np.uint64(3) + two * np.uint64(0x9E3779B97F4A7C15))]
+
+
+class Tree:
+    """Classes of classes: for each leaf the classes on its path (-1 below it) and the part that each step takes."""
+
+    def __init__(self, mass: np.ndarray):
+        order = np.argsort(-mass, kind="stable")
+        upto = np.concatenate([[0.0], np.cumsum(mass[order])])
+        levels, self.classes, todo = [], 0, [(0, len(order))] if len(order) > 1 else []
+        while todo:
+            node, part, after = np.full(len(order), -1, np.int32), np.zeros(len(order), np.int8), []
+            for a, b in todo:
+                middle = (upto[a:b] + upto[a + 1 : b + 1]) / 2 - upto[a]
+                taken = np.arange(b - a) if b - a <= ARITY else np.minimum((middle / (upto[b] - upto[a]) * ARITY).astype(int), ARITY - 1)
+                node[order[a:b]], part[order[a:b]] = self.classes, taken
+                cut = [a, *(a + 1 + np.flatnonzero(np.diff(taken))).tolist(), b]
+                after += [(x, y) for x, y in zip(cut, cut[1:]) if y - x > 1]
+                self.classes += 1
+            levels.append((node, part))
+            todo = after
+        self.node = np.stack([n for n, _ in levels], axis=1) if levels else np.zeros((len(order), 0), np.int32)
+        self.part = np.stack([p for _, p in levels], axis=1) if levels else np.zeros((len(order), 0), np.int8)
+        self.share = np.zeros((self.classes, ARITY))
+        for k in range(len(levels)):
+            on = self.node[:, k] >= 0
+            np.add.at(self.share, (self.node[on, k], self.part[on, k]), mass[on])
+        self.mass = self.share.sum(axis=1)
+        self.share /= np.maximum(self.mass, 1e-300)[:, None]
 
 
 class Model:
-    """Classes, and the weights (features x classes) of the class softmax."""
-
-    def __init__(self, head: Head, classes: np.ndarray, number: int, tail_tokens: int, tail_types: int, discount: float, total: int):
-        self.head, self.classes, self.number = head, classes, number
-        mass = np.bincount(classes, head.counts, minlength=number).astype(np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.log_share = np.log10(head.counts / mass[classes])
-        mass[number - 1] += tail_tokens
-        self.prior = (mass + 0.5) / (mass.sum() + 0.5 * number)
-        self.bias = np.log(self.prior).astype(np.float32)
-        self.weights = np.zeros((FEATURES, number), np.float32)
-        self.tail_tokens, self.tail_types, self.discount, self.total = tail_tokens, tail_types, discount, total
-
-    def log_classes(self, feats: list[np.ndarray]) -> np.ndarray:
-        """Natural log-probabilities of the classes."""
-        x = self.weights[feats[0]]
-        for f in feats[1:]:
-            x += self.weights[f]
-        x += self.bias
-        x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, dtype=np.float32, keepdims=True))
-
-    def class_of(self, found: np.ndarray) -> np.ndarray:
-        return np.where(found >= 0, self.classes[found], self.number - 1) if len(self.classes) else np.full(len(found), self.number - 1)
-
-
-def _pairs(model_words, contexts):
-    """Counts of (frequent word, the frequent word before it)."""
+    """The tree, where each class's slots begin, and the slots' weights."""
+
+    def __init__(self, head: Head, slots: int, tail_tokens: int, tail_types: int, discount: float, total: int):
+        self.head, self.tail_tokens, self.tail_types, self.discount, self.total = head, tail_tokens, tail_types, discount, total
+        self.tree = Tree(np.concatenate([head.counts, [tail_tokens + 1]]).astype(float))
+        with np.errstate(divide="ignore"):
+            self.log_share = np.maximum(np.log(self.tree.share), -60).astype(np.float32)  # parts that a class hasn't have no mass
+        own = self.tree.mass / max(self.tree.mass.sum(), 1)
+        self.size = np.maximum(1, np.floor(slots / FEATURES * own)).astype(np.uint64)
+        self.first = np.concatenate([[0], np.cumsum(self.size.astype(np.int64))])
+        self.slots = FEATURES * int(self.first[-1])
+        self.levels = self.tree.node.shape[1]
+        self.scale = np.full((FEATURES, max(self.levels, 1), BINS), 1 / FEATURES)
+        self.weights: np.ndarray | None = None
+        self.bins: np.ndarray | None = None
+
+    def leaf(self, words: np.ndarray) -> np.ndarray:
+        """Each word's leaf; the last is that of all words that aren't frequent."""
+        found = self.head.find(words)
+        return np.where(found >= 0, found, len(self.head.words))
+
+    def steps(self, leaves: np.ndarray, hashes: list[np.ndarray]):
+        """Level by level: the tokens that go on, their classes, the parts taken, and the slots of the features."""
+        for k in range(self.levels):
+            node = self.tree.node[leaves, k]
+            live = np.flatnonzero(node >= 0)
+            if not len(live):
+                return
+            node = node[live]
+            size, first = self.size[node], self.first[node]
+            slots = [i * self.first[-1] + first + ((h[live] * size) >> np.uint64(32)).astype(np.int64) for i, h in enumerate(hashes)]
+            yield k, live, node, self.tree.part[leaves[live], k].astype(np.int64), slots
+
+    def ratios(self, counts: np.ndarray) -> np.ndarray:
+        """Log-ratios of the slots' counts to their classes' shares; 0 for parts that a class hasn't."""
+        node = np.repeat(np.arange(self.tree.classes), self.size.astype(np.int64))
+        out = np.zeros((self.slots, ARITY), np.float32)
+        for a in range(0, self.slots, 1 << 14):
+            b = min(a + (1 << 14), self.slots)
+            share = self.tree.share[node[np.arange(a, b) % max(len(node), 1)]]
+            n = counts[a:b].astype(np.float64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[a:b] = np.where(share > 0, np.log((n + TRUST * share) / (n.sum(axis=1, keepdims=True) + TRUST) / share), 0)
+        return out
 
-    def run(batches):
-        head, place = model_words.value, contexts.value
-        total = np.zeros(len(place[0]) * (CONTEXTS + 1), np.int64)
-        for b in batches:
-            data, offsets = text_buffer(b.column(0))
-            for i, j in pieces(offsets):
-                words, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found = head.find(words)
-                rank = np.where(found >= 0, place[1][found], len(place[0]))
-                prior = np.concatenate([[len(place[0])], rank[:-1]])
-                prior[at[:-1]] = len(place[0])
-                ok = rank < len(place[0])
-                total += np.bincount(rank[ok] * (CONTEXTS + 1) + np.minimum(prior[ok], CONTEXTS), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["pair", "n"])
+    def levels_of(self) -> np.ndarray:
+        """The level of each class."""
+        out = np.zeros(self.tree.classes, np.int64)
+        for k in range(self.levels):
+            out[self.tree.node[self.tree.node[:, k] >= 0, k]] = k
+        return out
 
-    return run
+    def finish(self, counts: np.ndarray) -> None:
+        """The weights of all counts: log-ratios times the coefficients."""
+        level, bins, n = np.repeat(self.levels_of(), self.size.astype(np.int64)), bins_of(counts), int(self.first[-1])
+        self.weights = self.ratios(counts)
+        for i in range(FEATURES):
+            self.weights[i * n : (i + 1) * n] *= self.scale[i, level, bins[i * n : (i + 1) * n]].astype(np.float32)[:, None]
+
+    def log10(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each token's leaf given what stands before it, and the leaves."""
+        leaves, hashes = self.leaf(words), contexts(words, at)
+        out = np.zeros(len(words))
+        for lo in range(0, len(words), TOGETHER):
+            own = slice(lo, lo + TOGETHER)
+            for _, live, node, part, slots in self.steps(leaves[own], [h[own] for h in hashes]):
+                x = self.log_share[node]
+                for s in slots:
+                    x += self.weights[s]
+                x -= x.max(axis=1, keepdims=True)
+                out[lo + live] += x[np.arange(len(part)), part] - np.log(np.exp(x).sum(axis=1))
+        return out / np.log(10), leaves
+
+
+def bins_of(counts: np.ndarray) -> np.ndarray:
+    """Bins of slots by the logarithm of their occurrences."""
+    return np.minimum(np.ceil(np.log2(counts.sum(axis=1, dtype=np.float64) + 1)), BINS - 1).astype(np.int8)
 
 
-def _clusters(matrix: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """k-means of the rows' context shares, from far-apart rows."""
-    if len(matrix) <= k:
-        return np.arange(len(matrix))
-    share = (matrix + 0.1) / (matrix.sum(axis=1, keepdims=True) + 0.1 * matrix.shape[1])
-    x = np.sqrt(share)
-    centres = [x[0]]
-    for _ in range(k - 1):
-        gap = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        gap[matrix.sum(axis=1) < np.median(matrix.sum(axis=1))] = -1
-        centres.append(x[int(gap.argmax())])
-    for _ in range(rounds):
-        near = np.argmin([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres = [x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(k)]
-    return near
+def _count(batches):
+    for b in batches:
+        data, offsets = text_buffer(b.column(0))
+        parts = []
+        for i, j in pieces(offsets):
+            parts.append(np.unique(tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0], return_counts=True))
+        if parts:
+            words, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def _binned(counts: np.ndarray, bins: int) -> np.ndarray:
-    """Bins of about equal mass of words in falling order of count."""
-    run = np.cumsum(counts) - counts / 2
-    return np.minimum((run / max(counts.sum(), 1) * bins).astype(np.int64), bins - 1)
+def _chunks(model: Model, batches):
+    """Leaves and context hashes of the texts' tokens, some at a time."""
+    for b in batches:
+        data, offsets = text_buffer(b.column(0))
+        for i, j in pieces(offsets, PIECE):
+            words, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            leaves, hashes = model.leaf(words), contexts(words, at)
+            for lo in range(0, len(words), TOGETHER):
+                own = slice(lo, lo + TOGETHER)
+                yield leaves[own], [h[own] for h in hashes]
 
 
-def _gradient(broadcast):
-    """Sums of (observed - expected) class counts, and of occurrences, of each feature."""
+def _slot_counts(broadcast):
+    """How often each part was taken in each slot, in blocks of slots."""
 
     def run(batches):
         model = broadcast.value
-        total = np.zeros((FEATURES, model.number + 1), np.float32)
-        for b in batches:
-            data, offsets = text_buffer(b.column(0))
-            for i, j in pieces(offsets, PIECE):
-                words, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                every = features(words, at, FEATURES)
-                for lo in range(0, len(words), 1 << 17):
-                    part = slice(lo, lo + (1 << 17))
-                    feats = [f[part] for f in every]
-                    error = np.exp(model.log_classes(feats))
-                    np.negative(error, out=error)
-                    error[np.arange(len(error)), model.class_of(model.head.find(words[part]))] += 1
-                    for f in feats:
-                        order = np.argsort(f.astype(np.uint16) if FEATURES <= 1 << 16 else f, kind="stable")
-                        s = f[order]
-                        cut = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
-                        total[s[cut], :-1] += np.add.reduceat(error[order], cut, axis=0)
-                        total[s[cut], -1] += np.diff(np.concatenate([cut, [len(s)]]))
-        for k in range(0, FEATURES, BLOCK):
-            if total[k : k + BLOCK, -1].any():
+        total = np.zeros((model.slots, ARITY), np.float32)
+        flat = total.reshape(-1)
+        for leaves, hashes in _chunks(model, batches):
+            for _, _, _, part, slots in model.steps(leaves, hashes):
+                for s in slots:
+                    np.add.at(flat, s * ARITY + part, np.float32(1))
+        for k in range(0, model.slots, BLOCK):
+            if total[k : k + BLOCK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + BLOCK].tobytes()], pa.binary())], ["block", "sums"])
 
     return run
@@ -221,7 +275,48 @@ def _summed(batches):
         for k, v in zip(b.column(0).to_pylist(), b.column(1)):
             x = np.frombuffer(v.as_py(), np.float32).astype(np.float64)
             sums[k] = sums[k] + x if k in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
+    for k, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
+
+
+def slopes(model: Model, leaves: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log-likelihood by the coefficients."""
+    first, second = np.zeros(model.scale.shape), np.zeros(model.scale.shape)
+    for k, _, node, part, slots in model.steps(leaves, hashes):
+        x, rows = model.log_share[node], []
+        for i, s in enumerate(slots):
+            rows.append((model.weights[s], model.bins[s]))
+            x += rows[i][0] * model.scale[i, k][rows[i][1]][:, None].astype(np.float32)
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+        for i, (r, n) in enumerate(rows):
+            mean = np.einsum("ij,ij->i", x, r)
+            first[i, k] += np.bincount(n, r[np.arange(len(part)), part] - mean, minlength=BINS)
+            second[i, k] += np.bincount(n, np.einsum("ij,ij,ij->i", x, r, r) - mean * mean, minlength=BINS)
+    return first, second
+
+
+def _gradient(broadcast, scale: np.ndarray):
+    def run(batches):
+        model = broadcast.value
+        model.scale = scale
+        total = np.zeros((2, *scale.shape))
+        for leaves, hashes in _chunks(model, batches):
+            total += slopes(model, leaves, hashes)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+
+    return run
+
+
+def _added(batches):
+    total = None
+    for b in batches:
+        for v in b.column(1):
+            x = np.frombuffer(v.as_py(), np.float64)
+            total = x if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -230,7 +325,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return saved(text.mapInArrow(_count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def train(docs: DataFrame, counts: DataFrame, head_size: int = HEAD, steps: int = STEPS) -> tuple[Model, int]:
+def train(docs: DataFrame, counts: DataFrame, head_size: int = HEAD, steps: int = STEPS, slots: int = SLOTS) -> tuple[Model, int]:
     """The model of the training texts, and the least count of its frequent words."""
     spark = docs.sparkSession
     context = spark.sparkContext
@@ -249,67 +344,47 @@ def train(docs: DataFrame, counts: DataFrame, head_size: int = HEAD, steps: int
     rows = counts.filter(F.col("n") >= least).toPandas()  # at most head_size rows
     head = Head(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
     del rows
-    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id")
-    order = np.lexsort((head.words, -head.counts))
-    rank = np.full(max(len(order), 1), 1 << 30, np.int64)
-    rank[order] = np.arange(len(order))
-    grouped = order[:GROUPED]
-    words = context.broadcast(head)
-    contexts = context.broadcast((grouped, np.minimum(rank, len(grouped))))
-    pairs = text.select("text").mapInArrow(_pairs(words, contexts), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most GROUPED * (CONTEXTS + 1) rows
-    matrix = np.zeros(len(grouped) * (CONTEXTS + 1))
-    matrix[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    near = _clusters(matrix.reshape(len(grouped), CONTEXTS + 1), CLUSTERS) if len(grouped) else np.zeros(0, np.int64)
-    classes = np.zeros(len(order), np.int64)
-    number = 0
-    for c in range(CLUSTERS):
-        own = grouped[near == c]
-        classes[own] = number + _binned(head.counts[own], BINS)
-        number += BINS
-    rest = order[GROUPED:]
-    classes[rest] = number + _binned(head.counts[rest], REST_BINS)
-    number += REST_BINS
-    classes[head.words == END] = number
-    number += 2
-    model = Model(head, classes, number, sum(r["tokens"] for r in tail), sum(r["types"] for r in tail), discount, total)
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("step")), F.lit(steps))
-    for step in range(steps if total else 0):
-        sent = context.broadcast(model)
-        sums = fewer_tasks(text.filter(part == step).select("text")).mapInArrow(_gradient(sent), "block int, sums binary")
-        got = sums.repartition(FEATURES // BLOCK, "block").mapInArrow(_summed, "block int, sums binary").collect()  # at most FEATURES // BLOCK rows
-        weights = model.weights.copy()
-        for r in got:
-            x = np.frombuffer(r["sums"], np.float64).reshape(-1, number + 1)
-            move = x[:, :-1] / (x[:, -1:] * model.prior + 3)
-            weights[r["block"] : r["block"] + BLOCK] += (np.clip(move, -2, 2) * (0.9 if step < 2 else 0.6)).astype(np.float32)
-        model.weights = weights
-        sent.unpersist()
-    words.unpersist()
-    contexts.unpersist()
+    model = Model(head, min(slots, max(1 << 10, total // TOKENS_A_SLOT)), sum(r["tokens"] for r in tail), sum(r["types"] for r in tail), discount, total)
+    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("part")), F.lit(PARTS)).alias("part"))
+    text = {own: fewer_tasks(text.filter((F.col("part") == 0) == own).select("text"), 8, 1 if own else 2) for own in (True, False)}
+    schema = "block int, sums binary"
+
+    def counted(own: bool) -> np.ndarray:
+        out = np.zeros((model.slots, ARITY), np.float32)
+        sums = text[own].mapInArrow(_slot_counts(sent), schema)
+        for r in sums.repartition(max(1, min(64, model.slots // BLOCK)), "block").mapInArrow(_summed, schema).collect():  # at most slots / BLOCK rows
+            out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(-1, ARITY)
+        return out
+
+    sent = context.broadcast(model)
+    every = counted(False)
+    if steps:
+        model.weights, model.bins = model.ratios(every), bins_of(every)
+        learning = context.broadcast(model)
+        for _ in range(steps):
+            slope = text[True].mapInArrow(_gradient(learning, model.scale), schema).repartition(8).mapInArrow(_added, schema).collect()  # at most 8 rows
+            first, second = sum(np.frombuffer(r["sums"], np.float64) for r in slope).reshape(2, *model.scale.shape)
+            model.scale = np.clip(model.scale + 0.6 * first / (second + 20), 0, 1.5)
+        learning.unpersist()
+    model.weights = model.bins = None
+    every += counted(True)
+    sent.unpersist()
+    model.finish(every)
     return model, least
 
 
 def _score(broadcast, types: int):
     def run(batches):
         model = broadcast.value
-        floor = model.total + 0.1 * (types + 1)
-        base = np.log10((model.head.counts + 0.1) / floor)
+        base = np.log10((model.head.counts + 0.1) / (model.total + 0.1 * (types + 1)))
         for b in batches:
             data, offsets = text_buffer(b.column(1))
             for i, j in pieces(offsets, PIECE):
                 words, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found = model.head.find(words)
-                known = found >= 0
-                classes = model.class_of(found)
-                feats = features(words, at, FEATURES)
-                score = np.zeros(len(words))
-                for lo in range(0, len(words), 1 << 17):
-                    part = slice(lo, lo + (1 << 17))
-                    logs = model.log_classes([f[part] for f in feats])
-                    score[part] = logs[np.arange(len(logs)), classes[part]] / np.log(10)
+                score, leaves = model.log10(words, at)
+                known = leaves < len(model.head.words)
                 base_sum = np.zeros(len(words))
-                base_sum[known] = base[found[known]]
-                score[known] += model.log_share[found[known]]
+                base_sum[known] = base[leaves[known]]
                 add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every document has its END
                 rare = words[~known].view(np.int64)
                 rare_at = np.concatenate([[0], np.cumsum(add((~known).astype(np.int64)))]).astype(np.int32)

@@ -378,20 +378,71 @@ def test_language_model_counts_and_beats_the_base(spark, head):
     assert np.mean(better) > 0.8
 
 
-def test_class_probabilities_sum_to_one():
-    words = np.array([10, 20, 30, 40], np.uint64) << np.uint64(50)
-    head = language_model.Head(words, np.array([5, 3, 2, 2]))
+def test_probabilities_sum_to_one_over_all_words():
+    rng = np.random.default_rng(0)
+    words = np.sort(rng.integers(5, 1 << 63, 300).astype(np.uint64))
+    head = language_model.Head(words, rng.integers(2, 4000, 300) ** 2 // 1000 + 2)
     assert head.find(np.array([words[2], 5, words[0]], np.uint64)).tolist() == [2, -1, 0]
-    model = language_model.Model(head, np.array([0, 0, 1, 1]), 3, tail_tokens=4, tail_types=4, discount=0.5, total=16)
-    model.weights += np.random.default_rng(0).normal(size=model.weights.shape).astype(np.float32)
-    p = np.exp(model.log_classes([np.array([1, 2]), np.array([3, 4]), np.array([5, 6])]))
-    assert p.sum(axis=1) == pytest.approx([1, 1], abs=1e-5)
-    inside = [(10 ** model.log_share[model.classes == k]).sum() for k in (0, 1)]
-    assert inside == pytest.approx([1, 1])
+    model = language_model.Model(head, 4096, tail_tokens=4, tail_types=4, discount=0.5, total=10**6)
+    assert model.levels > 1 and model.slots <= 4096 + 3 * model.tree.classes
+    model.weights = rng.normal(size=(model.slots, language_model.ARITY)).astype(np.float32)
+    for before in (words[7], words[8]):
+        every = np.stack([np.full(301, before), np.append(words, np.uint64(3))], axis=1).ravel()  # each word after the same one; 3 is no frequent word
+        p = 10 ** model.log10(every, np.arange(0, 603, 2))[0][1::2]
+        assert p.sum() == pytest.approx(1, abs=1e-5)
     tail = 4 * (1 - 0.5) / 5 + (0.5 * 4 + 1) / 5  # four words seen once, and an unknown one
     assert tail == pytest.approx(1)
 
 
+def test_language_model_against_plain_counts(spark):
+    """The weights and scores from sums in plain Python over the same tree, slots and coefficients."""
+    rows = [(i, prose(i, 60)) for i in range(60)] + [(100, prose(3, 60)), (101, None)]
+    df = documents(spark, rows)
+    training = df.filter(~language_model.held_out(F.col("doc_id")))
+    counts = language_model.count_words(training)
+    model, _ = language_model.train(training, counts)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+
+    def paths(text):
+        words, at = language_model.tokens(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+        hashes, leaves = language_model.contexts(words, at), model.leaf(words)
+        for t in range(len(words)):
+            for k in range(model.levels):
+                node = int(model.tree.node[leaves[t], k])
+                if node < 0:
+                    break
+                size, n = int(model.size[node]), int(model.first[-1])
+                yield k, node, int(model.tree.part[leaves[t], k]), [i * n + int(model.first[node]) + (int(h[t]) * size >> 32) for i, h in enumerate(hashes)]
+
+    taken = collections.Counter()
+    for i, t in rows:
+        if not held(i):
+            taken.update((s, part) for _, _, part, slots in paths(t) for s in slots)
+    in_slot = collections.Counter()
+    for (s, _), n in taken.items():
+        in_slot[s] += n
+
+    def weight(i, k, node, s, part):
+        share = float(model.tree.share[node, part])
+        if not share:
+            return 0.0
+        ratio = math.log((taken[s, part] + language_model.TRUST * share) / (in_slot[s] + language_model.TRUST) / share)
+        return float(model.scale[i, k, min(math.ceil(math.log2(in_slot[s] + 1)), language_model.BINS - 1)]) * ratio
+
+    out = {r.doc_id: r.score for r in language_model.score_documents(df).collect()}
+    known = {r.word: r.n for r in counts.collect()}
+    for i, t in rows[:12] + rows[-2:]:
+        want = 0.0
+        for k, node, part, slots in paths(t):
+            x = [math.log(p) + sum(weight(j, k, node, s, q) for j, s in enumerate(slots)) if (p := float(model.tree.share[node, q])) else -60.0 for q in range(language_model.ARITY)]
+            want += (x[part] - math.log(sum(map(math.exp, x)))) / math.log(10)
+        words, _ = language_model.tokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
+        for w in words[model.leaf(words) == len(model.head.words)].view(np.int64).tolist():
+            inside = known[w] - model.discount if w in known else model.discount * model.tail_types + 1
+            want += math.log10(inside / (model.tail_tokens + 1))
+        assert out[i] == pytest.approx(want, abs=1e-3)
+
+
 # ---- rules -------------------------------------------------------------------------------
 
 
