@@ -36,6 +36,8 @@ ARITY, FEATURES = 16, 3
 TOKENS_A_SLOT, SLOTS = 2, 1 << 19
 #: Weight of the shares against a slot's counts, bins of counts, gradient steps and one part in so many for them.
 TRUST, BINS, STEPS, PARTS = 4.0, 10, 3, 8
+#: Log-ratios at most, so that sums of three, times 1.5, have finite exponentials.
+FARTHEST = 18.0
 #: Slots of a block of counts, and tokens worked on together.
 BLOCK, TOGETHER = 1024, 1 << 16
 #: Hash of the end token, and of what stands before a text.
@@ -189,7 +191,7 @@ class Model:
             share = self.tree.share[node[np.arange(a, b) % max(len(node), 1)]]
             n = counts[a:b].astype(np.float64)
             with np.errstate(divide="ignore", invalid="ignore"):
-                out[a:b] = np.where(share > 0, np.log((n + TRUST * share) / (n.sum(axis=1, keepdims=True) + TRUST) / share), 0)
+                out[a:b] = np.where(share > 0, np.clip(np.log((n + TRUST * share) / (n.sum(axis=1, keepdims=True) + TRUST) / share), -FARTHEST, FARTHEST), 0)
         return out
 
     def levels_of(self) -> np.ndarray:
@@ -213,11 +215,11 @@ class Model:
         for lo in range(0, len(words), TOGETHER):
             own = slice(lo, lo + TOGETHER)
             for _, live, node, part, slots in self.steps(leaves[own], [h[own] for h in hashes]):
-                x = self.log_share[node]
+                x = self.log_share.take(node, axis=0)
                 for s in slots:
-                    x += self.weights[s]
-                x -= x.max(axis=1, keepdims=True)
-                out[lo + live] += x[np.arange(len(part)), part] - np.log(np.exp(x).sum(axis=1))
+                    x += self.weights.take(s, axis=0)
+                taken = x[np.arange(len(part)), part]
+                out[lo + live] += taken - np.log(np.einsum("ij->i", np.exp(x, out=x)))
         return out / np.log(10), leaves
 
 
@@ -283,17 +285,18 @@ def slopes(model: Model, leaves: np.ndarray, hashes: list[np.ndarray]) -> tuple[
     """Gradient and curvature of the log-likelihood by the coefficients."""
     first, second = np.zeros(model.scale.shape), np.zeros(model.scale.shape)
     for k, _, node, part, slots in model.steps(leaves, hashes):
-        x, rows = model.log_share[node], []
+        x, rows = model.log_share.take(node, axis=0), []
         for i, s in enumerate(slots):
-            rows.append((model.weights[s], model.bins[s]))
-            x += rows[i][0] * model.scale[i, k][rows[i][1]][:, None].astype(np.float32)
-        x -= x.max(axis=1, keepdims=True)
+            rows.append((model.weights.take(s, axis=0), model.bins.take(s)))
+            x += rows[i][0] * model.scale[i, k].astype(np.float32).take(rows[i][1])[:, None]
         np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
+        x /= np.einsum("ij->i", x)[:, None]
         for i, (r, n) in enumerate(rows):
-            mean = np.einsum("ij,ij->i", x, r)
+            y = x * r
+            mean = np.einsum("ij->i", y)
             first[i, k] += np.bincount(n, r[np.arange(len(part)), part] - mean, minlength=BINS)
-            second[i, k] += np.bincount(n, np.einsum("ij,ij,ij->i", x, r, r) - mean * mean, minlength=BINS)
+            y *= r
+            second[i, k] += np.bincount(n, np.einsum("ij->i", y) - mean * mean, minlength=BINS)
     return first, second
 
 
