@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 
 from quillon.functions import geometry as g
 
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by the keys to as many tasks as shuffles have (one a core at least): for groups that are few bytes but much work, which adaptive planning would put together."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 #: More than any real cost.
 FORBIDDEN = 1e6
 
@@ -70,6 +77,8 @@ def match(costs: np.ndarray, limit: float) -> list[tuple[int, int]]:
     if not n or not m:
         return []
     ok = np.isfinite(costs) & (costs <= limit)
+    if not (ok.sum(axis=0) > 1).any() and not (ok.sum(axis=1) > 1).any():  # no rivals: a pair within the limit beats leaving both alone
+        return [(int(r), int(c)) for r, c in np.argwhere(ok)]
     wide = np.zeros((n + m, n + m))
     wide[:n, :m] = np.where(ok, costs, FORBIDDEN)
     alone = (limit + 1e-6) / 2

@@ -7,12 +7,15 @@ aligned with the medoid and voted column by column, in a grouped numpy kernel.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillon.config import Fusion
 from quillon.functions import scores
+from quillon.operators.assign import spread
 
 GAP = "<gap>"
 
@@ -156,19 +159,23 @@ def aligned(weighted: DataFrame, references: DataFrame, key: str = "track_id") -
     own = F.col("char_confidences") if "char_confidences" in weighted.columns else F.lit(None)
     rows = weighted.join(references.select(key, "medoid"), key).select(key, "medoid", F.col("frame_index").cast("int").alias("frame_index"), "rank", "raw_text", "weight", own.cast("array<double>").alias("own"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "frame_index", "raw_text"], kind="stable")
-        texts = pdf["raw_text"].tolist()
-        reference = pdf["medoid"].iloc[0]
-        own = [None if x is None else list(x) for x in pdf["own"]]
-        text, votes = voted(reference, texts, pdf["weight"].tolist(), own)
+    def one(reference: str, readings: list[dict]) -> dict:
+        texts = [r["raw_text"] for r in readings]
+        text, votes = voted(reference, texts, [r["weight"] for r in readings], [r["own"] for r in readings])
         for v in votes:
             v["character_weights"] = [{"char": k, "weight": w} for k, w in v["character_weights"]]
         grid = columns(reference, texts)
-        alignment = [{"frame_index": int(f), "raw_text": t, "tokens": [col[i][0] for _, col in grid]} for i, (f, t) in enumerate(zip(pdf["frame_index"], texts))]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "fused_text": [text], "columns": [votes], "alignment": [alignment]})
+        alignment = [{"frame_index": r["frame_index"], "raw_text": r["raw_text"], "tokens": [col[i][0] for _, col in grid]} for i, r in enumerate(readings)]
+        return {"fused_text": text, "columns": votes, "alignment": alignment}
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {ALIGNED}")
+    def run(batches):
+        for b in batches:
+            made = [one(m, r) for m, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[f.name] for x in made], f.type) for f in to_arrow_schema(schema).remove(0))], schema.names)
+
+    schema = StructType.fromDDL(f"{key} {rows.schema[key].dataType.simpleString()}, {ALIGNED}")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "frame_index", "raw_text", "weight", "own")))
+    return spread(rows, key).groupBy(key, "medoid").agg(listed.alias("readings")).mapInArrow(run, schema)
 
 
 def fused(readings: DataFrame, tracks: DataFrame | None = None, key: str = "track_id", c: Fusion = Fusion()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.config import ImageOwnership, VideoOwnership
 from quillon.functions import geometry as g
 from quillon.functions import scores
-from quillon.operators.assign import match
+from quillon.operators.assign import match, spread
 
 
 def conflict_edges(df: DataFrame, keys: list[str], index: str, conflict_iou: float, overlap_smaller: float, differ: str | None = None, plate: str = "plate") -> DataFrame:
@@ -212,7 +212,7 @@ def image_ownership(df: DataFrame, source: str = "source_id", frame: str = "fram
             out[name] = np.concatenate([p[k] for p in parts])
         return out
 
-    made = slim.groupBy(source).applyInPandas(run, f"{source} {kinds[source]}, {frame} {kinds[frame]}, candidate_index int, " + RESOLVED)
+    made = spread(slim, source).groupBy(source).applyInPandas(run, f"{source} {kinds[source]}, {frame} {kinds[frame]}, candidate_index int, " + RESOLVED)
     made = made.withColumn("conflict_group", F.when(F.col("conflict_group") >= 0, F.col("conflict_group")))
     return df.join(made, [source, frame, "candidate_index"])
 

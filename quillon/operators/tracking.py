@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.config import Tracking
-from quillon.operators.assign import match
+from quillon.operators.assign import match, spread
 
 #: Standard deviations as shares of the box's height, for place and velocity; those of the aspect are fixed.
 PLACE, SPEED = 1 / 20, 1 / 160
@@ -148,8 +148,11 @@ class Tracker:
                 continue
             self._create(frame, box[j], int(kind[j]), events)
             at[j] = int(self.ids[-1])
-        for t in self._duplicates(at, events):
-            at = {j: k for j, k in at.items() if k != t}
+        if len(at) > 1:
+            for t in self._duplicates(at, events):
+                at = {j: k for j, k in at.items() if k != t}
+        else:
+            self.streaks = {}
         place = {int(t): i for i, t in enumerate(self.ids)}
         for i, t in enumerate(self.ids.tolist()):
             self.history[t] |= {"last_frame": int(self.seen[i]), "hits": int(self.hits[i])}
@@ -201,16 +204,17 @@ def run_frames(tracker: Tracker, pdf: pd.DataFrame) -> list[dict]:
     rows = []
     if not len(pdf):
         return rows
-    pdf = pdf.sort_values(["frame_index", "det_index"])
-    frames = {int(f): part for f, part in pdf.groupby("frame_index")}
-    for frame in range(max(tracker.frame + 1, 0) if tracker.frame >= 0 else min(frames), max(frames) + 1):
-        part = frames.get(frame)
-        if part is None:
-            part = pdf.iloc[:0]
-        visible, events = tracker.step(frame, part[["x1", "y1", "x2", "y2"]].to_numpy(float), part["conf"].to_numpy(float), part["class_id"].to_numpy(int))
-        index = part["det_index"].to_numpy()
+    frames, index = pdf["frame_index"].to_numpy(int), pdf["det_index"].to_numpy()
+    order = np.lexsort((index, frames))
+    frames, index = frames[order], index[order]
+    box = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)[order]
+    conf, kind = pdf["conf"].to_numpy(float)[order], pdf["class_id"].to_numpy(int)[order]
+    first = tracker.frame + 1 if tracker.frame >= 0 else int(frames[0])
+    cuts = np.searchsorted(frames, np.arange(first, int(frames[-1]) + 2)).tolist()
+    for frame, a, b in zip(range(first, int(frames[-1]) + 1), cuts, cuts[1:]):
+        visible, events = tracker.step(frame, box[a:b], conf[a:b], kind[a:b])
         for j, t, age, hits, back in visible:
-            rows.append({"kind": "observation", "frame_index": frame, "det_index": int(index[j]), "track_id": t, "age_frames": age, "hits": hits, "missed_frames": 0, "reidentified": back, "status": "active"})
+            rows.append({"kind": "observation", "frame_index": frame, "det_index": int(index[a + j]), "track_id": t, "age_frames": age, "hits": hits, "missed_frames": 0, "reidentified": back, "status": "active"})
         rows += [{"kind": "event", "frame_index": frame, "track_id": t, "event": e} for t, e in events]
     return rows
 
@@ -251,7 +255,7 @@ def tracked(df: DataFrame, fps: float = 10.0, source: str = "source_id", c: Trac
         rows = run_frames(tracker, pdf)
         return as_frame(rows + history_rows(tracker), {source: pdf[source].iloc[0]})
 
-    return slim.groupBy(source).applyInPandas(run, f"{source} {kind}, {OUTPUT}")
+    return spread(slim, source).groupBy(source).applyInPandas(run, f"{source} {kind}, {OUTPUT}")
 
 
 def observations(rows: DataFrame, source: str = "source_id") -> DataFrame:

@@ -24,6 +24,18 @@ select user_id as source_id, fi as frame_index, 0 as det_index, cast(case when e
 union all
 select user_id, fi, 1, 2, (60 + event_id % 35) / 100e0, cast(190 - fi*2 as int), 12, cast(230 - fi*2 as int), 42 from k where user_id % 3 = 0"""
 
+#: Sources with one vehicle that stands still, seen more or less surely; every third source has a second box over each sure one.
+STILL = """with e as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as fi from events),
+k as (select *, case event_id % 10 when 0 then 0.05e0 when 1 then 0.30e0 when 2 then 0.52e0 else (60 + event_id % 30) / 100e0 end as conf from e where event_id % 7 <> 0 and event_id % 11 < 8 and not (user_id % 2 = 0 and fi between 20 and 27))
+select user_id as source_id, fi as frame_index, 0 as det_index, cast(2 as int) as class_id, conf, cast(10 + user_id % 7 as int) as x1, 10 as y1, cast(50 + user_id % 7 as int) as x2, 40 as y2 from k
+union all
+select user_id, fi, 1, 2, conf, cast(12 + user_id % 7 as int), 10, cast(52 + user_id % 7 as int), 40 from k where user_id % 3 = 0 and conf >= 0.55e0"""
+
+#: One plate a frame in a vehicle's box of 200 x 100, which now and then jumps, grows or leaves the box.
+LONE = """with e as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as fi from events),
+k as (select *, cast(80 + event_id % 9 + case when event_id % 13 = 0 then 70 else 0 end as double) as x1, cast(60 + event_id % 5 + case when event_id % 17 = 0 then 60 else 0 end as double) as y1, cast(event_id % 3 + case when event_id % 19 = 0 then 80 else 0 end as double) as more from e)
+select user_id as source_id, fi as frame_index, x1, y1, x1 + 40 + more as x2, y1 + 15 as y2, (400 + (event_id*53) % 600) / 1000e0 as pc, (250 + (event_id*13) % 700) / 1000e0 as vc from k"""
+
 READINGS = """with p as (select user_id, event_id, concat(cast(50 + user_id % 10 as varchar(2)), substr('ABCDEFGHKLMNPSTUVXYZ', cast(1 + user_id % 20 as int), 1), lpad(cast((user_id*7919) % 100000 as varchar(5)), 5, '0')) as plate from events),
 r as (select *, cast(row_number() over (partition by user_id order by (event_id*29) % 400 desc, event_id) as int) as rk from p)
 select user_id as track_id, cast(event_id as int) as frame_index, rk as rank,
@@ -60,6 +72,14 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, OBSERVATIONS)
 
 
+def still(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, STILL)
+
+
+def lone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, LONE)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, READINGS)
 
@@ -79,7 +99,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same as common table expressions for SQL.
-WITH = {"boxes": BOXES, "obs": OBSERVATIONS, "readings": READINGS, "crops": CROPS, "texts": TEXTS, "candidates": CANDIDATES}
+WITH = {"boxes": BOXES, "obs": OBSERVATIONS, "still": STILL, "lone": LONE, "readings": READINGS, "crops": CROPS, "texts": TEXTS, "candidates": CANDIDATES}
 
 
 def sql(names: str, body: str) -> str:

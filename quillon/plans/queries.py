@@ -207,14 +207,23 @@ def reason_histogram(spark, sf_dir):
     return detections.reason_counts(_validated(spark, sf_dir))
 
 
-@query(None)
+@query(_nms_sql(["frame_id"], 0.7).rpartition(" select ")[0] + """, stay as (select frame_id, x.i as i from u)
+  select fate, count(*) as n from (select case when conf < 0.25e0 then 'below_confidence' when x2 <= x1 or y2 <= y1 then 'invalid_box' when stay.i is null then 'suppressed_nms' else 'final' end as fate
+    from boxes left join stay using (frame_id, i)) group by fate""", "boxes")
 def character_trace(spark, sf_dir):
     """[UD3] Fates of all raw rows."""
     rows = fx.boxes(spark, sf_dir)
     return detections.traced(rows, D.image_confidence, ["frame_id"], D.character_iou, [-F.col("conf"), F.col("i")]).groupBy("fate").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(f"""with c as (select frame_id, list(struct_pack(y := y1 + 6, x1 := x1, x := x1 + x1 + 8, ch := substr('{t.DIGITS + t.LETTERS}', i + class_id, 1), p := conf) order by y1, x1, substr('{t.DIGITS + t.LETTERS}', i + class_id, 1), conf) as c from boxes group by frame_id),
+  y as (select *, list_transform(c, lambda s: s.y) as ys, len(c) as n from c),
+  k as (select *, ys[:k] as a, ys[k + 1:] as b from (select *, unnest(range(2, n - 1)) as k from y where n >= 4)),
+  m as (select *, list_median(a) as ma, list_median(b) as mb from k),
+  d as (select *, mb - ma as gap, greatest(1, list_median(list_transform(a, lambda v: abs(v - ma))), list_median(list_transform(b, lambda v: abs(v - mb)))) as spread from m),
+  best as (select frame_id, arg_min(k, (-gap / spread, k)) as k from d where gap >= greatest(0.35e0 * 12, 2 * spread) and ys[k + 1] - ys[k] >= 0.25e0 * 12 group by frame_id),
+  g as (select frame_id, k, unnest(c) as s, unnest(range(1, n + 1)) as place from y left join best using (frame_id))
+  select frame_id, string_agg(s.ch, '' order by coalesce(place > k, false), s.x, s.x1, s.ch, s.p) as text, cast(case when any_value(k) is null then 1 else 2 end as int) as n_rows, round(avg(s.p), 6) as confidence from g group by frame_id""", "boxes")
 def reading_order(spark, sf_dir):
     """[WI2, WI3, ST13, AG21] Each order's lines as glyphs of a crop."""
     rows = fx.boxes(spark, sf_dir).withColumn("char", F.substr(F.lit(t.DIGITS + t.LETTERS), (F.col("i") + F.col("class_id")).cast("int"), F.lit(1)))
@@ -318,18 +327,87 @@ def ownership_stats(spark, sf_dir):
     return ownership.resolution_stats(_resolved(spark, sf_dir), ["source_id"])
 
 
+_GEOMETRY = ("cx", "cy", "w", "h")
+_MEDIAN = ", ".join(f"list_median(list_transform(past, lambda p: p.{k})) as m{k}" for k in _GEOMETRY)
+_MAD = ", ".join(f"list_median(list_transform(past, lambda p: abs(p.{k} - m{k}))) as d{k}" for k in _GEOMETRY)
+_FAR = " + ".join(f"abs({k} - m{k}) / greatest(1.4826e0 * d{k}, {tol}e0)" for k, tol in zip(_GEOMETRY, (0.2, 0.2, 0.5, 0.5)))
+#: A vehicle's history, frame after frame: a list of the last 20 accepted geometries.
+_LONE = f"""with g as (select *, ((x1 + x2)/2 - 0)/200e0 as cx, ((y1 + y2)/2 - 0)/100e0 as cy, (x2 - x1)/200e0 as w, (y2 - y1)/100e0 as h, (x1 + x2)/2 <= 200 and (y1 + y2)/2 <= 100 as ok,
+    greatest(least(x2, 200) - greatest(x1, 0), 0) * greatest(least(y2, 100) - greatest(y1, 0), 0) / ((x2 - x1) * (y2 - y1)) as contained, row_number() over (partition by source_id order by frame_index) as r from lone),
+  z as (select source_id, cast(0 as bigint) as r, -1 as frame_index, cast([] as struct(cx double, cy double, w double, h double)[]) as past, cast(0 as double) as temporal, cast(0 as bigint) as samples, false as rejected, cast(0 as double) as score, false as taken from (select distinct source_id from g)
+    union all select source_id, r, frame_index, case when ok and not bad then list_slice(list_append(past, struct_pack(cx := cx, cy := cy, w := w, h := h)), -20, -1) else past end,
+      case when not ok then 0 else t end, case when ok then len(past) else 0 end, ok and bad, case when ok and not bad then 0.4e0*t + 0.25e0 + 0.15e0*contained + 0.15e0*pc + 0.05e0*vc else 0 end, ok and not bad
+    from (select *, len(past) >= 5 and (t < 0.2e0 or sqrt((cx - past[-1].cx)**2 + (cy - past[-1].cy)**2) > 0.25e0 or greatest(w, past[-1].w) / least(w, past[-1].w) > 2.5e0 or greatest(h, past[-1].h) / least(h, past[-1].h) > 2.5e0) as bad
+      from (select *, case when len(past) < 5 then 0.5e0 else exp(-({_FAR}) / 4) end as t
+        from (select *, {_MAD} from (select g.*, past, {_MEDIAN} from z join g on g.source_id = z.source_id and g.r = z.r + 1)))))
+  select source_id, frame_index, 0 as candidate_index, 0 as vehicle_index, round(temporal, 6) as temporal_score, cast(samples as int) as history_samples, rejected as rejected_by_history, round(score, 6) as owner_score, taken as selected, taken as history_updated from z where r > 0"""
+
+
+@query(_LONE, "lone")
+def lone_ownership(spark, sf_dir):
+    """[SS6, FI10, AG22, TK4] One vehicle with one plate a frame, so that only its history decides."""
+    box = lambda *v: F.struct(*[(F.col(x) if isinstance(x, str) else F.lit(x)).cast("double").alias(n) for x, n in zip(v, g.SIDES)])
+    rows = fx.lone(spark, sf_dir).select("source_id", "frame_index", F.lit(0).alias("candidate_index"), F.lit(0).alias("vehicle_index"), box("x1", "y1", "x2", "y2").alias("plate"), box(0, 0, 200, 100).alias("vehicle"), F.col("pc").alias("plate_confidence"), F.col("vc").alias("vehicle_confidence"))
+    out = ownership.image_ownership(rows)
+    return out.select("source_id", "frame_index", "candidate_index", "vehicle_index", r6("temporal_score"), "history_samples", "rejected_by_history", r6("owner_score"), "selected", "history_updated")
+
+
+#: Frames without history: the best candidate of each vehicle and group is an edge, and all ways to match vehicles are tried.
+_COLD = _IMAGE + """, sc as (select *, 0.4e0*0.5e0 + 0.25e0*(case when gs = 1 then 1 else ra/mr end) + 0.15e0*co + 0.15e0*pc + 0.05e0*vc as score, case when gs = 1 then 1 else ra/mr end as tight from w),
+  ed as (select frame_id, v, component, score, i from (select *, row_number() over (partition by frame_id, v, component order by score desc, tight desc, pc desc, vc desc, i) as k from sc) where k = 1 and 1 - score <= 1),
+  rs as (select frame_id, v, dense_rank() over (partition by frame_id order by v) as r from (select distinct frame_id, v from ed)),
+  mt as (select frame_id, cast(0 as bigint) as r, cast([] as bigint[]) as used, cast([] as int[]) as won, cast(0 as double) as total from (select distinct frame_id from ed)
+    union all select mt.frame_id, rs.r, case when o.take then list_append(used, cast(o.component as bigint)) else used end, case when o.take then list_append(won, o.i) else won end, mt.total + case when o.take then -o.score - 1e-6 else 0 end
+      from mt join rs on rs.frame_id = mt.frame_id and rs.r = mt.r + 1 join (select frame_id, v, component, score, i, true as take from ed union all select frame_id, v, -1, 0, -1, false from rs) o on o.frame_id = rs.frame_id and o.v = rs.v
+      where not o.take or not list_contains(used, cast(o.component as bigint))),
+  ch as (select frame_id, unnest(won) as i from (select mt.*, row_number() over (partition by mt.frame_id order by total) as k from mt join (select frame_id, max(r) as last from rs group by frame_id) l on mt.frame_id = l.frame_id and mt.r = l.last) where k = 1),
+  dn as (select sc.*, ch.i is not null as chosen from sc left join ch on sc.frame_id = ch.frame_id and sc.i = ch.i),
+  mg as (select a.frame_id, a.i, max(b.score) as rival from dn a join dn b on a.frame_id = b.frame_id and a.chosen and not b.chosen and (a.v = b.v or a.component = b.component) group by a.frame_id, a.i),
+  fin as (select p.frame_id, p.i, p.track_id as v, dn.i is not null as ok, case when gs > 1 then component end as grp, coalesce(score, 0) as score, coalesce(chosen, false) as chosen, coalesce(chosen and (rival is null or score - rival >= 0.1e0), false) as updated
+    from p left join dn on p.frame_id = dn.frame_id and p.i = dn.i left join mg on p.frame_id = mg.frame_id and p.i = mg.i)"""
+
+
+def _cold(spark, sf_dir):
+    rows = fx.candidates(spark, sf_dir).withColumn("frame_index", F.lit(0)).withColumnRenamed("frame_id", "source_id")
+    return ownership.image_ownership(rows.drop("track_id", "coordinate_clamped"))
+
+
+@query(_COLD + " select frame_id as source_id, i as candidate_index, v as vehicle_index, ok as valid, round(score, 10) as owner_score, grp is not null as in_conflict, chosen as selected, updated as history_updated from fin", "boxes candidates")
+def cold_ownership(spark, sf_dir):
+    """[JN7, JN8, JN9, JN20, TK4] Every frame as a source of its own."""
+    return _cold(spark, sf_dir).select("source_id", "candidate_index", "vehicle_index", "valid", F.round("owner_score", 10).alias("owner_score"), F.col("conflict_group").isNotNull().alias("in_conflict"), "selected", "history_updated")
+
+
+@query(_COLD + """ select frame_id as source_id, count(*) as raw_candidates, count(*) filter (not ok) as invalid_candidates, count(distinct grp) as conflict_groups, count(*) filter (ok and not chosen) as removed_conflict_candidates,
+    count(*) filter (chosen) as final_results, count(*) filter (updated) as history_updates, cast(0 as bigint) as temporal_outliers_rejected from fin group by frame_id""", "boxes candidates")
+def cold_stats(spark, sf_dir):
+    """[AG29]"""
+    return ownership.resolution_stats(_cold(spark, sf_dir), ["source_id"])
+
+
 def _edges(spark, sf_dir):
     rows = fx.boxes(spark, sf_dir)
     return assign.pairs(rows.filter("conf < 0.5"), rows.filter("conf >= 0.5"), ["frame_id"]).select("frame_id", "a", "b", F.col("distance").alias("cost"))
 
 
-@query(None)
+#: All ways to match, row after row; the cheapest wins, where leaving a row and a column alone costs the limit and a little more.
+_MATCH = f"""with e as (select a.frame_id, a.i as a, b.i as b, 1-{IOU} as cost from boxes a join boxes b on a.frame_id = b.frame_id where a.conf < 0.5e0 and b.conf >= 0.5e0 and 1-{IOU} <= 0.83e0),
+  rs as (select frame_id, a, dense_rank() over (partition by frame_id order by a) as r from (select distinct frame_id, a from e)),
+  w as (select frame_id, cast(0 as bigint) as r, cast([] as struct(a int, b int, cost double)[]) as m, cast(0 as double) as total from (select distinct frame_id from e)
+    union all select w.frame_id, rs.r, case when o.take then list_append(w.m, struct_pack(a := rs.a, b := o.b, cost := o.cost)) else w.m end, w.total + case when o.take then o.cost - 0.83e0 - 1e-6 else 0 end
+      from w join rs on rs.frame_id = w.frame_id and rs.r = w.r + 1 join (select frame_id, a, b, cost, true as take from e union all select frame_id, a, -1, 0, false from rs) o on o.frame_id = rs.frame_id and o.a = rs.a
+      where not o.take or len(list_filter(w.m, lambda x: x.b = o.b)) = 0),
+  z as (select w.*, row_number() over (partition by w.frame_id order by total) as k from w join (select frame_id, max(r) as last from rs group by frame_id) l on w.frame_id = l.frame_id and w.r = l.last),
+  hit as (select frame_id, x.a as a, x.b as b, x.cost as cost from (select frame_id, unnest(m) as x from z where k = 1))"""
+
+
+@query(_MATCH + " select frame_id, a, b, round(cost, 6) as cost from hit", "boxes")
 def assignment_1to1(spark, sf_dir):
     """[JN7, JN8, FI15]"""
     return assign.assigned(_edges(spark, sf_dir), ["frame_id"], 0.83).select("frame_id", "a", "b", r6("cost"))
 
 
-@query(None)
+@query(_MATCH + " select case when hit.b is not null then 'matched' when conf < 0.9e0 then 'unmatched_low_confidence' else 'not_eligible' end as status, count(*) as n from boxes left join hit on boxes.frame_id = hit.frame_id and boxes.i = hit.b where conf >= 0.5e0 group by all", "boxes")
 def unmatched_detections(spark, sf_dir):
     """[JN17, SO3, FI6]"""
     rows = fx.boxes(spark, sf_dir).filter("conf >= 0.5").withColumn("b", F.col("i"))
@@ -376,7 +454,13 @@ def spaced_topk_total(spark, sf_dir):
     return evidence.spaced(fx.crops(spark, sf_dir), ["track_id"]).groupBy("track_id").agg(F.round(F.sum("total_score"), 6).alias("total"))
 
 
-@query(None)
+@query(f"""with e as (select track_id, frame_index as f, struct_pack(total_score, sharpness_score, plate_confidence, frame_index, candidate_index) as r from crops where {_REJECT} is null),
+  s1 as (select track_id, f, [r] as m from e), s2 as (select a.track_id, b.f, list_append(a.m, b.r) as m from s1 a join e b on a.track_id = b.track_id and b.f >= a.f + 5), s3 as (select a.track_id, b.f, list_append(a.m, b.r) as m from s2 a join e b on a.track_id = b.track_id and b.f >= a.f + 5),
+  s4 as (select a.track_id, b.f, list_append(a.m, b.r) as m from s3 a join e b on a.track_id = b.track_id and b.f >= a.f + 5),
+  o as (select track_id, list_reverse_sort(m) as m from (select * from s1 union all select * from s2 union all select * from s3 union all select * from s4)),
+  z as (select *, row_number() over (partition by track_id order by list_reduce(list_transform(m, lambda x: x.total_score), lambda a, b: a + b) desc, m desc) as k from o),
+  u as (select track_id, unnest(m) as x, unnest(range(1, len(m) + 1)) as rank from z where k = 1)
+  select track_id, cast(rank as int) as rank, x.frame_index as frame_index, x.candidate_index as candidate_index, 'track_' || track_id || '/top' || rank || '_frame' || lpad(cast(x.frame_index as varchar), 6, '0') || '.jpg' as path from u""", "crops")
 def spaced_topk(spark, sf_dir):
     """[TK1, SC16]"""
     out = evidence.spaced(fx.crops(spark, sf_dir), ["track_id"], Buffer())
@@ -411,10 +495,12 @@ def medoid(spark, sf_dir):
     return fusion.medoid(fusion.candidates(fx.readings(spark, sf_dir))).select("track_id", "medoid", r6("cost"))
 
 
-@query(_V + """, t as (select track_id, count(*) as n_valid, sum(weight) as total from w group by track_id), u as (select distinct track_id from readings),
+_FUSED = _V + """, t as (select track_id, count(*) as n_valid, sum(weight) as total from w group by track_id), u as (select distinct track_id from readings),
   b as (select t.track_id, n_valid, case when n_valid = 1 then 1e0 else weight / total end as ratio, raw_text, n, case when n_valid = 1 then 'single_candidate' when weight / total >= 0.65e0 then 'weighted_exact_vote' else 'sequence_alignment' end as method from t join o using (track_id) where place = 1),
-  s as (select b.track_id, avg(w.ocr_confidence) as mo, avg(w.quality_score) as mq, count(*) as sc from b join w using (track_id) where method = 'sequence_alignment' or w.raw_text = b.raw_text group by b.track_id)
-  select u.track_id, coalesce(method, 'no_valid_ocr') as method, coalesce(sc, 0) as support_count, coalesce(n_valid, 0) as valid_candidate_count, round(coalesce(ratio, 0), 6) as consensus_ratio,
+  s as (select b.track_id, avg(w.ocr_confidence) as mo, avg(w.quality_score) as mq, count(*) as sc from b join w using (track_id) where method = 'sequence_alignment' or w.raw_text = b.raw_text group by b.track_id)"""
+
+
+@query(_FUSED + """ select u.track_id, coalesce(method, 'no_valid_ocr') as method, coalesce(sc, 0) as support_count, coalesce(n_valid, 0) as valid_candidate_count, round(coalesce(ratio, 0), 6) as consensus_ratio,
     round(coalesce((0.5e0*ratio + 0.25e0*mo + 0.25e0*mq) * case when n_valid = 1 then 0.5e0 + 0.5e0/3 else 1 end, 0), 6) as confidence from u left join b using (track_id) left join s using (track_id)""", "readings")
 def fusion_confidence(spark, sf_dir):
     """[DT6, AG15, JN15, SO2]"""
@@ -429,10 +515,14 @@ def fused_text(spark, sf_dir):
     return out.select("track_id", "raw_text", "method", F.size("columns").alias("n_columns"), F.array_join("supporting_frames", ",").alias("frames"))
 
 
-@query(None)
+@query(_FUSED + """, f as (select coalesce(method, 'no_valid_ocr') as method, n_valid is not null as has, coalesce((0.5e0*ratio + 0.25e0*mo + 0.25e0*mq) * case when n_valid = 1 then 0.5e0 + 0.5e0/3 else 1 end, 0) as confidence, ratio from u left join b using (track_id) left join s using (track_id))
+  select count(*) as tracks, count(*) filter (has) as tracks_with_ocr, count(*) filter (method = 'no_valid_ocr') as no_valid_ocr, count(*) filter (method = 'single_candidate') as single_candidate,
+    count(*) filter (method = 'weighted_exact_vote') as weighted_exact_vote, count(*) filter (method = 'sequence_alignment') as sequence_alignment,
+    round(coalesce(avg(confidence) filter (has), 0), 6) as mean_confidence_with_ocr, round(coalesce(avg(confidence), 0), 6) as mean_confidence, round(coalesce(avg(ratio) filter (has), 0), 6) as mean_consensus from f""", "readings")
 def fusion_report(spark, sf_dir):
     """[AG16]"""
-    return fusion.report(fusion.fused(fx.readings(spark, sf_dir)))
+    out = fusion.report(fusion.fused(fx.readings(spark, sf_dir)))
+    return out.select(*[r6(c) if c.startswith("mean") else c for c in out.columns])
 
 
 @query("""with j as (select event_id, json_extract_string(props, '$.k') as k from events)
@@ -493,14 +583,31 @@ def plate_format(spark, sf_dir):
     return _texts(spark, sf_dir).select("track_id", "frame_index", "post.status", F.col("post.corrected_text").alias("corrected"), F.col("post.formatted_text").alias("formatted"), F.col("post.format_family").alias("family"), F.col("post.correction_count").cast("bigint").alias("cost"), "post.format_valid", F.col("post.format_reason").alias("reason"))
 
 
-@query(None)
+_REPAIR = f"""with s as (select *, upper(translate(trim(substr(raw_text, 1, 4) || 'Q' || substr(raw_text, 5)), ' -.', '')) as norm, case when class_name = 'motorcycle' then 'motorbike_common' when class_name in ('car', 'bus', 'truck') then 'car_common' end as family from texts),
+  tpl(prio, fam, pattern) as (values (0, 'car_common', 'DDLDDDD'), (1, 'car_common', 'DDLDDDDD'), (2, 'motorbike_common', 'DDLADDDD'), (3, 'motorbike_common', 'DDLADDDDD')),
+  own as (select track_id, frame_index, 0 as src, norm as n from s union all select track_id, frame_index, 1, substr(norm, 1, 4) || substr(norm, 6) from s where length(norm) >= 5),
+  p as (select track_id, frame_index, src, prio, fam, pos, substr(n, pos, 1) as ch, substr(pattern, pos, 1) as kind from (select own.*, tpl.*, unnest(range(1, length(pattern) + 1)) as pos from own join tpl on length(n) = length(pattern))),
+  x as (select *, {_EXPECT} as fixed from p),
+  c as (select track_id, frame_index, src, prio, fam, string_agg(fixed, '' order by pos) as txt, src + count(*) filter (fixed <> ch) as cost, arg_min(kind, pos) filter (fixed <> ch) as changed from x group by track_id, frame_index, src, prio, fam having count(*) = count(fixed)),
+  v as (select *, case when not regexp_matches(txt, '^[0-9][0-9]') then 'invalid_locality_prefix' when substr(txt,1,2) < '11' or substr(txt,1,2) in {_LOCALITIES} then 'unknown_locality_code'
+      when not regexp_matches(substr(txt,3,1), '^[ABCDEFGHKLMNPSTUVXYZ]$') then 'invalid_serial' when fam = 'motorbike_common' and not regexp_matches(substr(txt,4,1), '^[ABCDEFGHKLMNPSTUVXYZ0-9]$') then 'invalid_serial'
+      when not regexp_matches(substr(txt, case when fam = 'car_common' then 4 else 5 end), '^[0-9]+$') then 'invalid_registration_number' end as bad from c),
+  e as (select * from v where src = 0 or (track_id, frame_index) not in (select track_id, frame_index from v where src = 0 and bad is null)),
+  g as (select e.*, row_number() over (partition by e.track_id, e.frame_index order by cost, case when s.family is null or s.family = fam then 0 else 1 end, prio, src) as k from e join s on e.track_id = s.track_id and e.frame_index = s.frame_index where bad is null),
+  o as (select s.*, g.src, g.txt, g.cost as n_changes, g.changed, case when norm = '' then 'no_text' when g.txt is null then 'unrecognized_format' when g.cost > 2 then 'low_format_confidence' when g.cost > 0 then 'corrected' else 'ok' end as status
+    from s left join g on s.track_id = g.track_id and s.frame_index = g.frame_index and g.k = 1)
+  select track_id, frame_index, status, case when status in ('ok', 'corrected') then txt else norm end as corrected, case when status in ('ok', 'corrected') then n_changes else 0 end as cost,
+    case when status = 'corrected' then case when src = 1 then 'low_confidence_extra_character' when changed = 'D' then 'digit_expected' else 'letter_expected' end end as first_change from o"""
+
+
+@query(_REPAIR, "readings texts")
 def plate_repair(spark, sf_dir):
     """[ST9, AG23] Texts with one doubtful character too many."""
     rows = fx.texts(spark, sf_dir)
     longer = F.concat(F.substring("raw_text", 1, 4), F.lit("Q"), F.substr("raw_text", F.lit(5)))
     p = F.transform(F.sequence(F.lit(0), F.length(t.normalise(longer)) - 1), lambda i: F.when(i == 4, 0.2).otherwise(0.9))
     post = t.postprocess(longer, F.col("confidence"), t.preferred_family(F.col("class_name")), p)
-    return results.once(rows, "p", post).select("track_id", "frame_index", "p.status", F.col("p.corrected_text").alias("corrected"), F.col("p.correction_count").alias("cost"), F.get("p.corrections", F.lit(0))["reason"].alias("first_change"))
+    return results.once(rows, "p", post).select("track_id", "frame_index", "p.status", F.col("p.corrected_text").alias("corrected"), F.col("p.correction_count").cast("bigint").alias("cost"), F.get("p.corrections", F.lit(0))["reason"].alias("first_change"))
 
 
 _SEEN = "(frame_index + track_id) % 5"
@@ -630,6 +737,39 @@ def track_counters(spark, sf_dir):
     return tracking.counters(tracking.tracked(fx.observations(spark, sf_dir)), ["source_id"])
 
 
+#: Vehicles that stand still: each detection of at least `low` meets the source's track while that lives, which is until it has been missed for more than 5 frames; a surer one begins a track.
+_STILL = """with d as (select *, row_number() over (partition by source_id order by frame_index) as r from still where det_index = 0 and conf >= 0.1e0),
+  w as (select source_id, cast(0 as bigint) as r, -1 as frame_index, 0 as track_id, -1 as seen, 0 as first, 0 as hits, 0 as state from (select distinct source_id from d)
+    union all select d.source_id, d.r, d.frame_index, w.track_id + cast(fresh as int), case when shown then d.frame_index else w.seen end, case when fresh then d.frame_index else w.first end,
+      case when fresh then 1 when alive then w.hits + 1 else w.hits end, case when fresh then 1 when not alive then 0 when d.conf < 0.5e0 then 2 else 3 end + case when alive and d.frame_index - w.seen > 1 then 10 else 0 end
+    from w join (select *, true as one from d) d on d.source_id = w.source_id and d.r = w.r + 1,
+      lateral (select w.track_id > 0 and d.frame_index - w.seen <= 6 as alive), lateral (select not alive and d.conf >= 0.55e0 as fresh), lateral (select alive or fresh as shown)),
+  o as (select source_id, frame_index, track_id, frame_index - first + 1 as age_frames, hits, state >= 10 as reidentified, state from w where r > 0 and state > 0),
+  ends as (select source_id, max(frame_index) as last from still group by source_id),
+  h as (select source_id, track_id, min(frame_index) as first_frame, max(frame_index) as last_frame, max(hits) as hits, any_value(last) as last from o join ends using (source_id) group by source_id, track_id)"""
+
+
+@query(_STILL + " select source_id, frame_index, 0 as det_index, track_id, age_frames, hits, reidentified from o", "still")
+def still_observations(spark, sf_dir):
+    """[SS1, SS4, JN10, JN18, MA10, MA11, FI14] Vehicles that stand still, so that tracks follow from times and confidences alone."""
+    return tracking.observations(tracking.tracked(fx.still(spark, sf_dir)))
+
+
+@query(_STILL + " select source_id, track_id, first_frame, last_frame, hits, case when last - last_frame > 5 then 'removed' when last > last_frame then 'lost' else 'active' end as status, case when last - last_frame > 5 then 'timeout' end as removal_reason from h", "still")
+def still_histories(spark, sf_dir):
+    """[SS2, SU8, FI13]"""
+    return tracking.surviving(tracking.histories(tracking.tracked(fx.still(spark, sf_dir))))
+
+
+@query(_STILL + """, n as (select source_id, count(*) filter (state = 1) as created, count(*) filter (state >= 10) as back, count(*) filter (state % 10 = 2) as second_stage from o group by source_id),
+  g as (select source_id, count(*) filter (last > last_frame) as open_ends, count(*) filter (last - last_frame > 5) as removed from h group by source_id), t as (select source_id, count(*) as twins from still where det_index = 1 group by source_id)
+  select source_id, created as tracks_created, back as tracks_reactivated, back + open_ends as tracks_lost, removed as tracks_removed, second_stage as second_stage_matches, cast(0 as bigint) as duplicate_tracks_removed, coalesce(twins, 0) as duplicate_detections_suppressed
+  from n join g using (source_id) left join t using (source_id)""", "still")
+def still_counters(spark, sf_dir):
+    """[AG20, JN18]"""
+    return tracking.counters(tracking.tracked(fx.still(spark, sf_dir)), ["source_id"])
+
+
 @query(f"""with n as (select source_id, {CLASS_NAME} as class_name, count(*) as n from obs group by all), k as (select *, row_number() over (partition by source_id order by n desc, class_name) as k from n)
   select source_id, max(class_name) filter (k = 1) as class_name, string_agg(class_name || ':' || n, ',' order by class_name) as counts from k group by source_id""", "obs")
 def class_vote(spark, sf_dir):
