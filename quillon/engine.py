@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.config import Config
 from quillon.functions import geometry as g
-from quillon.functions import scores
+from quillon.functions import plate_text, scores
 from quillon.operators import detections, evidence, fusion, ownership, results, tracking
 from quillon.sources import media, sinks
 
@@ -26,6 +26,23 @@ _PLATE = f"struct<class_name:string,confidence:double,box:{_BOX},clamped:boolean
 _SCAN = f"det_index int, class_id int, class_name string, conf double, x1 int, y1 int, x2 int, y2 int, frame_w int, frame_h int, plates array<{_PLATE}>"
 
 
+@dataclass
+class Run:
+    """Result rows, and the tables that drawings and crops are made of: boxes by keys, and where each crop is. `close` lets go of what was kept."""
+
+    rows: DataFrame
+    keys: list[str]
+    vehicles: DataFrame
+    plates: DataFrame
+    crops: DataFrame
+    pictures: DataFrame
+    held: list[DataFrame]
+
+    def close(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -33,6 +50,7 @@ class Engine:
     plates: Callable[[], object]
     reader: Callable[[], object]
     decode: Callable[[bytes], object] = media.netpbm
+    encode: Callable[[object], bytes] = media.to_netpbm
     config: Config = field(default_factory=Config)
     name: str = "engine"
 
@@ -78,12 +96,19 @@ class Engine:
         b = F.col("_p.box")
         q = scores.crop_quality(F.col("_p.confidence"), g.width(b), g.height(b), F.col("_p.sharpness_raw"), F.col("_p.dark_ratio"), F.col("_p.bright_ratio"), self.config.video_quality)
         return flat.select(
-            *keys, (F.col("det_index") * 1000 + F.col("_k")).alias("candidate_index"), "track_id", F.col("det_index").alias("vehicle_index"), b.alias("plate"), "vehicle",
+            *keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("det_index", "_k")) - 1).alias("candidate_index"), "track_id", F.col("det_index").alias("vehicle_index"), b.alias("plate"), "vehicle",
             F.col("_p.confidence").alias("plate_confidence"), F.col("conf").alias("vehicle_confidence"), F.col("_p.clamped").alias("coordinate_clamped"), F.col("_p.class_name").alias("layout"), q.alias("quality"),
         )
 
     def images(self, folder: str) -> DataFrame:
         """One row per vehicle of the images below ``folder``: path, vehicle_index, vehicle, plate, evidence, debug."""
+        return self.image_run(folder).rows
+
+    def videos(self, frames: DataFrame, fps: float) -> DataFrame:
+        """One row per track of ``frames`` (source, frame_index, content): source, track_id, vehicle, plate, evidence."""
+        return self.video_run(frames, fps).rows
+
+    def image_run(self, folder: str) -> Run:
         files = media.image_files(self.spark, folder)
         seen = self.scan(files, ["path"], in_parent=False).filter(F.col("conf") >= self.config.detection.image_confidence)
         seen = seen.withColumn("track_id", F.lit(0)).persist()  # two uses; without it the models would run twice
@@ -92,10 +117,13 @@ class Engine:
         chosen = ownership.image_ownership(rows.drop("quality"), "path", "frame_index", self.config.image_ownership).filter("selected")
         regions = chosen.select("path", "vehicle_index", "plate", "layout").join(files, "path")
         read = media.read_crops(regions, self.decode, self.reader, f"{self.name}-reader")
-        return results.finalize_image(vehicles, read.select("path", "vehicle_index", "plate", "layout", "raw_text", "ocr_confidence", "char_confidences"), ["path", "vehicle_index"], self.config.low_confidence)
+        rows = results.finalize_image(vehicles, read.select("path", "vehicle_index", "plate", "layout", "raw_text", "ocr_confidence", "char_confidences"), ["path", "vehicle_index"], self.config.low_confidence)
+        boxes = seen.select("path", F.col("det_index").alias("vehicle_index"), g.box().alias("box"))
+        one = chosen.select("path", "vehicle_index", F.col("plate").alias("box"))
+        crops = chosen.select("path", "plate", sinks.image_crop_path(F.col("vehicle_index")).alias("file"))
+        return Run(rows, ["path", "vehicle_index"], boxes, one, crops, files, [seen])
 
-    def videos(self, frames: DataFrame, fps: float) -> DataFrame:
-        """One row per track of ``frames`` (source, frame_index, content): source, track_id, vehicle, plate, evidence."""
+    def video_run(self, frames: DataFrame, fps: float) -> Run:
         c, keys = self.config, ["source", "frame_index"]
         seen = self.scan(frames, keys, in_parent=True).filter(F.col("conf") >= c.detection.vehicle_confidence).withColumn("i", F.col("det_index")).persist()
         lower = type(c.validation)(**{**c.validation.__dict__, "min_confidence": c.tracking.low})
@@ -114,7 +142,39 @@ class Engine:
         fused = fused.select("key.*", *[x for x in fused.columns if x != "key"])
         pair = ["source", "track_id"]
         counted = decided.groupBy(*pair).agg(F.count("*").alias("n"))
-        return results.finalize_video(history.drop("status"), tracking.class_vote(marked, pair), fused, counted, best, pair, c.low_confidence)
+        rows = results.finalize_video(history.drop("status"), tracking.class_vote(marked, pair), fused, counted, best, pair, c.low_confidence)
+        boxes = marked.select(*pair, "frame_index", g.box().alias("box"), "class_name", F.col("conf").alias("confidence"))
+        one = decided.select(*pair, "frame_index", F.col("plate").alias("box"), F.col("layout").alias("class_name"), F.col("plate_confidence").alias("confidence"), "candidate_index")
+        crops = best.select("source", "frame_index", "plate", sinks.crop_path(F.col("track_id"), F.col("rank"), F.col("frame_index")).alias("file"))
+        return Run(rows, pair, boxes, one, crops, frames, [seen, tracks, read])
+
+    def save_annotated(self, run: Run, folder: str, fps: float | None = None, release: bool = False, debug: bool = False, suffix: str = ".ppm") -> DataFrame:
+        """SC14, SC15: the pictures with boxes and labels below ``folder``; returns the files (images: path; videos: source, path, frames).
+
+        A release image shows only what a customer may see. A video's frames are
+        read a second time, all of them, and keep their order.
+        """
+        if fps is None:
+            shown = results.eligible(run.rows, self.config.low_confidence) if release else run.rows
+            label = F.coalesce(plate_text.license_text(F.col("plate")), F.lit("")) if release else plate_text.image_label(F.col("plate"))
+            marks = run.plates.join(shown.select(*run.keys, label.alias("label")), run.keys).select("path", "box", "label", F.lit("plate").alias("kind"))
+            own = run.vehicles.join(shown.select(*run.keys), run.keys, "left_semi").select("path", "box", F.lit("").alias("label"), F.lit("vehicle").alias("kind"))
+            made = sinks.drawn(run.pictures, marks.unionByName(own), ["path"], self.decode, self.encode)
+            made = made.withColumn("path", F.concat(sinks.stem(F.col("path")), F.lit("_annotated"), F.lit(suffix)))
+            sinks.write_files(made, folder)
+            return made.select("path")
+        marks = sinks.labels(run.vehicles, run.plates, run.rows, run.keys, debug).select("source", "frame_index", "box", "label", "kind")
+        made = sinks.drawn(run.pictures, marks, ["source", "frame_index"], self.decode, self.encode)
+        files = sinks.write_videos(made, F.concat(sinks.stem(F.col("source")), F.lit("_annotated.mp4")), fps, folder, self.decode)
+        return self.spark.createDataFrame(files.collect(), files.schema)  # a row per video; the frames are written once
+
+    def save_crops(self, run: Run, folder: str, suffix: str | None = None) -> None:
+        """SC16: the chosen crops, in a folder `crops`; with ``suffix`` in place of .jpg, where the encoder makes something else."""
+        keys = [k for k in ("path", "source", "frame_index") if k in run.crops.columns]
+        regions = run.crops.join(run.pictures.select(*keys, "content"), keys)
+        name = F.regexp_replace("file", r"\.jpg$", suffix) if suffix else F.col("file")
+        own = sinks.stem(F.col(keys[0]))  # pictures and videos of one run have folders of their own
+        sinks.write_files(sinks.cut_out(regions.select(F.concat_ws("/", F.lit("crops"), own, name).alias("path"), "content", "plate"), self.decode, self.encode), folder)
 
     def observed(self, rows: DataFrame, name: str = "rows"):
         """SU4, SU5: ``rows`` that report, when they are read, how many there are and how many are ok; and the observation."""

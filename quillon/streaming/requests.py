@@ -7,9 +7,9 @@ are no JSON objects, or ask for anything else, become error responses; the other
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.config import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
@@ -54,6 +54,34 @@ def answered(lines: DataFrame, column: str = "value") -> DataFrame:
     return parsed(lines, column).withColumn("response", response(F.col("error_code"), F.col("error_message")))
 
 
+def answer_lines(spark: SparkSession, lines: Iterable[str], process: Callable[[dict], dict], emit: Callable[[str], None]) -> bool:
+    """SS9: answers lines one by one, as they come, until a shutdown request (True) or their end.
+
+    ``process`` takes a request and returns its response; its errors become error responses.
+    """
+    emit('{"event":"starting"}')
+    emit('{"event":"ready"}')
+    for line in lines:
+        for row in answered(spark.createDataFrame([(line,)], "value string")).collect():
+            stop = _answer(row, process, emit)
+            if stop:
+                return True
+    return False
+
+
+def _answer(row, process: Callable[[dict], dict], emit: Callable[[str], None]) -> bool:
+    """Emits the response of one parsed request; whether it asks for shutdown."""
+    if row["response"] is not None:
+        emit(row["response"])
+        return row["error_code"] is None and row["action"] == "shutdown"
+    try:
+        out = process({k: row[k] for k in ("request_id", "input_type", "path")})
+    except Exception as e:
+        out = {"status": "error", "error": {"code": type(e).__name__, "message": str(e)}}
+    emit(json.dumps({"request_id": row["request_id"]} | out, ensure_ascii=False, separators=(",", ":")))
+    return False
+
+
 def serve(lines: DataFrame, process: Callable[[dict], dict], emit: Callable[[str], None], checkpoint: str, order: str = "ordinal", trigger: dict | None = None):
     """SS9: answers a stream of lines in the order of ``order``, batch by batch, until a shutdown request; returns the query.
 
@@ -69,15 +97,7 @@ def serve(lines: DataFrame, process: Callable[[dict], dict], emit: Callable[[str
         for row in answered(df).orderBy(order).toLocalIterator():
             if state["stop"]:
                 return
-            if row["response"] is not None:
-                emit(row["response"])
-                state["stop"] = row["error_code"] is None and row["action"] == "shutdown"
-                continue
-            try:
-                out = process({k: row[k] for k in ("request_id", "input_type", "path")})
-            except Exception as e:
-                out = {"status": "error", "error": {"code": type(e).__name__, "message": str(e)}}
-            emit(json.dumps({"request_id": row["request_id"]} | out, ensure_ascii=False, separators=(",", ":")))
+            state["stop"] = _answer(row, process, emit)
 
     query = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     query.stopped_by_request = lambda: state["stop"]

@@ -68,3 +68,72 @@ def test_command_line_options(capsys):
     assert main(["--input", "x"]) == 2
     assert main(["--input", "x", "--output", "y", "--models", "no_such_module"]) == 1
     assert "no_such_module" in capsys.readouterr().err
+
+
+def video(path, n=6):
+    np.savez(path, frames=np.stack([noise(i) for i in range(n)]), fps=10.0)
+
+
+class Stubs:
+    """A module of models for the command line."""
+
+    vehicles, plates, reader = (staticmethod(lambda device, f=f: f()) for f in (Vehicles, Plates, Reader))
+    decode, encode = staticmethod(media.netpbm), staticmethod(media.to_netpbm)
+
+
+@pytest.fixture
+def stubs(monkeypatch, spark, tmp_path):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "stub_models", Stubs)
+    monkeypatch.chdir(tmp_path)
+    return tmp_path
+
+
+def test_annotated_image_and_crop(engine, spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(media.to_netpbm(noise(1)))
+    run = engine.image_run(str(tmp_path / "in"))
+    engine.save_annotated(run, str(tmp_path / "out"))
+    engine.save_crops(run, str(tmp_path / "out"), ".ppm")
+    run.close()
+    made, plain = media.netpbm((tmp_path / "out/a_annotated.ppm").read_bytes()), noise(1)
+    assert tuple(made[110, 70]) == (0, 200, 0) and tuple(made[60, 70]) == (0, 0, 255)  # the vehicle's lower edge, the plate's upper
+    changed = (made != plain).any(axis=2)
+    assert changed[40:56, 40:110].any() and not changed[65:85, 45:95].any()  # a label above the plate, nothing inside
+    assert (media.netpbm((tmp_path / "out/crops/a/vehicle_0.ppm").read_bytes()) == plain[60:90, 40:100]).all()
+
+
+def test_video_from_the_command_line(stubs, capsys):
+    video(stubs / "clip.npz")
+    assert main(["--input", "clip.npz", "--output", "out", "--models", "stub_models", "--save-topk-crops"]) == 0
+    data = np.load(stubs / "out/clip_annotated.npz")
+    assert len(data["frames"]) == 6 and float(data["fps"]) == 10.0
+    assert all(tuple(f[110, 70]) == (0, 200, 0) for f in data["frames"])
+    crops = sorted(p.relative_to(stubs / "out/crops/clip").as_posix() for p in (stubs / "out/crops/clip").rglob("*.ppm"))
+    assert crops and all(c.startswith("track_1/top") for c in crops)
+    assert "Plates: 1" in capsys.readouterr().out
+
+
+def test_release_names_its_folder(stubs):
+    (stubs / "a.png").write_bytes(media.to_netpbm(noise(1)))
+    assert main(["--input", "a.png", "--models", "stub_models", "--release"]) == 0
+    (folder,) = stubs.glob("a_2*")
+    assert (folder / "a_annotated.ppm").exists() and list((folder / "json").glob("part-*"))
+    assert main(["--input", "a.png", "--models", "stub_models", "--release", "--output", "x"]) == 1
+    assert main(["--input", "a.txt", "--models", "stub_models", "--output", "x"]) == 1
+    assert main(["--models", "stub_models", "--save-annotated"]) == 2
+
+
+def test_requests_from_standard_input(stubs, monkeypatch, capsys):
+    import io
+
+    (stubs / "a.png").write_bytes(media.to_netpbm(noise(1)))
+    lines = [{"id": "1", "action": "ping"}, {"id": "2", "action": "process", "type": "image", "path": "a.png"}, {"id": "3", "action": "process", "type": "image", "path": "none.png"}, {"id": "4", "action": "shutdown"}, {"id": "5", "action": "ping"}]
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join([json.dumps(x) for x in lines[:2]] + ["", "not json"] + [json.dumps(x) for x in lines[2:]])))
+    assert main(["--models", "stub_models"]) == 0
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x.get("event") for x in out[:2]] == ["starting", "ready"]
+    assert [(x.get("request_id", ""), x["status"]) for x in out[2:]] == [("1", "success"), ("2", "success"), ("", "error"), ("", "error"), ("3", "error"), ("4", "success")]
+    assert out[3]["count"] == 1 and out[3]["plates"][0]["plate_text"] == "72A-162.31" and out[3]["output_image"].endswith("a_annotated.ppm")
+    assert out[6]["error"]["code"] == "FileNotFoundError"
