@@ -30,6 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder in whatever store its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df``, computed once into the shared folder; its lineage ends there."""
     shared_folder(df.sparkSession)
