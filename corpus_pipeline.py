@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, mixing, rules, sharding, simhash
-from quillon.llm._common import shared_folder, table
+from quillon.llm._common import remove_folder, shared_folder, table
 
 #: Of the documents' tokens, those that the mix holds, in percent; each document at most once.
 MIXED_PERCENT = 80
@@ -58,12 +58,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between two stages goes to the cluster's shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; what lies between two stages goes to the cluster's shared folder.
+
+    A stage's table goes once the next one's is written; the last of them stays, as
+    the result reads it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove_folder(spark, before)
+            before = f"{folder}/{name}"
     return docs
