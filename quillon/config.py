@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 
 def need(ok: bool, message: str) -> None:
@@ -16,6 +16,20 @@ def _within(config, low: float, high: float, *names: str) -> None:
         need(low <= getattr(config, name) <= high, f"{name} must be in [{low:g}, {high:g}]")
 
 
+def bounded(default, bounds: str):
+    """A field with bounds as mathematics writes them: "(0, 1]" is above 0 and at most 1."""
+    return field(default=default, metadata={"bounds": bounds})
+
+
+def _in_bounds(config) -> None:
+    for f in fields(config):
+        if bounds := f.metadata.get("bounds"):
+            value, (low, high) = getattr(config, f.name), map(float, bounds[1:-1].split(","))
+            above = value > low if bounds[0] == "(" else value >= low
+            below = value < high if bounds[-1] == ")" else value <= high
+            need(above and below, f"{f.name} must be in {bounds}")
+
+
 # Detector classes and file extensions.
 VEHICLE_CLASSES = {2: "car", 3: "motorcycle", 5: "bus", 7: "truck"}
 PLATE_CLASSES = {0: "vuong", 1: "dai"}
@@ -60,26 +74,22 @@ class Validation:
 
 @dataclass(frozen=True)
 class Tracking:
-    low: float = 0.10
-    high: float = 0.50
-    new: float = 0.55
-    max_lost_seconds: float = 0.50
-    first_limit: float = 0.83
-    second_limit: float = 0.65
-    min_iou: float = 0.10
-    max_centre_distance: float = 0.35
-    class_penalty: float = 0.10
-    suppress_iou: float = 0.75
-    duplicate_iou: float = 0.90
-    duplicate_frames: int = 2
+    low: float = bounded(0.10, "[0, 1]")
+    high: float = bounded(0.50, "[0, 1]")
+    new: float = bounded(0.55, "[0, 1]")
+    max_lost_seconds: float = bounded(0.50, "(0, inf]")
+    first_limit: float = bounded(0.83, "(0, 1]")
+    second_limit: float = bounded(0.65, "(0, 1]")
+    min_iou: float = bounded(0.10, "(0, 1]")
+    max_centre_distance: float = bounded(0.35, "(0, inf]")
+    class_penalty: float = bounded(0.10, "[0, 1)")
+    suppress_iou: float = bounded(0.75, "(0, 1]")
+    duplicate_iou: float = bounded(0.90, "(0, 1]")
+    duplicate_frames: int = bounded(2, "[1, inf]")
 
     def __post_init__(self):
-        need(0 <= self.low <= self.high <= self.new <= 1, "confidences must rise: low, high, new")
-        need(self.max_lost_seconds > 0, "max_lost_seconds must be positive")
-        for name in ("first_limit", "second_limit", "min_iou", "suppress_iou", "duplicate_iou"):
-            need(0 < getattr(self, name) <= 1, f"{name} must be in (0, 1]")
-        need(self.max_centre_distance > 0 and 0 <= self.class_penalty < 1, "association limits are out of range")
-        need(self.duplicate_frames >= 1, "duplicate_frames must be positive")
+        _in_bounds(self)
+        need(self.low <= self.high <= self.new, "confidences must rise: low, high, new")
 
     def lost_frames(self, fps: float) -> int:
         """DA3: frames that a track may be missed for; halves round to even."""

@@ -2,7 +2,7 @@
 
 The driver's tables hold no detections; these recipes make them from lineitem and
 events by integer arithmetic, so both engines build the same rows. Each uses the
-whole table, but READINGS, and TEXTS from it, keep the four best readings of a track.
+whole table; READINGS keeps the four best readings of a track, as fusion does.
 """
 
 from __future__ import annotations
@@ -36,23 +36,26 @@ LONE = """with e as (select user_id, event_id, cast(row_number() over (partition
 k as (select *, cast(80 + event_id % 9 + case when event_id % 13 = 0 then 70 else 0 end as double) as x1, cast(60 + event_id % 5 + case when event_id % 17 = 0 then 60 else 0 end as double) as y1, cast(event_id % 3 + case when event_id % 19 = 0 then 80 else 0 end as double) as more from e)
 select user_id as source_id, fi as frame_index, x1, y1, x1 + 40 + more as x2, y1 + 15 as y2, (400 + (event_id*53) % 600) / 1000e0 as pc, (250 + (event_id*13) % 700) / 1000e0 as vc from k"""
 
-READINGS = """with p as (select user_id, event_id, concat(cast(50 + user_id % 10 as varchar(2)), substr('ABCDEFGHKLMNPSTUVXYZ', cast(1 + user_id % 20 as int), 1), lpad(cast((user_id*7919) % 100000 as varchar(5)), 5, '0')) as plate from events),
+EVERY = """with p as (select user_id, event_id, concat(cast(50 + user_id % 10 as varchar(2)), substr('ABCDEFGHKLMNPSTUVXYZ', cast(1 + user_id % 20 as int), 1), lpad(cast((user_id*7919) % 100000 as varchar(5)), 5, '0')) as plate from events),
 r as (select *, cast(row_number() over (partition by user_id order by (event_id*29) % 400 desc, event_id) as int) as rk from p)
 select user_id as track_id, cast(event_id as int) as frame_index, rk as rank,
   case (event_id*31 + user_id) % 8 when 4 then concat(substr(plate,1,5), 'O', substr(plate,7)) when 5 then concat(substr(plate,1,4), substr(plate,6))
     when 6 then concat(substr(plate,1,3), 'X', substr(plate,4)) when 7 then '' else plate end as raw_text,
   (500 + (event_id*17) % 500) / 1000e0 as ocr_confidence, (600 + (event_id*29) % 400) / 1000e0 as quality_score
-from r where rk <= 4"""
+from r"""
+
+#: Of each track the four best readings, which is what fusion gets.
+READINGS = EVERY + " where rk <= 4"
 
 CROPS = """with e as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as fi from events)
 select user_id as track_id, fi as frame_index, 0 as candidate_index, cast(30 + (event_id*7) % 60 as int) as width, cast(18 + (event_id*5) % 40 as int) as height,
   ((event_id*37) % 1000) / 1000e0 as sharpness_score, (400 + (event_id*53) % 600) / 1000e0 as total_score, (250 + (event_id*13) % 700) / 1000e0 as plate_confidence from e"""
 
-#: Plate texts: all of READINGS (the four best of a track, not all events), each of them with a vehicle class, some spoiled in ways that the text rules name.
+#: Plate texts: a reading of every event, each with a vehicle class, some spoiled in ways that the text rules name.
 TEXTS = """select track_id, frame_index, case frame_index % 9 when 0 then concat(' ', lower(raw_text), ' ') when 1 then concat(substr(raw_text,1,3), '-', substr(raw_text,4)) when 2 then replace(raw_text, '0', 'o')
     when 3 then concat(substr(raw_text,1,2), '8', substr(raw_text,4)) when 4 then concat('13', substr(raw_text,3)) when 5 then concat(substr(raw_text,1,3), '7', substr(raw_text,4))
     when 6 then replace(replace(raw_text, '1', 'I'), '5', 'S') when 7 then concat(substr(raw_text,1,6), '?', substr(raw_text,8)) else raw_text end as raw_text,
-  case track_id % 4 when 0 then 'car' when 1 then 'motorcycle' when 2 then 'truck' else 'person' end as class_name, ocr_confidence as confidence from readings"""
+  case track_id % 4 when 0 then 'car' when 1 then 'motorcycle' when 2 then 'truck' else 'person' end as class_name, ocr_confidence as confidence from every"""
 
 #: Plate candidates of a frame: a part of each box of lineitem, owned by its line.
 CANDIDATES = """select frame_id, i as candidate_index, cast(i % 3 as int) as track_id, cast(i % 3 as int) as vehicle_index, x1 as vx1, y1 as vy1, x2 as vx2, y2 as vy2,
@@ -60,6 +63,16 @@ CANDIDATES = """select frame_id, i as candidate_index, cast(i % 3 as int) as tra
   cast(conf * 1000 as int) % 17 = 0 as coordinate_clamped from boxes"""
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` for several uses: a checkpoint where the session names a shared folder, which the cleaner removes with it; else in memory."""
+    folder, context = df.sparkSession.conf.get("spark.checkpoint.dir", None), df.sparkSession.sparkContext
+    if not folder:
+        return df.persist()
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BOXES.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
@@ -89,7 +102,7 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TEXTS.replace("from readings", "from {readings}"), readings=readings(spark, sf_dir))
+    return spark.sql(TEXTS.replace("from every", "from {every}"), every=_events(spark, sf_dir, EVERY))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +112,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same as common table expressions for SQL.
-WITH = {"boxes": BOXES, "obs": OBSERVATIONS, "still": STILL, "lone": LONE, "readings": READINGS, "crops": CROPS, "texts": TEXTS, "candidates": CANDIDATES}
+WITH = {"boxes": BOXES, "obs": OBSERVATIONS, "still": STILL, "lone": LONE, "every": EVERY, "readings": READINGS, "crops": CROPS, "texts": TEXTS, "candidates": CANDIDATES}
 
 
 def sql(names: str, body: str) -> str:

@@ -570,14 +570,14 @@ def _texts(spark, sf_dir):
     return results.once(rows, "post", t.postprocess(F.col("raw_text"), F.col("confidence"), t.preferred_family(F.col("class_name"))))
 
 
-@query("select track_id, frame_index, upper(translate(trim(raw_text), ' -.', '')) as normalized, len(list_filter(string_split(upper(translate(trim(raw_text), ' -.', '')), ''), lambda c: c <> '' and not regexp_matches(c, '^[0-9A-Z]$'))) as n_unknown from texts", "readings texts")
+@query("select track_id, frame_index, upper(translate(trim(raw_text), ' -.', '')) as normalized, len(list_filter(string_split(upper(translate(trim(raw_text), ' -.', '')), ''), lambda c: c <> '' and not regexp_matches(c, '^[0-9A-Z]$'))) as n_unknown from texts", "every texts")
 def plate_normalise(spark, sf_dir):
     """[ST4, ST5]"""
     norm = t.normalise(F.col("raw_text"))
     return fx.texts(spark, sf_dir).select("track_id", "frame_index", norm.alias("normalized"), F.size(t.unknown_characters(norm)).cast("bigint").alias("n_unknown"))
 
 
-@query(_TEXT + " select track_id, frame_index, status, corrected, formatted, ffam as family, case when good then cost else 0 end as cost, good as format_valid, reason from o", "readings texts")
+@query(_TEXT + " select track_id, frame_index, status, corrected, formatted, ffam as family, case when good then cost else 0 end as cost, good as format_valid, reason from o", "every texts")
 def plate_format(spark, sf_dir):
     """[ST6, ST7, ST8, ST10, ST11, ST12, DT5, TK6]"""
     return _texts(spark, sf_dir).select("track_id", "frame_index", "post.status", F.col("post.corrected_text").alias("corrected"), F.col("post.formatted_text").alias("formatted"), F.col("post.format_family").alias("family"), F.col("post.correction_count").cast("bigint").alias("cost"), "post.format_valid", F.col("post.format_reason").alias("reason"))
@@ -600,7 +600,7 @@ _REPAIR = f"""with s as (select *, upper(translate(trim(substr(raw_text, 1, 4) |
     case when status = 'corrected' then case when src = 1 then 'low_confidence_extra_character' when changed = 'D' then 'digit_expected' else 'letter_expected' end end as first_change from o"""
 
 
-@query(_REPAIR, "readings texts")
+@query(_REPAIR, "every texts")
 def plate_repair(spark, sf_dir):
     """[ST9, AG23] Texts with one doubtful character too many."""
     rows = fx.texts(spark, sf_dir)
@@ -616,7 +616,7 @@ _SEEN = "(frame_index + track_id) % 5"
 @query(_TEXT + f""", z as (select *, coalesce(class_name in ('car', 'bus', 'truck') and ffam = 'motorbike_common', false) as clash, {_SEEN} as seen from o)
   select track_id, frame_index, case when seen <= 0 then 'no_plate' when raw_text = '' then 'no_ocr' when clash or confidence < 0.5e0 or status = 'low_format_confidence' then 'low_confidence' when status = 'unrecognized_format' then 'unrecognized_format' else 'ok' end as status,
     case when seen <= 0 or raw_text = '' then null when clash then 'vehicle_plate_family_mismatch' when confidence < 0.5e0 then 'weak_ocr_evidence' when status = 'low_format_confidence' then 'too_many_position_corrections' when status = 'unrecognized_format' then 'no_known_format_family' end as status_reason,
-    good and not clash as format_valid, case when not clash then formatted end as formatted from z""", "readings texts")
+    good and not clash as format_valid, case when not clash then formatted end as formatted from z""", "every texts")
 def status_image(spark, sf_dir):
     """[DT1, DT2]"""
     rows = results.once(_texts(spark, sf_dir), "s", results.image_status(F.col("post"), F.col("class_name"), F.expr(_SEEN)))
@@ -626,7 +626,7 @@ def status_image(spark, sf_dir):
 @query(_TEXT + f""", z as (select *, trim(raw_text) = '' as blank, coalesce(ffam <> family, false) as clash, {_SEEN} as seen from o), y as (select *, not blank and not clash and good as valid from z)
   select track_id, frame_index, case when blank then 'no_ocr' when clash then 'vehicle_plate_family_mismatch' else status end as postprocess_status,
     case when seen <= 0 then 'no_plate' when blank then 'no_ocr' when status = 'low_format_confidence' or clash then 'low_confidence' when not valid then 'unrecognized_format' when confidence < 0.6e0 then 'low_confidence' else 'ok' end as status,
-    case when seen <= 0 then null when blank then 'no_ocr_candidates' when clash then 'vehicle_plate_family_mismatch' when not valid then reason when confidence < 0.6e0 then 'weak_ocr_evidence' end as status_reason, case when valid then formatted end as formatted from y""", "readings texts")
+    case when seen <= 0 then null when blank then 'no_ocr_candidates' when clash then 'vehicle_plate_family_mismatch' when not valid then reason when confidence < 0.6e0 then 'weak_ocr_evidence' end as status_reason, case when valid then formatted end as formatted from y""", "every texts")
 def status_video(spark, sf_dir):
     """[DT3, DT4]"""
     rows = results.once(_texts(spark, sf_dir), "a", results.video_post(F.col("post"), F.col("raw_text"), F.col("class_name")))
@@ -650,28 +650,28 @@ _IMAGE_ROWS = _TEXT + """, z as (select *, frame_index % 6 <> 0 as has, coalesce
     case when not has then null when not clash then formatted end as formatted, has and good and not clash as format_valid, case when has then corrected else '' end as corrected, case when has then norm else '' end as norm, case when has then raw_text else '' end as raw, round_even(case when has then confidence else 0 end, 6) as confidence from z)"""
 
 
-@query(_IMAGE_ROWS + " select track_id, vehicle_index, status, formatted, format_valid, corrected as text, confidence, coalesce(nullif(trim(formatted), ''), nullif(trim(corrected), ''), nullif(trim(norm), ''), nullif(trim(raw), ''), 'unreadable') as label from q", "readings texts")
+@query(_IMAGE_ROWS + " select track_id, vehicle_index, status, formatted, format_valid, corrected as text, confidence, coalesce(nullif(trim(formatted), ''), nullif(trim(corrected), ''), nullif(trim(norm), ''), nullif(trim(raw), ''), 'unreadable') as label from q", "every texts")
 def image_rows(spark, sf_dir):
     """[JN13, PR17, PR18, PR22, MA13]"""
     rows = _image_rows(spark, sf_dir)
     return rows.select("track_id", "vehicle_index", "plate.status", "plate.formatted", "plate.format_valid", "plate.text", "plate.confidence", t.image_label(F.col("plate")).alias("label"))
 
 
-@query(_IMAGE_ROWS + " select track_id, vehicle_index, class_name as vehicle_type, coalesce(nullif(formatted, ''), nullif(corrected, ''), nullif(norm, ''), raw) as license, confidence from q where status = 'ok' and format_valid and confidence >= 0.7e0", "readings texts")
+@query(_IMAGE_ROWS + " select track_id, vehicle_index, class_name as vehicle_type, coalesce(nullif(formatted, ''), nullif(corrected, ''), nullif(norm, ''), raw) as license, confidence from q where status = 'ok' and format_valid and confidence >= 0.7e0", "every texts")
 def customer_rows(spark, sf_dir):
     """[FI11, PR19, PR21, ST14]"""
     out = results.customer(_image_rows(spark, sf_dir).withColumn("key", F.struct("track_id", "vehicle_index")), "key", 0.7)
     return out.select("key.*", "vehicle_type", "license", "confidence")
 
 
-@query(_IMAGE_ROWS + " select track_id, count(*) as vehicles, count(*) filter (has) as with_plate, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'low_confidence') as low_confidence, count(*) filter (status = 'unrecognized_format') as unrecognized_format, count(*) filter (status = 'no_ocr') as no_ocr, count(*) filter (status = 'no_plate') as no_plate from q group by track_id", "readings texts")
+@query(_IMAGE_ROWS + " select track_id, count(*) as vehicles, count(*) filter (has) as with_plate, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'low_confidence') as low_confidence, count(*) filter (status = 'unrecognized_format') as unrecognized_format, count(*) filter (status = 'no_ocr') as no_ocr, count(*) filter (status = 'no_plate') as no_plate from q group by track_id", "every texts")
 def summary_counts(spark, sf_dir):
     """[AG19]"""
     return results.summary(_image_rows(spark, sf_dir), ["track_id"])
 
 
 @query(_IMAGE_ROWS + """, e as (select * from q where status = 'ok' and format_valid and confidence >= 0.5e0)
-  select track_id, count(vehicle_index) as count, coalesce(string_agg(coalesce(nullif(formatted, ''), corrected), ',' order by vehicle_index), '') as texts, round(coalesce(max(confidence), 0), 6) as best from (select distinct track_id from q) left join e using (track_id) group by track_id""", "readings texts")
+  select track_id, count(vehicle_index) as count, coalesce(string_agg(coalesce(nullif(formatted, ''), corrected), ',' order by vehicle_index), '') as texts, round(coalesce(max(confidence), 0), 6) as best from (select distinct track_id from q) left join e using (track_id) group by track_id""", "every texts")
 def response_json(spark, sf_dir):
     """[PR20, SC10, SC13] Responses, read back from their JSON text."""
     rows = _image_rows(spark, sf_dir)
@@ -685,7 +685,7 @@ def response_json(spark, sf_dir):
 
 def _video_rows(spark, sf_dir) -> DataFrame:
     """The whole video path over the observations, readings and crops: the flagship. Each track has its source's readings and crops."""
-    seen = tracking.tracked(fx.observations(spark, sf_dir)).persist()  # five uses; the tracker is Python
+    seen = fx.kept(tracking.tracked(fx.observations(spark, sf_dir)))  # five uses; the tracker is Python
     pair = ["source_id", "track_id"]
     tracks = tracking.histories(seen).drop("status")
     named = _named(fx.observations(spark, sf_dir)).join(tracking.observations(seen).select("source_id", "frame_index", "det_index", "track_id"), ["source_id", "frame_index", "det_index"])

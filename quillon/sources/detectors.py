@@ -12,12 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from quillon.config import VEHICLE_CLASSES, Detection, need
+from quillon.config import PLATE_CLASSES, VEHICLE_CLASSES, Detection, need
 from quillon.sources.media import output_format
 
-#: Grey of the letterbox's border, and classes of the plate model; fixed values.
+#: Grey of the letterbox's border; a fixed value.
 BORDER = 114
-PLATE_CLASSES = {0: "vuong", 1: "dai"}
 
 
 @dataclass(frozen=True)
