@@ -515,6 +515,25 @@ def fused_text(spark, sf_dir):
     return out.select("track_id", "raw_text", "method", F.size("columns").alias("n_columns"), F.array_join("supporting_frames", ",").alias("frames"))
 
 
+_VOTED = f"with recursive readings as ({fx.VOTED}), " + _FUSED.removeprefix("with ") + """,
+  mx as (select track_id, raw_text, max(ocr_confidence) as mo, max(quality_score) as mq, min(frame_index) as ff, sum(weight) as vote from w group by track_id, raw_text),
+  mc as (select mx.track_id, mx.raw_text, mo, mq, ff, vote, sum(w.weight * levenshtein(mx.raw_text, w.raw_text) / greatest(length(mx.raw_text), length(w.raw_text), 1)) as cost from mx join w using (track_id) group by all),
+  md as (select track_id, raw_text as ref from (select *, row_number() over (partition by track_id order by round(cost, 9), -round(vote, 9), -mo, -mq, ff, raw_text) as k from mc) where k = 1),
+  ch as (select track_id, pos, substr(raw_text, pos, 1) as ch, sum(weight * ((frame_index * 7 + (pos - 1) * 3) % 50 + 50) / 100e0) as weight from (select *, unnest(range(1, 9)) as pos from w) group by all),
+  tp as (select *, max(weight) over (partition by track_id, pos) as best from ch),
+  pk as (select track_id, pos, coalesce(max(ch) filter (ch = substr(ref, pos, 1)), min(ch)) as ch from tp join md using (track_id) where abs(weight - best) <= 1e-12 group by track_id, pos),
+  fu as (select track_id, string_agg(ch, '' order by pos) as fused from pk group by track_id),
+  sf as (select b.track_id, string_agg(w.frame_index, ',' order by w.rank, w.frame_index) as frames from b join w using (track_id) where method = 'sequence_alignment' or w.raw_text = b.raw_text group by b.track_id)
+  select track_id, case when method = 'sequence_alignment' then fused else raw_text end as raw_text, method, case when method = 'sequence_alignment' then 8 else 0 end as n_columns, frames from b join fu using (track_id) join sf using (track_id)"""
+
+
+@query(_VOTED)
+def voted_text(spark, sf_dir):
+    """[ST3, AG13, AG14, MA5] Readings with one wrong character each, fused place by place."""
+    rows = fx.voted(spark, sf_dir).withColumn("char_confidences", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: ((F.col("frame_index") * 7 + p * 3) % 50 + 50) / 100.0))
+    return fusion.fused(rows).select("track_id", "raw_text", "method", F.coalesce(F.size("columns"), F.lit(0)).alias("n_columns"), F.array_join("supporting_frames", ",").alias("frames"))
+
+
 @query(_FUSED + """, f as (select coalesce(method, 'no_valid_ocr') as method, n_valid is not null as has, coalesce((0.5e0*ratio + 0.25e0*mo + 0.25e0*mq) * case when n_valid = 1 then 0.5e0 + 0.5e0/3 else 1 end, 0) as confidence, ratio from u left join b using (track_id) left join s using (track_id))
   select count(*) as tracks, count(*) filter (has) as tracks_with_ocr, count(*) filter (method = 'no_valid_ocr') as no_valid_ocr, count(*) filter (method = 'single_candidate') as single_candidate,
     count(*) filter (method = 'weighted_exact_vote') as weighted_exact_vote, count(*) filter (method = 'sequence_alignment') as sequence_alignment,
