@@ -31,6 +31,12 @@ select user_id as source_id, fi as frame_index, 0 as det_index, cast(2 as int) a
 union all
 select user_id, fi, 1, 2, conf, cast(12 + user_id % 7 as int), 10, cast(52 + user_id % 7 as int), 40 from k where user_id % 3 = 0 and conf >= 0.55e0"""
 
+#: Sources with two vehicles of which the second moves up to the first and stays there.
+MERGING = """with e as (select user_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as fi from events)
+select user_id as source_id, fi as frame_index, 0 as det_index, 2 as class_id, 0.9e0 as conf, cast(10 + user_id % 7 as int) as x1, 10 as y1, cast(50 + user_id % 7 as int) as x2, 40 as y2 from e
+union all
+select user_id, fi, 1, 2, 0.9e0, cast(10 + user_id % 7 + greatest(20 - 6*fi, 2) as int), 10, cast(50 + user_id % 7 + greatest(20 - 6*fi, 2) as int), 40 from e"""
+
 #: One plate a frame in a vehicle's box of 200 x 100, which now and then jumps, grows or leaves the box.
 LONE = """with e as (select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as fi from events),
 k as (select *, cast(80 + event_id % 9 + case when event_id % 13 = 0 then 70 else 0 end as double) as x1, cast(60 + event_id % 5 + case when event_id % 17 = 0 then 60 else 0 end as double) as y1, cast(event_id % 3 + case when event_id % 19 = 0 then 80 else 0 end as double) as more from e)
@@ -93,6 +99,10 @@ def still(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, STILL)
 
 
+def merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, MERGING)
+
+
 def lone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, LONE)
 
@@ -120,7 +130,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same as common table expressions for SQL.
-WITH = {"boxes": BOXES, "obs": OBSERVATIONS, "still": STILL, "lone": LONE, "every": EVERY, "readings": READINGS, "crops": CROPS, "texts": TEXTS, "candidates": CANDIDATES}
+WITH = {"boxes": BOXES, "obs": OBSERVATIONS, "still": STILL, "lone": LONE, "merging": MERGING, "every": EVERY, "readings": READINGS, "crops": CROPS, "texts": TEXTS, "candidates": CANDIDATES}
 
 
 def sql(names: str, body: str) -> str:

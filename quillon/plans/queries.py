@@ -454,11 +454,14 @@ def spaced_topk_total(spark, sf_dir):
     return evidence.spaced(fx.crops(spark, sf_dir), ["track_id"]).groupBy("track_id").agg(F.round(F.sum("total_score"), 6).alias("total"))
 
 
-@query(f"""with e as (select track_id, frame_index as f, struct_pack(total_score, sharpness_score, plate_confidence, frame_index, candidate_index) as r from crops where {_REJECT} is null),
+_CHOICE = f"""with e as (select track_id, frame_index as f, struct_pack(total_score, sharpness_score, plate_confidence, frame_index, candidate_index) as r from crops where {_REJECT} is null),
   s1 as (select track_id, f, [r] as m from e), s2 as (select a.track_id, b.f, list_append(a.m, b.r) as m from s1 a join e b on a.track_id = b.track_id and b.f >= a.f + 5), s3 as (select a.track_id, b.f, list_append(a.m, b.r) as m from s2 a join e b on a.track_id = b.track_id and b.f >= a.f + 5),
   s4 as (select a.track_id, b.f, list_append(a.m, b.r) as m from s3 a join e b on a.track_id = b.track_id and b.f >= a.f + 5),
   o as (select track_id, list_reverse_sort(m) as m from (select * from s1 union all select * from s2 union all select * from s3 union all select * from s4)),
-  z as (select *, row_number() over (partition by track_id order by list_reduce(list_transform(m, lambda x: x.total_score), lambda a, b: a + b) desc, m desc) as k from o),
+  z as (select *, row_number() over (partition by track_id order by list_reduce(list_transform(m, lambda x: x.total_score), lambda a, b: a + b) desc, m desc) as k from o)"""
+
+
+@query(_CHOICE + """,
   u as (select track_id, unnest(m) as x, unnest(range(1, len(m) + 1)) as rank from z where k = 1)
   select track_id, cast(rank as int) as rank, x.frame_index as frame_index, x.candidate_index as candidate_index, 'track_' || track_id || '/top' || rank || '_frame' || lpad(cast(x.frame_index as varchar), 6, '0') || '.jpg' as path from u""", "crops")
 def spaced_topk(spark, sf_dir):
@@ -515,21 +518,23 @@ def fused_text(spark, sf_dir):
     return out.select("track_id", "raw_text", "method", F.size("columns").alias("n_columns"), F.array_join("supporting_frames", ",").alias("frames"))
 
 
+#: A character's own confidence, made from its place.
+_OWN = "((frame_index * 7 + (pos - 1) * 3) % 50 + 50) / 100e0"
 _VOTED = f"with recursive readings as ({fx.VOTED}), " + _FUSED.removeprefix("with ") + """,
   mx as (select track_id, raw_text, max(ocr_confidence) as mo, max(quality_score) as mq, min(frame_index) as ff, sum(weight) as vote from w group by track_id, raw_text),
   mc as (select mx.track_id, mx.raw_text, mo, mq, ff, vote, sum(w.weight * levenshtein(mx.raw_text, w.raw_text) / greatest(length(mx.raw_text), length(w.raw_text), 1)) as cost from mx join w using (track_id) group by all),
   md as (select track_id, raw_text as ref from (select *, row_number() over (partition by track_id order by round(cost, 9), -round(vote, 9), -mo, -mq, ff, raw_text) as k from mc) where k = 1),
-  ch as (select track_id, pos, substr(raw_text, pos, 1) as ch, sum(weight * ((frame_index * 7 + (pos - 1) * 3) % 50 + 50) / 100e0) as weight from (select *, unnest(range(1, 9)) as pos from w) group by all),
+  ch as (select track_id, pos, substr(raw_text, pos, 1) as ch, sum(weight * """ + _OWN + """) as weight from (select *, unnest(range(1, 9)) as pos from w) group by all),
   tp as (select *, max(weight) over (partition by track_id, pos) as best from ch),
   pk as (select track_id, pos, coalesce(max(ch) filter (ch = substr(ref, pos, 1)), min(ch)) as ch from tp join md using (track_id) where abs(weight - best) <= 1e-12 group by track_id, pos),
   fu as (select track_id, string_agg(ch, '' order by pos) as fused from pk group by track_id),
   sf as (select b.track_id, string_agg(w.frame_index, ',' order by w.rank, w.frame_index) as frames from b join w using (track_id) where method = 'sequence_alignment' or w.raw_text = b.raw_text group by b.track_id)
-  select track_id, case when method = 'sequence_alignment' then fused else raw_text end as raw_text, method, case when method = 'sequence_alignment' then 8 else 0 end as n_columns, frames from b join fu using (track_id) join sf using (track_id)"""
+"""
 
 
-@query(_VOTED)
+@query(_VOTED + " select track_id, case when method = 'sequence_alignment' then fused else raw_text end as raw_text, method, case when method = 'sequence_alignment' then 8 else 0 end as n_columns, frames from b join fu using (track_id) join sf using (track_id)")
 def voted_text(spark, sf_dir):
-    """[ST3, AG13, AG14, MA5] Readings with one wrong character each, fused place by place."""
+    """[ST3, AG13, AG14, MA5, TK3] Readings with one wrong character each, fused place by place."""
     rows = fx.voted(spark, sf_dir).withColumn("char_confidences", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: ((F.col("frame_index") * 7 + p * 3) % 50 + 50) / 100.0))
     return fusion.fused(rows).select("track_id", "raw_text", "method", F.coalesce(F.size("columns"), F.lit(0)).alias("n_columns"), F.array_join("supporting_frames", ",").alias("frames"))
 
@@ -702,16 +707,17 @@ def response_json(spark, sf_dir):
     return read.select("track_id", "r.count", F.array_join(F.transform("r.plates", lambda p: p["plate_text"]), ",").alias("texts"), r6(best, "best"))
 
 
-def _video_rows(spark, sf_dir) -> DataFrame:
+def _video_rows(spark, sf_dir, observations=fx.observations, readings=fx.readings) -> DataFrame:
     """The whole video path over the observations, readings and crops: the flagship. Each track has its source's readings and crops."""
-    seen = fx.kept(tracking.tracked(fx.observations(spark, sf_dir)))  # five uses; the tracker is Python
+    found = observations(spark, sf_dir)
+    seen = fx.kept(tracking.tracked(found))  # five uses; the tracker is Python
     pair = ["source_id", "track_id"]
     tracks = tracking.histories(seen).drop("status")
-    named = _named(fx.observations(spark, sf_dir)).join(tracking.observations(seen).select("source_id", "frame_index", "det_index", "track_id"), ["source_id", "frame_index", "det_index"])
+    named = _named(found).join(tracking.observations(seen).select("source_id", "frame_index", "det_index", "track_id"), ["source_id", "frame_index", "det_index"])
     votes = tracking.class_vote(named, pair)
     own = lambda df: df.withColumnRenamed("track_id", "source_id").join(tracks.select(*pair), "source_id")
     key = F.struct(*pair)
-    read = own(fx.readings(spark, sf_dir)).withColumn("key", key).drop(*pair)
+    read = own(readings(spark, sf_dir)).withColumn("key", key).drop(*pair)
     texts = fusion.fused(read, tracks.select(key.alias("key")), "key")
     texts = texts.select("key.*", *[c for c in texts.columns if c != "key"])
     crops = own(fx.crops(spark, sf_dir))
@@ -728,6 +734,45 @@ def fused_plates(spark, sf_dir):
     return rows.select("source_id", "track_id", "vehicle.class_name", "vehicle.observations", "plate.status", "plate.status_reason", "plate.text", "plate.formatted", "plate.confidence", "plate.best_frame", "evidence.fusion_method", "evidence.topk_selected", t.video_label(F.col("plate")).alias("label"))
 
 
+#: Vehicles that stand still: each detection of at least `low` meets the source's track while that lives, which is until it has been missed for more than 5 frames; a surer one begins a track.
+_STILL = """with d as (select *, row_number() over (partition by source_id order by frame_index) as r from still where det_index = 0 and conf >= 0.1e0),
+  w as (select source_id, cast(0 as bigint) as r, -1 as frame_index, 0 as track_id, -1 as seen, 0 as first, 0 as hits, 0 as state from (select distinct source_id from d)
+    union all select d.source_id, d.r, d.frame_index, w.track_id + cast(fresh as int), case when shown then d.frame_index else w.seen end, case when fresh then d.frame_index else w.first end,
+      case when fresh then 1 when alive then w.hits + 1 else w.hits end, case when fresh then 1 when not alive then 0 when d.conf < 0.5e0 then 2 else 3 end + case when alive and d.frame_index - w.seen > 1 then 10 else 0 end
+    from w join (select *, true as one from d) d on d.source_id = w.source_id and d.r = w.r + 1,
+      lateral (select w.track_id > 0 and d.frame_index - w.seen <= 6 as alive), lateral (select not alive and d.conf >= 0.55e0 as fresh), lateral (select alive or fresh as shown)),
+  o as (select source_id, frame_index, track_id, frame_index - first + 1 as age_frames, hits, state >= 10 as reidentified, state from w where r > 0 and state > 0),
+  ends as (select source_id, max(frame_index) as last from still group by source_id),
+  h as (select source_id, track_id, min(frame_index) as first_frame, max(frame_index) as last_frame, max(hits) as hits, any_value(last) as last from o join ends using (source_id) group by source_id, track_id)"""
+
+#: The whole video path where the tracks follow from _STILL, the texts from place-by-place votes.
+_PLATES = f"""with recursive still as ({fx.STILL}), crops as ({fx.CROPS}),
+  trk as (with recursive {_STILL.removeprefix("with ")} select source_id, track_id, hits from h),
+  fus as ({_VOTED.replace(_OWN, "1")}, f as (select b.track_id, case when method = 'sequence_alignment' then fused else raw_text end as raw_text, method, (0.5e0*ratio + 0.25e0*mo + 0.25e0*mq) * case when n_valid = 1 then 0.5e0 + 0.5e0/3 else 1 end as confidence from b join fu using (track_id) join s using (track_id)) select * from f),
+  texts as (select source_id as track_id, 0 as frame_index, coalesce(raw_text, '') as raw_text, 'car' as class_name, coalesce(confidence, 0) as confidence, coalesce(method, 'no_valid_ocr') as method from (select distinct source_id from trk) left join fus on source_id = track_id),
+  post as ({_TEXT} select o.*, texts.method, trim(o.raw_text) = '' as blank, coalesce(ffam <> family, false) as clash from o join texts using (track_id)),
+  top as ({_CHOICE} select track_id, len(m) as topk, m[1].frame_index as best_frame from z where k = 1),
+  q as (select source_id, trk.track_id, 'car' as class_name, hits as observations, post.* exclude (track_id), coalesce(not blank and not clash and good, false) as valid, coalesce(topk, 0) as topk_selected, best_frame from trk join post on source_id = post.track_id left join top on source_id = top.track_id),
+  fin as (select source_id, track_id, class_name, observations, case when blank then 'no_ocr' when status = 'low_format_confidence' or clash then 'low_confidence' when not valid then 'unrecognized_format' when confidence < 0.5e0 then 'low_confidence' else 'ok' end as status,
+    case when blank then 'no_ocr_candidates' when clash then 'vehicle_plate_family_mismatch' when not valid then reason when confidence < 0.5e0 then 'weak_ocr_evidence' end as status_reason,
+    case when not blank then corrected end as text, case when valid then formatted end as formatted, valid, round_even(confidence, 6) as confidence, best_frame, method as fusion_method, topk_selected,
+    coalesce(case when valid then nullif(formatted, '') end, case when not blank then nullif(norm, '') end) as label from q)"""
+
+
+@query(_PLATES + " select source_id, track_id, class_name, observations, status, status_reason, text, formatted, confidence, best_frame, fusion_method, topk_selected, label from fin")
+def still_plates(spark, sf_dir):
+    """[JN14, PR17, PR23, TK4, TK5, FI13, SO2] The whole video path over vehicles that stand still."""
+    rows = _video_rows(spark, sf_dir, fx.still, fx.voted)
+    return rows.select("source_id", "track_id", "vehicle.class_name", "vehicle.observations", "plate.status", "plate.status_reason", "plate.text", "plate.formatted", "plate.confidence", "plate.best_frame", "evidence.fusion_method", "evidence.topk_selected", t.video_label(F.col("plate")).alias("label"))
+
+
+@query(_PLATES + " select source_id, track_id, class_name as vehicle_type, formatted as license, confidence, status from fin where status = 'ok' and valid and length(formatted) > 0 and confidence >= 0.5e0")
+def still_customers(spark, sf_dir):
+    """[FI11, PR19, SC12]"""
+    rows = _video_rows(spark, sf_dir, fx.still, fx.voted).withColumn("key", F.struct("source_id", "track_id"))
+    return results.customer(rows, "key", 0.5, video=True).select("key.*", "vehicle_type", "license", "confidence", "status")
+
+
 @query(None)
 def video_customer_rows(spark, sf_dir):
     """[FI11, PR19, SC12]"""
@@ -756,18 +801,6 @@ def track_counters(spark, sf_dir):
     return tracking.counters(tracking.tracked(fx.observations(spark, sf_dir)), ["source_id"])
 
 
-#: Vehicles that stand still: each detection of at least `low` meets the source's track while that lives, which is until it has been missed for more than 5 frames; a surer one begins a track.
-_STILL = """with d as (select *, row_number() over (partition by source_id order by frame_index) as r from still where det_index = 0 and conf >= 0.1e0),
-  w as (select source_id, cast(0 as bigint) as r, -1 as frame_index, 0 as track_id, -1 as seen, 0 as first, 0 as hits, 0 as state from (select distinct source_id from d)
-    union all select d.source_id, d.r, d.frame_index, w.track_id + cast(fresh as int), case when shown then d.frame_index else w.seen end, case when fresh then d.frame_index else w.first end,
-      case when fresh then 1 when alive then w.hits + 1 else w.hits end, case when fresh then 1 when not alive then 0 when d.conf < 0.5e0 then 2 else 3 end + case when alive and d.frame_index - w.seen > 1 then 10 else 0 end
-    from w join (select *, true as one from d) d on d.source_id = w.source_id and d.r = w.r + 1,
-      lateral (select w.track_id > 0 and d.frame_index - w.seen <= 6 as alive), lateral (select not alive and d.conf >= 0.55e0 as fresh), lateral (select alive or fresh as shown)),
-  o as (select source_id, frame_index, track_id, frame_index - first + 1 as age_frames, hits, state >= 10 as reidentified, state from w where r > 0 and state > 0),
-  ends as (select source_id, max(frame_index) as last from still group by source_id),
-  h as (select source_id, track_id, min(frame_index) as first_frame, max(frame_index) as last_frame, max(hits) as hits, any_value(last) as last from o join ends using (source_id) group by source_id, track_id)"""
-
-
 @query(_STILL + " select source_id, frame_index, 0 as det_index, track_id, age_frames, hits, reidentified from o", "still")
 def still_observations(spark, sf_dir):
     """[SS1, SS4, JN10, JN18, MA10, MA11, FI14] Vehicles that stand still, so that tracks follow from times and confidences alone."""
@@ -789,6 +822,31 @@ def still_counters(spark, sf_dir):
     return tracking.counters(tracking.tracked(fx.still(spark, sf_dir)), ["source_id"])
 
 
+#: Two tracks that coincide from frame 3 on: in frame 4 the younger goes, later boxes of it are hidden by the other track's.
+_MERGING = "n as (select source_id, count(*) as n from merging where det_index = 0 group by source_id)"
+
+
+@query(f"""with {_MERGING} select source_id, 1 as track_id, 0 as first_frame, n - 1 as last_frame, n as hits, 'active' as status, null as removal_reason from n
+  union all select source_id, 2, 0, least(n - 1, 4), least(n, 5), case when n >= 5 then 'removed' else 'active' end, case when n >= 5 then 'duplicate' end from n""", "merging")
+def merging_tracks(spark, sf_dir):
+    """[SS3, JN19, SU8]"""
+    out = tracking.histories(tracking.tracked(fx.merging(spark, sf_dir)))
+    return out.select("source_id", "track_id", "first_frame", F.col("last_frame").cast("bigint").alias("last_frame"), F.col("hits").cast("bigint").alias("hits"), "status", "removal_reason")
+
+
+@query(f"""with {_MERGING} select source_id, cast(2 as bigint) as tracks_created, cast(0 as bigint) as tracks_reactivated, cast(0 as bigint) as tracks_lost, cast(case when n >= 5 then 1 else 0 end as bigint) as tracks_removed,
+  cast(0 as bigint) as second_stage_matches, cast(case when n >= 5 then 1 else 0 end as bigint) as duplicate_tracks_removed, greatest(n - 5, 0) as duplicate_detections_suppressed from n""", "merging")
+def merging_counters(spark, sf_dir):
+    """[AG20, SS3, JN18]"""
+    return tracking.counters(tracking.tracked(fx.merging(spark, sf_dir)), ["source_id"])
+
+
+@query(f"""with {_MERGING} select source_id, 1 as track_id from n union all select source_id, 2 from n where n < 5""", "merging")
+def surviving_tracks(spark, sf_dir):
+    """[FI13]"""
+    return tracking.surviving(tracking.histories(tracking.tracked(fx.merging(spark, sf_dir)))).select("source_id", "track_id")
+
+
 @query(f"""with n as (select source_id, {CLASS_NAME} as class_name, count(*) as n from obs group by all), k as (select *, row_number() over (partition by source_id order by n desc, class_name) as k from n)
   select source_id, max(class_name) filter (k = 1) as class_name, string_agg(class_name || ':' || n, ',' order by class_name) as counts from k group by source_id""", "obs")
 def class_vote(spark, sf_dir):
@@ -894,6 +952,24 @@ def output_paths(spark, sf_dir):
     return rows.select("event_id", folder.alias("folder"), file.alias("file"), media.media_type(F.col("path")).alias("media_type"), sinks.crop_path(F.col("user_id"), F.col("event_id") % 4 + 1, F.col("event_id")).alias("crop"))
 
 
+@query(f"select cast(i as int) as class_id, substr('{t.DIGITS + t.LETTERS}', cast(i + 1 as int), 1) as char from range(36) r(i)")
+def class_map(spark, sf_dir):
+    """[SC9] Characters from a model's metadata."""
+    from quillon.sources import media
+
+    return media.class_table(spark, str(dict(enumerate(t.DIGITS + t.LETTERS))))
+
+
+@query(_PLATES + " select source_id, track_id, status, coalesce(formatted, '') as formatted, confidence, observations from fin")
+def video_json(spark, sf_dir):
+    """[SC11] Rows of the video path, read back from the lines that the sink writes."""
+    from quillon.sources import sinks
+
+    lines = sinks.as_json(_video_rows(spark, sf_dir, fx.still, fx.voted))
+    r = F.from_json("value", "source_id bigint, track_id int, vehicle struct<observations:int>, plate struct<status:string,formatted:string,confidence:double>")
+    return lines.select(r.alias("r")).select("r.source_id", "r.track_id", "r.plate.status", F.coalesce("r.plate.formatted", F.lit("")).alias("formatted"), "r.plate.confidence", "r.vehicle.observations")
+
+
 @query(None)
 def draw_labels(spark, sf_dir):
     """[SC14, SC15, PR23, JN16]"""
