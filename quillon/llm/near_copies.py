@@ -35,7 +35,7 @@ from quillon.llm.covering import RADIUS, masks, signed
 
 WORDS = 5
 #: Fingerprints of a text.
-PRINTS = 6
+PRINTS = 8
 #: Members of a bucket whose pairs are formed, and members of a block beyond that.
 PAIRS, BLOCK = 16, 512
 #: Bits of a set's parity bitmap.
