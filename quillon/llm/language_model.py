@@ -344,23 +344,22 @@ def train(docs: DataFrame, counts: DataFrame, head_size: int = HEAD, steps: int
     once, twice = (sum(r["types"] for r in sizes if r["n_from"] == k) for k in (1, 2))
     discount = once / (once + 2 * twice) if once else 0.5
     total = sum(r["tokens"] for r in sizes)
-    rows = counts.filter(F.col("n") >= least).toPandas()  # at most head_size rows
-    head = Head(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
+    rows = counts.filter(F.col("n") >= least).toArrow()  # at most head_size rows
+    head = Head(rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy())
     del rows
     model = Model(head, min(slots, max(1 << 10, total // TOKENS_A_SLOT)), sum(r["tokens"] for r in tail), sum(r["types"] for r in tail), discount, total)
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("part")), F.lit(PARTS)).alias("part"))
     text = {own: fewer_tasks(text.filter((F.col("part") == 0) == own).select("text"), 8, 1 if own else 2) for own in (True, False)}
     schema = "block int, sums binary"
 
-    def counted(own: bool) -> np.ndarray:
-        out = np.zeros((model.slots, ARITY), np.float32)
+    def count(own: bool) -> None:
         sums = text[own].mapInArrow(_slot_counts(sent), schema)
-        for r in sums.repartition(max(1, min(64, model.slots // BLOCK)), "block").mapInArrow(_summed, schema).collect():  # at most slots / BLOCK rows
-            out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(-1, ARITY)
-        return out
+        found = sums.repartition(max(1, min(64, model.slots // BLOCK)), "block").mapInArrow(_summed, schema).toArrow()  # at most slots / BLOCK rows
+        for block, x in zip(found["block"].to_pylist(), found["sums"]):
+            every[block : block + BLOCK] += np.frombuffer(x.as_buffer(), np.float32).reshape(-1, ARITY)
 
-    sent = context.broadcast(model)
-    every = counted(False)
+    sent, every = context.broadcast(model), np.zeros((model.slots, ARITY), np.float32)
+    count(False)
     if steps:
         model.weights, model.bins = model.ratios(every), bins_of(every)
         learning = context.broadcast(model)
@@ -370,7 +369,7 @@ def train(docs: DataFrame, counts: DataFrame, head_size: int = HEAD, steps: int
             model.scale = np.clip(model.scale + 0.6 * first / (second + 20), 0, 1.5)
         learning.unpersist()
     model.weights = model.bins = None
-    every += counted(True)
+    count(True)
     sent.unpersist()
     model.finish(every)
     return model, least
