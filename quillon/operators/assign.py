@@ -6,18 +6,80 @@ frame's boxes are few; the frames spread over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.functions import geometry as g
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt out by the keys to as many tasks as shuffles have (one a core at least): for groups that are few bytes but much work, which adaptive planning would put together."""
+    """``df`` dealt out by the keys to twice as many tasks as shuffles have (two a core at least).
+
+    For groups that are few bytes but much work, which adaptive planning would put
+    together; a number that differs from that of other shuffles keeps this one.
+    """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def in_order(df: DataFrame, source: str, frame: str, within: str, start: Callable, schema: str) -> DataFrame:
+    """The frames of each source in order, through a state of the source's own: for what is sequential within a source.
+
+    ``start()`` makes a state with .frames(part), which takes the rows of some whole
+    frames and returns a list of rows (dicts), and .end(), which returns the rows
+    that end the source. Sources spread over the cluster and stream through a task
+    in batches, so that neither many small nor one large source is held at once.
+    """
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    kinds = {f.name: {"int": "Int32", "bigint": "Int64", "boolean": "boolean", "double": "float64"}.get(f.dataType.simpleString()) for f in StructType.fromDDL(schema).fields}
+
+    def made(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        for name, kind in kinds.items():
+            out[name] = out[name].astype(kind) if kind else out[name].astype(object).where(out[name].notna(), None)
+        return out
+
+    def run(batches):
+        at, state, held = None, None, None
+
+        def through(pdf: pd.DataFrame) -> list[dict]:
+            nonlocal at, state
+            rows = []
+            codes = pd.factorize(pdf[source], use_na_sentinel=False)[0]
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(pdf)] if len(pdf) else []
+            for a, b in zip(cuts, cuts[1:]):
+                own = pdf[source].iloc[a]
+                own = None if pd.isna(own) else own
+                if state is None or own != at:
+                    rows += finished()
+                    at, state = own, start()
+                rows += [{source: at, **r} for r in state.frames(pdf.iloc[a:b])]
+            return rows
+
+        def finished() -> list[dict]:
+            return [] if state is None else [{source: at, **r} for r in state.end()]
+
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            # the last frame may go on in the next batch
+            last = (pdf[frame] == pdf[frame].iloc[-1]) & ((pdf[source] == pdf[source].iloc[-1]) | (pdf[source].isna() & pd.isna(pdf[source].iloc[-1])))
+            held, rows = pdf[last], through(pdf[~last])
+            if rows:
+                yield made(rows)
+        if held is not None:
+            rows = through(held)
+            yield made(rows + finished())
+
+    return spread(df, source).sortWithinPartitions(source, frame, within).mapInPandas(run, schema)
 
 
 #: More than any real cost.

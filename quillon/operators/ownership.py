@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.config import ImageOwnership, VideoOwnership
 from quillon.functions import geometry as g
 from quillon.functions import scores
-from quillon.operators.assign import match, spread
+from quillon.operators.assign import in_order, match
 
 
 def conflict_edges(df: DataFrame, keys: list[str], index: str, conflict_iou: float, overlap_smaller: float, differ: str | None = None, plate: str = "plate") -> DataFrame:
@@ -199,20 +199,28 @@ def image_ownership(df: DataFrame, source: str = "source_id", frame: str = "fram
     kinds = {n: df.schema[n].dataType.simpleString() for n in (source, frame)}
     slim = df.select(source, frame, "candidate_index", "vehicle_index", *sides, F.col("plate_confidence").alias("_c"), F.col("vehicle_confidence").alias("_v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([frame, "candidate_index"])
-        plate, vehicle = (pdf[[f"_{b}{s}" for s in g.SIDES]].to_numpy(float) for b in "pv")
-        owner, confidence, other = pdf["vehicle_index"].to_numpy(), pdf["_c"].to_numpy(float), pdf["_v"].to_numpy(float)
-        frames = pdf[frame].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(frames[1:] != frames[:-1]) + 1, [len(frames)]])
-        history = History(c)
-        parts = [resolve_frame(plate[i:j], vehicle[i:j], owner[i:j], confidence[i:j], other[i:j], history) for i, j in zip(cuts[:-1], cuts[1:])]
-        out = pdf[[source, frame, "candidate_index"]].copy()
-        for k, name in enumerate(names):
-            out[name] = np.concatenate([p[k] for p in parts])
-        return out
-
-    made = spread(slim, source).groupBy(source).applyInPandas(run, f"{source} {kinds[source]}, {frame} {kinds[frame]}, candidate_index int, " + RESOLVED)
+    class Source:
+        """A source's histories, as `in_order` runs them."""
+
+        def __init__(self):
+            self.history = History(c)
+
+        def frames(self, pdf: pd.DataFrame) -> list[dict]:
+            plate, vehicle = (pdf[[f"_{b}{s}" for s in g.SIDES]].to_numpy(float) for b in "pv")
+            owner, confidence, other = pdf["vehicle_index"].to_numpy(), pdf["_c"].to_numpy(float), pdf["_v"].to_numpy(float)
+            at, index = pdf[frame].to_numpy(), pdf["candidate_index"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]]).tolist()
+            rows = []
+            for i, j in zip(cuts, cuts[1:]):
+                found = resolve_frame(plate[i:j], vehicle[i:j], owner[i:j], confidence[i:j], other[i:j], self.history)
+                for k, values in enumerate(zip(*(x.tolist() for x in found))):
+                    rows.append({frame: int(at[i + k]), "candidate_index": int(index[i + k]), **dict(zip(names, values))})
+            return rows
+
+        def end(self) -> list[dict]:
+            return []
+
+    made = in_order(slim, source, frame, "candidate_index", Source, f"{source} {kinds[source]}, {frame} {kinds[frame]}, candidate_index int, " + RESOLVED)
     made = made.withColumn("conflict_group", F.when(F.col("conflict_group") >= 0, F.col("conflict_group")))
     return df.join(made, [source, frame, "candidate_index"])
 

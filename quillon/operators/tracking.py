@@ -8,6 +8,7 @@ where its state is what `Tracker.save` gives.
 from __future__ import annotations
 
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,20 +16,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.config import Tracking
-from quillon.operators.assign import match, spread
+from quillon.operators.assign import in_order, match
 
 #: Standard deviations as shares of the box's height, for place and velocity; those of the aspect are fixed.
 PLACE, SPEED = 1 / 20, 1 / 160
 MOTION = np.eye(8) + np.eye(8, k=4)
 
 
-def _noise(height: np.ndarray, place: float, aspect: float, speed: float | None = None, aspect_speed: float = 1e-5) -> np.ndarray:
-    """Diagonal covariances, one a row of ``height``."""
-    h = np.maximum(1.0, height)
-    parts = [place * h, place * h, np.full_like(h, aspect), place * h]
+def _diagonal(place: float, aspect: float, speed: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Standard deviations of a box's measures, and of their speeds: what grows with the height, and what does not."""
+    grows, fixed = [place, place, 0, place], [0, 0, aspect, 0]
     if speed is not None:
-        parts += [speed * h, speed * h, np.full_like(h, aspect_speed), speed * h]
-    return np.stack(parts, axis=1)[:, :, None] ** 2 * np.eye(len(parts))
+        grows, fixed = grows + [speed, speed, 0, speed], fixed + [0, 0, 1e-5, 0]
+    return np.array(grows), np.array(fixed)
+
+
+BORN, MOVED, SEEN = _diagonal(2 * PLACE, 1e-2, 10 * SPEED), _diagonal(PLACE, 1e-2, SPEED), _diagonal(PLACE, 1e-1)
+
+
+def _noise(height: np.ndarray, deviations: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Diagonal covariances, one a row of ``height``."""
+    grows, fixed = deviations
+    out = np.zeros((len(height), len(grows), len(grows)))
+    at = np.arange(len(grows))
+    out[:, at, at] = (np.maximum(1.0, height)[:, None] * grows + fixed) ** 2
+    return out
 
 
 def measured(boxes: np.ndarray) -> np.ndarray:
@@ -45,15 +57,15 @@ def boxes_of(mean: np.ndarray) -> np.ndarray:
 
 
 def born(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.hstack([z, np.zeros_like(z)]), _noise(z[:, 3], 2 * PLACE, 1e-2, 10 * SPEED)
+    return np.hstack([z, np.zeros_like(z)]), _noise(z[:, 3], BORN)
 
 
 def predicted(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return mean @ MOTION.T, MOTION @ cov @ MOTION.T + _noise(mean[:, 3], PLACE, 1e-2, SPEED)
+    return mean @ MOTION.T, MOTION @ cov @ MOTION.T + _noise(mean[:, 3], MOVED)
 
 
 def corrected(mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    innovation = cov[:, :4, :4] + _noise(mean[:, 3], PLACE, 1e-1)
+    innovation = cov[:, :4, :4] + _noise(mean[:, 3], SEEN)
     gain = np.linalg.solve(innovation, cov[:, :4, :]).transpose(0, 2, 1)
     new = cov - gain @ cov[:, :4, :]
     return mean + np.einsum("nij,nj->ni", gain, z - mean[:, :4]), (new + new.transpose(0, 2, 1)) / 2
@@ -114,7 +126,7 @@ class Tracker:
             self.mean, self.cov = predicted(still, self.cov)
         high = np.flatnonzero(conf >= c.high)
         low = np.flatnonzero((conf >= c.low) & (conf < c.high))
-        left = np.arange(len(self.ids))
+        left, free = np.arange(len(self.ids)), np.ones(len(self.ids), bool)
         back: set[int] = set()
         for band, limit in ((high, c.first_limit), (low, c.second_limit)):
             found = match(self.costs(left, box[band], kind[band]), limit) if len(left) and len(band) else []
@@ -130,7 +142,8 @@ class Tracker:
                         events.append((int(self.ids[i]), "second_stage"))
                 self.box[t], self.cls[t], self.lost[t], self.seen[t] = box[d], kind[d], False, frame
                 self.hits[t] += 1
-                left = np.setdiff1d(left, t)
+                free[t] = False
+                left = np.flatnonzero(free)
         for i in left.tolist():
             if not self.lost[i]:
                 self.lost[i] = True
@@ -138,7 +151,8 @@ class Tracker:
         gone = left[frame - self.seen[left] > self.patience]
         for i in gone.tolist():
             self._remove(i, "timeout", "removed", events)
-        self._keep(np.setdiff1d(np.arange(len(self.ids)), gone))
+        if len(gone):
+            self._keep(np.delete(np.arange(len(self.ids)), gone))
         for j in high.tolist():  # JN18: in order, since each new track hides later ones
             if j in at or conf[j] < c.new:
                 continue
@@ -192,7 +206,8 @@ class Tracker:
                     self._remove(int(i), "duplicate", "removed_duplicate", events)
                     dead.append(int(self.ids[i]))
         self.streaks = now
-        self._keep(~np.isin(self.ids, dead))
+        if dead:
+            self._keep(~np.isin(self.ids, dead))
         return dead
 
 
@@ -225,6 +240,19 @@ def history_rows(tracker: Tracker) -> list[dict]:
     return [{"kind": "track", "track_id": t, "status": status(t), **h} for t, h in sorted(tracker.history.items())]
 
 
+@dataclass
+class _Source:
+    """A source's tracker, as `in_order` runs it."""
+
+    tracker: Tracker
+
+    def frames(self, pdf: pd.DataFrame) -> list[dict]:
+        return run_frames(self.tracker, pdf)
+
+    def end(self) -> list[dict]:
+        return history_rows(self.tracker)
+
+
 def as_frame(rows: list[dict], extra: dict) -> pd.DataFrame:
     names = [p.split()[0] for p in OUTPUT.split(", ")]
     out = pd.DataFrame(rows, columns=names)
@@ -249,13 +277,7 @@ def tracked(df: DataFrame, fps: float = 10.0, source: str = "source_id", c: Trac
     """
     kind = df.schema[source].dataType.simpleString()
     slim = df.select(source, "frame_index", "det_index", "class_id", "conf", "x1", "y1", "x2", "y2")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = Tracker(fps, c)
-        rows = run_frames(tracker, pdf)
-        return as_frame(rows + history_rows(tracker), {source: pdf[source].iloc[0]})
-
-    return spread(slim, source).groupBy(source).applyInPandas(run, f"{source} {kind}, {OUTPUT}")
+    return in_order(slim, source, "frame_index", "det_index", lambda: _Source(Tracker(fps, c)), f"{source} {kind}, {OUTPUT}")
 
 
 def observations(rows: DataFrame, source: str = "source_id") -> DataFrame:
