@@ -229,20 +229,20 @@ def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: in
     links = links.union(checked(apart(stars, small(components(links))), held))
     found = small(components(links))
     tagged = label(many, "cls", found).withColumnRenamed("of_cls", "label")
-    open_ = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    left = sized(tagged.join(small(open_), "key", "left_semi"))
-    few = left.filter(F.col("n") <= most).groupBy("key").agg(F.collect_list(F.struct("cls", "label", "fp")).alias("m")).select("m", F.explode("m").alias("x"))  # at most `most` members
+    by_label = sized(tagged.groupBy("key", "label").agg(F.max("n").alias("n")))
+    open_ = sized(by_label.groupBy("key").agg(F.max("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi"))
+    left = tagged.filter(F.col("n") <= most).join(small(open_.filter(F.col("n") <= most).select("key")), "key", "left_semi")
+    few = left.groupBy("key").agg(F.collect_list(F.struct("cls", "label", "fp")).alias("m")).select("m", F.explode("m").alias("x"))  # at most `most` members
     near = f"filter(m, y -> y.cls > x.cls and y.label != x.label and bit_count(y.fp ^ x.fp) <= {RADIUS})"
     pairs = few.select("x", F.explode(F.expr(near)).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     pairs = possible(pairs, classes)
     if pairs.limit(1).count():
         more = checked(pairs, shingles(docs, made, pairs.select(F.explode(F.array("a", "b")).alias("cls"))))
         links = links.union(more)
-    large = left.filter(F.col("n") > most)
+    large = open_.filter(F.col("n") > most)
     if large.limit(1).count():
-        lowest = large.groupBy("key").agg(F.min("label").alias("lo"))
-        meet = components(large.select("key", "label").distinct().join(small(lowest), "key").select(F.col("lo").alias("a"), F.col("label").alias("b")))  # of components that share a bucket
-        members = large.select("cls", "label").distinct().join(small(meet.withColumnRenamed("component", "meet")), F.col("label") == F.col("node")).select("meet", "cls", "label")
+        meet = components(by_label.join(small(large.select("key", "lo")), "key").select(F.col("lo").alias("a"), F.col("label").alias("b")))  # components that share a bucket
+        members = tagged.select("cls", "label").distinct().join(small(meet.withColumnRenamed("component", "meet")), F.col("label") == F.col("node")).select("meet", "cls", "label")
         dealt = blocks(saved(members), block).join(shingles(docs, made, members), "cls")
         links = links.union(saved(dealt.groupBy("meet", "i", "j").applyInArrow(_compare, "a bigint, b bigint")))
     return components(links)
