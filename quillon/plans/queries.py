@@ -345,7 +345,7 @@ _LONE = f"""with g as (select *, ((x1 + x2)/2 - 0)/200e0 as cx, ((y1 + y2)/2 - 0
 
 @query(_LONE, "lone")
 def lone_ownership(spark, sf_dir):
-    """[SS6, FI10, AG22, TK4] One vehicle with one plate a frame, so that only its history decides."""
+    """[SS6, FI10, AG22, MA12, TK4] One vehicle with one plate a frame, so that only its history decides."""
     box = lambda *v: F.struct(*[(F.col(x) if isinstance(x, str) else F.lit(x)).cast("double").alias(n) for x, n in zip(v, g.SIDES)])
     rows = fx.lone(spark, sf_dir).select("source_id", "frame_index", F.lit(0).alias("candidate_index"), F.lit(0).alias("vehicle_index"), box("x1", "y1", "x2", "y2").alias("plate"), box(0, 0, 200, 100).alias("vehicle"), F.col("pc").alias("plate_confidence"), F.col("vc").alias("vehicle_confidence"))
     out = ownership.image_ownership(rows)
