@@ -7,6 +7,8 @@ frame's boxes are few; the frames spread over the cluster.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -149,6 +151,86 @@ def match(costs: np.ndarray, limit: float) -> list[tuple[int, int]]:
     return [(int(r), int(c)) for r, c in zip(*solve(wide)) if r < n and c < m and ok[r, c]]
 
 
+#: Columns up to which `cheapest` keeps the best way for every set of taken columns; larger groups go to the solver.
+COLUMNS = 10
+
+
+def cheapest(rows: list, columns: list, values: list[float]) -> tuple[list[int], float, bool] | None:
+    """The edges of one group whose values (costs less what leaving both alone costs) have the least sum, added in order of the rows; the sum; whether another way may have it too.
+
+    For every set of taken columns the least sum so far is kept; adding one value to
+    two sums never turns their order, so the result has the least of all sums as
+    doubles add up. None for groups of more than `COLUMNS` columns.
+    """
+    bit = {c: 1 << k for k, c in enumerate(sorted(set(columns)))}
+    if len(bit) > COLUMNS:
+        return None
+    options: dict = {}
+    for k, r in enumerate(rows):
+        options.setdefault(r, []).append(k)
+    best, tied = {0: (0.0, ())}, False
+    for r in sorted(options):
+        grown: dict = {}
+        for used, (total, taken) in best.items():
+            for k in options[r]:
+                own = bit[columns[k]]
+                if not used & own:
+                    made, old = total + values[k], grown.get(used | own)
+                    tied |= old is not None and made == old[0]
+                    if old is None or made < old[0]:
+                        grown[used | own] = (made, (*taken, k))
+            old = grown.get(used)
+            tied |= old is not None and total == old[0]
+            if old is None or total < old[0]:
+                grown[used] = (total, taken)
+        best = grown
+    total, taken = min(best.values(), key=lambda x: x[0])
+    return list(taken), total, tied or sum(x[0] == total for x in best.values()) > 1
+
+
+def matched(group: np.ndarray, rows: np.ndarray, columns: np.ndarray, prices: np.ndarray, values: np.ndarray, limit: float) -> np.ndarray:
+    """JN7 for many groups: the positions of the matched edges, in order. Edges are those within ``limit``; ``group`` is sorted.
+
+    An edge whose row and column have no other matches. Groups with rivals are
+    settled by `cheapest`, or by the solver where they are large; of several ways
+    with the least sum the solver's stays, if it is one of them.
+    """
+    order = np.lexsort((np.arange(len(group)), prices, columns, rows, group))
+    g_, r_, c_ = group[order], rows[order], columns[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (g_[1:] == g_[:-1]) & (r_[1:] == r_[:-1]) & (c_[1:] == c_[:-1])
+    order = order[~same]  # of equal pairs the cheapest stays
+    g_, r_, c_ = group[order], rows[order], columns[order]
+
+    def rivals(x: np.ndarray) -> np.ndarray:
+        by = np.lexsort((x, g_))
+        new = np.ones(len(by), bool)
+        new[1:] = (g_[by][1:] != g_[by][:-1]) | (x[by][1:] != x[by][:-1])
+        name = np.cumsum(new) - 1
+        out = np.empty(len(by), bool)
+        out[by] = np.bincount(name)[name] > 1 if len(by) else False
+        return out
+
+    open_ = np.unique(g_[rivals(r_) | rivals(c_)])
+    hard = np.isin(g_, open_)
+    out = [order[~hard]]
+    rest = order[hard]
+    cuts = np.flatnonzero(np.diff(group[rest], prepend=-1)).tolist() + [len(rest)] if len(rest) else []
+    row_list, column_list, value_list = rows[rest].tolist(), columns[rest].tolist(), values[rest].tolist()
+    for i, j in zip(cuts, cuts[1:]):
+        found = cheapest(row_list[i:j], column_list[i:j], value_list[i:j])
+        if found is None or found[2]:
+            r, row = np.unique(rows[rest[i:j]], return_inverse=True)
+            c, column = np.unique(columns[rest[i:j]], return_inverse=True)
+            costs, edge = np.full((len(r), len(c)), np.inf), np.zeros((len(r), len(c)), int)
+            costs[row, column], edge[row, column] = prices[rest[i:j]], np.arange(j - i)
+            solved = sorted(int(edge[p]) for p in match(costs, limit))
+            if found is None or reduce(add, (value_list[i + k] for k in solved), 0.0) == found[1]:  # sum() would compensate
+                found = (solved,)
+        out.append(rest[i + np.array(found[0], np.int64)])
+    return np.sort(np.concatenate(out))
+
+
 def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """JN1 to JN4: IoU, distance, class gate and fused cost of all pairs of a group (both have i, class_id, conf and x1..y2)."""
     a = left.select(*keys, F.col("i").alias("a"), F.col("class_id").alias("_ca"), g.box().alias("_a"))
@@ -161,34 +243,20 @@ def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def assigned(edges: DataFrame, keys: list[str], limit: float, a: str = "a", b: str = "b", cost: str = "cost") -> DataFrame:
     """JN7 for each group of an edge table (keys, a, b, cost): the matched edges. Pairs that are not listed cannot match.
 
-    Groups come as arrays, many to an Arrow batch. Where no row or column has two
-    edges, all of them match: an edge within the limit beats leaving both alone.
+    Groups come as arrays, many to an Arrow batch. Sums are of cost - limit - 1e-6,
+    in order of ``a``; of equal sums see `cheapest`.
     """
     slim = edges.select(*keys, a, b, F.col(cost).cast("double").alias(cost)).filter(F.col(cost) <= limit)
     groups = slim.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(a, b, cost))).alias("_e"))
 
-    def chosen(rows: np.ndarray, columns: np.ndarray, prices: np.ndarray) -> list[int]:
-        r, row = np.unique(rows, return_inverse=True)
-        c, column = np.unique(columns, return_inverse=True)
-        if len(r) == len(rows) and len(c) == len(rows):
-            return list(range(len(rows)))
-        costs, edge = np.full((len(r), len(c)), np.inf), np.zeros((len(r), len(c)), int)
-        for k in np.argsort(-prices, kind="stable"):  # of equal pairs the cheapest stays
-            costs[row[k], column[k]], edge[row[k], column[k]] = prices[k], k
-        return [int(edge[p]) for p in match(costs, limit)]
-
     def run(batches):
         for batch in batches:
             listed = batch.column(len(keys))
-            at = listed.offsets.to_numpy()
-            flat = listed.values
-            rows, columns, prices = (np.asarray(flat.field(k)) for k in range(3))
-            picked, owner = [], []
-            for i in range(batch.num_rows):
-                found = chosen(rows[at[i] : at[i + 1]], columns[at[i] : at[i + 1]], prices[at[i] : at[i + 1]])
-                picked += [k + int(at[i]) for k in found]
-                owner += [i] * len(found)
-            take, edge = pa.array(owner, pa.int64()), pa.array(picked, pa.int64())
+            flat = listed.flatten()
+            rows, columns, prices = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+            picked = matched(owner, rows, columns, prices, prices - limit - 1e-6, limit)
+            take, edge = pa.array(owner[picked], pa.int64()), pa.array(picked, pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(len(keys))], *[flat.field(k).take(edge) for k in range(3)]], [*keys, a, b, cost])
 
     return groups.mapInArrow(run, slim.schema)

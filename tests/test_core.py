@@ -378,3 +378,26 @@ def test_marked_and_empty(spark):
     assert got == {0: "matched", 1: "unmatched_low_confidence", 2: "not_eligible"}
     assert assign.assigned(edges.limit(0), ["f"], 0.8).count() == 0
     assert isinstance(tracking.as_frame([], {}), pd.DataFrame)
+
+
+def test_edges_that_rival_match_at_the_least_sum_of_doubles():
+    """Against all ways to match, summed row after row: ways that differ by a rounding count as different, none is worse."""
+    rng = np.random.default_rng(3)
+    owner, rows, columns, prices, least = [], [], [], [], {}
+    for group in range(150):
+        n, m = rng.integers(1, 5, 2)
+        cost = rng.integers(1, 9, (n, m)) / 10  # many sums that differ by rounding only
+        edges = [(i, j) for i in range(n) for j in range(m) if rng.random() < 0.8]
+        owner += [group] * len(edges)
+        rows, columns, prices = rows + [e[0] for e in edges], columns + [e[1] for e in edges], prices + [float(cost[e]) for e in edges]
+        ways = [(0.0, frozenset())]
+        for i in range(n):
+            ways += [(t + (cost[i, j] - 0.83 - 1e-6), used | {j}) for t, used in ways for j in range(m) if (i, j) in edges and j not in used]
+        least[group] = min(t for t, _ in ways)
+    owner, rows, columns, prices = np.array(owner), np.array(rows), np.array(columns), np.array(prices)
+    values = prices - 0.83 - 1e-6
+    got = assign.matched(owner, rows, columns, prices, values, 0.83)
+    for group, total in least.items():
+        own = got[owner[got] == group]
+        assert len(set(rows[own])) == len(own) == len(set(columns[own]))
+        assert np.cumsum(np.append(0.0, values[own][np.argsort(rows[own])]))[-1] == total
