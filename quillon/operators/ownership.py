@@ -8,14 +8,15 @@ are assigned one to one, with a score that may use each vehicle's history.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.config import ImageOwnership, VideoOwnership
 from quillon.functions import geometry as g
 from quillon.functions import scores
-from quillon.operators.assign import in_order, match
+from quillon.operators.assign import matched, spread
 
 
 def conflict_edges(df: DataFrame, keys: list[str], index: str, conflict_iou: float, overlap_smaller: float, differ: str | None = None, plate: str = "plate") -> DataFrame:
@@ -124,23 +125,95 @@ class History:
         self.of = {v: x for v, x in self.of.items() if v in set(vehicles)}
 
 
-def _overlaps(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.maximum(boxes[:, 2:] - boxes[:, :2], 0)
-    area = size[:, 0] * size[:, 1]
-    cut = np.maximum(np.minimum(boxes[:, None, 2:], boxes[None, :, 2:]) - np.maximum(boxes[:, None, :2], boxes[None, :, :2]), 0)
+def _overlaps_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """IoU of boxes, and their common part over the smaller one."""
+    area = lambda x: np.maximum(x[..., 2] - x[..., 0], 0) * np.maximum(x[..., 3] - x[..., 1], 0)
+    cut = np.maximum(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0)
     both = cut[..., 0] * cut[..., 1]
-    union, small = area[:, None] + area[None] - both, np.minimum(area[:, None], area[None])
+    union, small = area(a) + area(b) - both, np.minimum(area(a), area(b))
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0), np.where(small > 0, both / np.where(small > 0, small, 1), 0)
 
 
-def resolve_frame(plate: np.ndarray, vehicle: np.ndarray, owner: np.ndarray, confidence: np.ndarray, vehicle_confidence: np.ndarray, history: History) -> tuple[np.ndarray, ...]:
-    """One frame's candidates, in order: the columns that RESOLVED names (a conflict group is -1 without conflict)."""
-    c = history.c
+def _overlaps(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _overlaps_of(boxes[:, None], boxes[None])
+
+
+def _measured(plate: np.ndarray, vehicle: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Validity, geometry and area relative to the vehicle, and containment of each row."""
     size = vehicle[:, 2:] - vehicle[:, :2]
     middle = (plate[:, :2] + plate[:, 2:]) / 2
     ok = (plate[:, 2:] > plate[:, :2]).all(axis=1) & (size > 0).all(axis=1) & ((middle >= vehicle[:, :2]) & (middle <= vehicle[:, 2:])).all(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         geometry = np.hstack([(middle - vehicle[:, :2]) / size, (plate[:, 2:] - plate[:, :2]) / size])
+        area = geometry[:, 2] * geometry[:, 3]
+    contained = np.zeros(len(plate))
+    cut = np.maximum(np.minimum(plate[:, 2:], vehicle[:, 2:]) - np.maximum(plate[:, :2], vehicle[:, :2]), 0)
+    contained[ok] = ((cut[:, 0] * cut[:, 1])[ok]) / np.prod(plate[ok, 2:] - plate[ok, :2], axis=1)
+    return ok, geometry, area, contained
+
+
+def _score(temporal, tight, contained, confidence, vehicle_confidence, c: ImageOwnership):
+    return c.temporal_weight * temporal + c.tight_weight * tight + c.containment_weight * contained + c.plate_weight * np.clip(confidence, 0, 1) + c.vehicle_weight * np.clip(vehicle_confidence, 0, 1)
+
+
+def _chosen(frame: np.ndarray, owner: np.ndarray, group: np.ndarray, rank: list[np.ndarray], live: np.ndarray, score: np.ndarray, c: ImageOwnership) -> np.ndarray:
+    """The live rows that the assignment of vehicles to groups picks; an edge is the best row of a vehicle and group. ``rank``: further ranks after the score."""
+    order = live[np.lexsort([live, *[-x[live] for x in reversed(rank)], -score[live], group[live], owner[live], frame[live]])]
+    new = np.ones(len(order), bool)
+    new[1:] = (frame[order][1:] != frame[order][:-1]) | (owner[order][1:] != owner[order][:-1]) | (group[order][1:] != group[order][:-1])
+    cost = 1 - score[order]
+    edge = order[new & np.isfinite(cost) & (cost <= c.cost_limit)]
+    return edge[matched(frame[edge], owner[edge], group[edge], 1 - score[edge], 1 - c.cost_limit - score[edge] - 1e-6, c.cost_limit)]
+
+
+def resolve_first(start: np.ndarray, plate: np.ndarray, vehicle: np.ndarray, owner: np.ndarray, confidence: np.ndarray, vehicle_confidence: np.ndarray, c: ImageOwnership) -> tuple[np.ndarray, ...]:
+    """As `resolve_frame`, for the first frames of many sources at once; frame k has the rows from start[k] to start[k + 1], all numbers finite."""
+    n, ok, _, area, contained = len(plate), *_measured(plate, vehicle)
+    frame = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    live = np.flatnonzero(ok)
+    # all pairs of live rows of a frame
+    last = np.cumsum(np.bincount(frame[live], minlength=len(start) - 1))[frame[live]]
+    later = last - np.arange(len(live)) - 1
+    first = np.repeat(np.arange(len(live)), later)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+    first, second = live[first], live[second]
+    iou, part = _overlaps_of(plate[first], plate[second])
+    touch = (iou >= c.conflict_iou) | (part >= c.overlap_smaller)
+    first, second = first[touch], second[touch]
+    group = np.arange(n)
+    while True:  # the smallest member of each component
+        low, now = np.minimum(group[first], group[second]), group.copy()
+        np.minimum.at(now, first, low), np.minimum.at(now, second, low)
+        now = now[now]
+        if (now == group).all():
+            break
+        group = now
+    sizes = np.bincount(group[live], minlength=n)
+    temporal = np.where(ok, c.cold_start, 0.0)
+    largest = np.zeros(n)
+    np.maximum.at(largest, group[live], area[live])
+    tight, score = np.zeros(n), np.zeros(n)
+    tight[live] = np.where(sizes[group[live]] == 1, 1.0, np.clip(area[live] / largest[group[live]], 0, 1))
+    score[live] = _score(temporal[live], tight[live], contained[live], confidence[live], vehicle_confidence[live], c)
+    picked = _chosen(frame, owner, group, [temporal, tight, confidence, vehicle_confidence], live, score, c)
+    chosen, rest = np.zeros(n, bool), ok.copy()
+    chosen[picked], rest[picked] = True, False
+    by = np.lexsort((owner, frame))
+    new = np.ones(n, bool)
+    new[1:] = (frame[by][1:] != frame[by][:-1]) | (owner[by][1:] != owner[by][:-1])
+    own = np.empty(n, np.int64)
+    own[by] = np.cumsum(new) - 1
+    by_group, by_owner = np.full(n, -np.inf), np.full(n, -np.inf)
+    np.maximum.at(by_group, group[rest], score[rest]), np.maximum.at(by_owner, own[rest], score[rest])
+    updated = chosen & (score - np.maximum(by_group[group], by_owner[own]) >= c.update_margin)
+    conflict = np.where(ok & (sizes[group] > 1), group - start[frame], -1)
+    return ok, temporal, np.zeros(n, int), np.zeros(n, bool), tight, contained, score, conflict, chosen, updated
+
+
+def resolve_frame(plate: np.ndarray, vehicle: np.ndarray, owner: np.ndarray, confidence: np.ndarray, vehicle_confidence: np.ndarray, history: History) -> tuple[np.ndarray, ...]:
+    """One frame's candidates, in order: the columns that RESOLVED names (a conflict group is -1 without conflict)."""
+    c = history.c
+    ok, geometry, area, contained = _measured(plate, vehicle)
     n = len(plate)
     temporal, samples, outlier = np.zeros(n), np.zeros(n, int), np.zeros(n, bool)
     for i in np.flatnonzero(ok):
@@ -153,26 +226,12 @@ def resolve_frame(plate: np.ndarray, vehicle: np.ndarray, owner: np.ndarray, con
             if i < j and (iou[i, j] >= c.conflict_iou or part[i, j] >= c.overlap_smaller):
                 a, b = sorted((group[i], group[j]))
                 group[group == b] = a
-    area = geometry[:, 2] * geometry[:, 3]
-    contained = np.zeros(n)
-    cut = np.maximum(np.minimum(plate[:, 2:], vehicle[:, 2:]) - np.maximum(plate[:, :2], vehicle[:, :2]), 0)
-    contained[ok] = ((cut[:, 0] * cut[:, 1])[ok]) / np.prod(plate[ok, 2:] - plate[ok, :2], axis=1)
     tight, score = np.zeros(n), np.zeros(n)
     for i in live:
         own = live[group[live] == group[i]]
         tight[i] = 1.0 if len(own) == 1 else np.clip(area[i] / area[own].max(), 0, 1)
-        score[i] = c.temporal_weight * temporal[i] + c.tight_weight * tight[i] + c.containment_weight * contained[i] + c.plate_weight * np.clip(confidence[i], 0, 1) + c.vehicle_weight * np.clip(vehicle_confidence[i], 0, 1)
-    best: dict[tuple[int, int], int] = {}
-    rank = lambda i: (score[i], temporal[i], tight[i], confidence[i], vehicle_confidence[i], -owner[i])
-    for i in live:
-        edge = (int(owner[i]), int(group[i]))
-        if edge not in best or rank(i) > rank(best[edge]):
-            best[edge] = i
-    vehicles, groups = sorted({v for v, _ in best}), sorted({k for _, k in best})
-    costs = np.full((len(vehicles), len(groups)), np.inf)
-    for (v, k), i in best.items():
-        costs[vehicles.index(v), groups.index(k)] = 1 - score[i]
-    chosen = [best[vehicles[r], groups[k]] for r, k in match(costs, c.cost_limit)] if best else []
+        score[i] = _score(temporal[i], tight[i], contained[i], confidence[i], vehicle_confidence[i], c)
+    chosen = _chosen(np.zeros(n, int), owner, group, [temporal, tight, confidence, vehicle_confidence], live, score, c).tolist()
     updated, margin = np.zeros(n, bool), np.full(n, np.inf)
     for i in chosen:
         rivals = [j for j in live if j not in chosen and (owner[j] == owner[i] or group[j] == group[i])]
@@ -188,41 +247,89 @@ def resolve_frame(plate: np.ndarray, vehicle: np.ndarray, owner: np.ndarray, con
 RESOLVED = "valid boolean, temporal_score double, history_samples int, rejected_by_history boolean, tight_parent double, containment double, owner_score double, conflict_group int, selected boolean, history_updated boolean"
 
 
+#: Rows of a source's only frame up to which it is resolved together with those of other sources.
+FEW = 64
+
+
 def image_ownership(df: DataFrame, source: str = "source_id", frame: str = "frame_index", c: ImageOwnership = ImageOwnership()) -> DataFrame:
     """SS6, JN9, JN20: all frames of a source in order, with its vehicles' histories.
 
     Rows have candidate_index, vehicle_index, plate and vehicle boxes and their
-    confidences. Sources spread over the cluster; a source is sequential by nature.
+    confidences. Sources spread over the cluster and stream through a task in
+    batches; a source is sequential by nature. Sources of a single frame need no
+    history and are resolved together.
     """
-    names = [p.split()[0] for p in RESOLVED.split(", ")]
-    sides = [F.col(f"{b}.{s}").cast("double").alias(f"_{b[0]}{s}") for b in ("plate", "vehicle") for s in g.SIDES]
-    kinds = {n: df.schema[n].dataType.simpleString() for n in (source, frame)}
-    slim = df.select(source, frame, "candidate_index", "vehicle_index", *sides, F.col("plate_confidence").alias("_c"), F.col("vehicle_confidence").alias("_v"))
-
-    class Source:
-        """A source's histories, as `in_order` runs them."""
-
-        def __init__(self):
-            self.history = History(c)
-
-        def frames(self, pdf: pd.DataFrame) -> list[dict]:
-            plate, vehicle = (pdf[[f"_{b}{s}" for s in g.SIDES]].to_numpy(float) for b in "pv")
-            owner, confidence, other = pdf["vehicle_index"].to_numpy(), pdf["_c"].to_numpy(float), pdf["_v"].to_numpy(float)
-            at, index = pdf[frame].to_numpy(), pdf["candidate_index"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]]).tolist()
-            rows = []
-            for i, j in zip(cuts, cuts[1:]):
-                found = resolve_frame(plate[i:j], vehicle[i:j], owner[i:j], confidence[i:j], other[i:j], self.history)
-                for k, values in enumerate(zip(*(x.tolist() for x in found))):
-                    rows.append({frame: int(at[i + k]), "candidate_index": int(index[i + k]), **dict(zip(names, values))})
-            return rows
-
-        def end(self) -> list[dict]:
-            return []
-
-    made = in_order(slim, source, frame, "candidate_index", Source, f"{source} {kinds[source]}, {frame} {kinds[frame]}, candidate_index int, " + RESOLVED)
-    made = made.withColumn("conflict_group", F.when(F.col("conflict_group") >= 0, F.col("conflict_group")))
-    return df.join(made, [source, frame, "candidate_index"])
+    fields = StructType.fromDDL(RESOLVED).fields
+    kinds = {"boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32()}
+    made = [(f.name, kinds[f.dataType.simpleString()]) for f in fields]
+
+    def codes(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+
+    def number(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        return np.asarray(column.cast(pa.float64()).to_pandas(), float)
+
+    def sides(column: pa.ChunkedArray) -> np.ndarray:
+        box = column.combine_chunks()
+        parts = dict(zip((f.name for f in box.type), box.flatten()))
+        return np.column_stack([number(parts[s]) for s in g.SIDES])
+
+    def run(batches):
+        at, history, held = None, None, None
+
+        def through(table: pa.Table, after) -> pa.Table:
+            """The rows of ``table`` (whole frames) resolved; ``after``: the source of the row that follows, if any."""
+            nonlocal at, history
+            own, times = codes(table.column(source)), codes(table.column(frame))
+            n = table.num_rows
+            new_source = np.flatnonzero(np.diff(own, prepend=-1))
+            cuts = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(times, prepend=-1) != 0))
+            ends = np.append(cuts[1:], n)
+            first, last = np.isin(cuts, new_source), np.isin(ends, np.append(new_source, n))
+            # the first source may have begun before, the last one may go on
+            if history is not None and table.column(source)[0].as_py() == at:
+                first[0] = False
+            if after is not None and table.column(source)[n - 1].as_py() == after[0]:
+                last[-1] = False
+            plate, vehicle = sides(table.column("plate")), sides(table.column("vehicle"))
+            owner = table.column("vehicle_index").to_numpy()
+            confidence, other = number(table.column("plate_confidence")), number(table.column("vehicle_confidence"))
+            plain = np.isfinite(plate).all(axis=1) & np.isfinite(vehicle).all(axis=1) & np.isfinite(confidence) & np.isfinite(other)
+            plain &= np.full(n, table.column("vehicle_index").null_count == 0)
+            alone = first & last & (ends - cuts <= FEW) & np.logical_and.reduceat(plain, cuts) & (c.min_samples > 0)
+            out = [np.zeros(n, bool if t == pa.bool_() else float if t == pa.float64() else int) for _, t in made]
+            rows = np.repeat(alone, ends - cuts)
+            if alone.any():
+                start = np.concatenate([[0], np.cumsum((ends - cuts)[alone])])
+                for x, y in zip(out, resolve_first(start, plate[rows], vehicle[rows], owner[rows], confidence[rows], other[rows], c)):
+                    x[rows] = y
+            for k in np.flatnonzero(~alone):
+                i, j = cuts[k], ends[k]
+                if first[k]:
+                    history = History(c)
+                for x, y in zip(out, resolve_frame(plate[i:j], vehicle[i:j], owner[i:j], confidence[i:j], other[i:j], history)):
+                    x[i:j] = y
+            if alone[-1]:
+                history = History(c)
+            at = table.column(source)[n - 1].as_py()
+            for (name, kind), x in zip(made, out):
+                table = table.append_column(name, pa.array(x, kind, mask=x < 0 if name == "conflict_group" else None))
+            return table
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            # the last frame may go on in the next batch
+            own, times = codes(table.column(source)), codes(table.column(frame))
+            cut = table.num_rows - int(np.argmin(np.append(((own == own[-1]) & (times == times[-1]))[::-1], False)))
+            held = table.slice(cut)
+            if cut:
+                yield from through(table.slice(0, cut), (held.column(source)[0].as_py(),)).combine_chunks().to_batches()
+        if held is not None:
+            yield from through(held, None).combine_chunks().to_batches()
+
+    return spread(df, source).sortWithinPartitions(source, frame, "candidate_index").mapInArrow(run, StructType([*df.schema.fields, *fields]))
 
 
 def resolution_stats(resolved: DataFrame, keys: list[str]) -> DataFrame:

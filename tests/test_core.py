@@ -401,3 +401,21 @@ def test_edges_that_rival_match_at_the_least_sum_of_doubles():
         own = got[owner[got] == group]
         assert len(set(rows[own])) == len(own) == len(set(columns[own]))
         assert np.cumsum(np.append(0.0, values[own][np.argsort(rows[own])]))[-1] == total
+
+
+def test_only_frames_of_sources_are_resolved_as_one_at_a_time():
+    """Sources of one frame, resolved together, against one frame at a time."""
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 8, 300)
+    start = np.concatenate([[0], np.cumsum(size)])
+    n = start[-1]
+    corner = rng.integers(0, 40, (n, 2)).astype(float)
+    plate = np.hstack([corner, corner + rng.integers(0, 30, (n, 2))])
+    vehicle = np.hstack([np.zeros((n, 2)), 43.0 + rng.integers(0, 30, (n, 2))])
+    owner, sure, other = rng.integers(0, 3, n), rng.integers(0, 1000, n) / 1000, rng.integers(0, 1000, n) / 1000
+    c = config.ImageOwnership()
+    together = ownership.resolve_first(start, plate, vehicle, owner, sure, other, c)
+    for i, j in zip(start[:-1], start[1:]):
+        alone = ownership.resolve_frame(plate[i:j], vehicle[i:j], owner[i:j], sure[i:j], other[i:j], ownership.History(c))
+        for x, y in zip(together, alone):
+            assert x[i:j].tolist() == y.tolist()
