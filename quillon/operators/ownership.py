@@ -145,7 +145,7 @@ def _measured(plate: np.ndarray, vehicle: np.ndarray) -> tuple[np.ndarray, ...]:
     ok = (plate[:, 2:] > plate[:, :2]).all(axis=1) & (size > 0).all(axis=1) & ((middle >= vehicle[:, :2]) & (middle <= vehicle[:, 2:])).all(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         geometry = np.hstack([(middle - vehicle[:, :2]) / size, (plate[:, 2:] - plate[:, :2]) / size])
-        area = geometry[:, 2] * geometry[:, 3]
+        area = np.prod(plate[:, 2:] - plate[:, :2], axis=1) / np.prod(size, axis=1)  # a ratio of areas, as `relative` has it
     contained = np.zeros(len(plate))
     cut = np.maximum(np.minimum(plate[:, 2:], vehicle[:, 2:]) - np.maximum(plate[:, :2], vehicle[:, :2]), 0)
     contained[ok] = ((cut[:, 0] * cut[:, 1])[ok]) / np.prod(plate[ok, 2:] - plate[ok, :2], axis=1)

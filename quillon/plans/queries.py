@@ -300,7 +300,7 @@ _IMAGE = f"""with p as ({_PLATE}), q as (select *, track_id as v, (x2-x1)*(y2-y1
 def image_owner_scores(spark, sf_dir):
     """[FI7, PR14, AG9, AG24, MA6, WI10]"""
     out = ownership.image_scores(fx.candidates(spark, sf_dir), ["frame_id"])
-    return out.select("frame_id", "candidate_index", "component", "legacy_owner", r6("geometry.area", "area"), r6("containment"), F.round("owner_score", 10).alias("owner_score"))
+    return out.select("frame_id", "candidate_index", "component", "legacy_owner", r6("geometry.area", "area"), r6("containment"), (F.round(F.col("owner_score") * 1e10) / 1e10).alias("owner_score"))
 
 
 @query(_IMAGE + " select frame_id, v as vehicle_index, count(distinct component) as n_groups from w group by frame_id, v having count(distinct component) > 1", "boxes candidates")
@@ -375,7 +375,7 @@ def _cold(spark, sf_dir):
 @query(_COLD + " select frame_id as source_id, i as candidate_index, v as vehicle_index, ok as valid, round(score, 10) as owner_score, grp is not null as in_conflict, chosen as selected, updated as history_updated from fin", "boxes candidates")
 def cold_ownership(spark, sf_dir):
     """[JN7, JN8, JN9, JN20, TK4] Every frame as a source of its own."""
-    return _cold(spark, sf_dir).select("source_id", "candidate_index", "vehicle_index", "valid", F.round("owner_score", 10).alias("owner_score"), F.col("conflict_group").isNotNull().alias("in_conflict"), "selected", "history_updated")
+    return _cold(spark, sf_dir).select("source_id", "candidate_index", "vehicle_index", "valid", (F.round(F.col("owner_score") * 1e10) / 1e10).alias("owner_score"), F.col("conflict_group").isNotNull().alias("in_conflict"), "selected", "history_updated")
 
 
 @query(_COLD + """ select frame_id as source_id, count(*) as raw_candidates, count(*) filter (not ok) as invalid_candidates, count(distinct grp) as conflict_groups, count(*) filter (ok and not chosen) as removed_conflict_candidates,

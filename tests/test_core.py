@@ -404,7 +404,7 @@ def test_edges_that_rival_match_at_the_least_sum_of_doubles():
 
 
 def test_only_frames_of_sources_are_resolved_as_one_at_a_time():
-    """Sources of one frame, resolved together, against one frame at a time."""
+    """Sources of one frame, resolved together, against one frame at a time; an area is a ratio of areas."""
     rng = np.random.default_rng(5)
     size = rng.integers(1, 8, 300)
     start = np.concatenate([[0], np.cumsum(size)])
@@ -419,3 +419,6 @@ def test_only_frames_of_sources_are_resolved_as_one_at_a_time():
         alone = ownership.resolve_frame(plate[i:j], vehicle[i:j], owner[i:j], sure[i:j], other[i:j], ownership.History(c))
         for x, y in zip(together, alone):
             assert x[i:j].tolist() == y.tolist()
+    plate, vehicle = np.array([[20.0, 25, 53, 42], [20, 25, 51, 41]]), np.array([[0.0, 0, 57, 77], [0, 0, 57, 77]])
+    tight = ownership.resolve_frame(plate, vehicle, np.array([0, 1]), np.array([0.5, 0.5]), np.array([0.5, 0.5]), ownership.History(c))[4]
+    assert tight.tolist() == [1.0, (31 * 16 / (57 * 77)) / (33 * 17 / (57 * 77))]
