@@ -29,26 +29,30 @@ def ranked(df: DataFrame, keys: list[str]) -> DataFrame:
 def spaced(df: DataFrame, keys: list[str], c: Buffer = Buffer()) -> DataFrame:
     """TK1: per track at most top_k eligible crops, frames min_gap apart or more, of the largest total score; with rank.
 
-    Of equal totals the set wins whose ranks, best first, are larger. A track's
-    crops are walked in order with, for each number of crops, the best set so far
-    that may still be extended: the state of a fold, so no Python is needed.
+    A total is the sum of doubles from the best crop down. Of equal totals the set
+    wins whose ranks, best first, are larger. A track's crops are walked in order
+    with, for each number of crops, the sets so far that may still become the best:
+    the state of a fold, so no Python is needed. Sums of doubles may change places
+    when a crop comes between, so all sets within a rounding of the largest total
+    stay; of sets with the same scores the one of the larger ranks.
     """
     eligible = df.filter(rejection(c).isNull())
     rank = F.struct(*RANK)
     row = F.struct("frame_index", "candidate_index", rank.alias("rank"))
     tracks = eligible.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    # A choice: total, ranks (best first), the last frame. For each row and size, the best choice that ends there.
-    choice = "struct<total:double,ranks:array<struct<total_score:double,sharpness_score:double,plate_confidence:double,frame_index:int,candidate_index:int>>>"
+    # A choice: total, scores and ranks (best first). For each row and size, the choices among the rows up to it.
     ranks = "array<struct<total_score:double,sharpness_score:double,plate_confidence:double,frame_index:int,candidate_index:int>>"
-    empty = F.struct(F.lit(0.0).alias("total"), F.array().cast(ranks).alias("ranks")).cast(choice)
-    nothing = F.lit(None).cast(choice)
-    # state: for each row seen, (frame, best choices by size among the rows up to it)
-    cell = f"struct<frame:int,best:array<{choice}>>"
+    choice = f"struct<total:double,scores:array<double>,ranks:{ranks}>"
+    empty = F.array(F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("scores"), F.array().cast(ranks).alias("ranks")).cast(choice))
+    nothing = F.array().cast(f"array<{choice}>")
+    cell = f"struct<frame:int,best:array<array<{choice}>>>"
     start = F.array(F.struct(F.lit(None).cast("int").alias("frame"), F.array(empty, *[nothing] * c.top_k).alias("best")).cast(cell))
 
-    def better(a: Column, b: Column) -> Column:
-        bigger = (b["total"] > a["total"]) | ((b["total"] == a["total"]) & _after(b["ranks"], a["ranks"]))
-        return F.when(a.isNull(), b).when(b.isNull(), a).when(bigger, b).otherwise(a)
+    def best_of(sets: Column) -> Column:
+        top = F.array_max(F.transform(sets, lambda x: x["total"]))
+        near = F.filter(sets, lambda x: x["total"] >= top - 1e-9 * F.greatest(F.lit(1.0), F.abs(top)))
+        alone = F.filter(near, lambda x: ~F.exists(near, lambda y: (y["scores"] == x["scores"]) & _after(y["ranks"], x["ranks"])))
+        return F.when(F.size(sets) < 2, sets).when(F.size(near) < 2, near).otherwise(F.array_distinct(alone))
 
     def add(state: Column, x: Column) -> Column:
         free = F.filter(state, lambda s: s["frame"].isNull() | (s["frame"] <= x["frame_index"] - c.min_gap))
@@ -58,13 +62,17 @@ def spaced(df: DataFrame, keys: list[str], c: Buffer = Buffer()) -> DataFrame:
         def grown(p: Column) -> Column:
             made = F.reverse(F.array_sort(F.concat(p["ranks"], F.array(x["rank"].cast(ranks[6:-1])))))
             total = F.aggregate(made, F.lit(0.0), lambda t, r: t + r["total_score"])
-            return F.when(p.isNotNull(), F.struct(total.alias("total"), made.alias("ranks")).cast(choice))
+            return F.struct(total.alias("total"), F.transform(made, lambda r: r["total_score"]).alias("scores"), made.alias("ranks")).cast(choice)
 
-        best = F.concat(F.array(empty), F.transform(F.sequence(F.lit(1), F.lit(c.top_k)), lambda k: better(F.get(skip, k), grown(F.get(prior, k - 1)))))
+        best = F.concat(F.array(empty), F.transform(F.sequence(F.lit(1), F.lit(c.top_k)), lambda k: best_of(F.concat(F.get(skip, k), F.transform(F.get(prior, k - 1), grown)))))
         return F.concat(state, F.array(F.struct(x["frame_index"].alias("frame"), best.alias("best")).cast(cell)))
 
-    final = F.element_at(F.aggregate("_rows", start, add), -1)["best"]
-    tracks = tracks.withColumn("_best", F.aggregate(final, nothing, better)["ranks"])
+    def better(a: Column, b: Column) -> Column:
+        bigger = (b["total"] > a["total"]) | ((b["total"] == a["total"]) & _after(b["ranks"], a["ranks"]))
+        return F.when(a.isNull() | bigger, b).otherwise(a)
+
+    final = F.flatten(F.element_at(F.aggregate("_rows", start, add), -1)["best"])
+    tracks = tracks.withColumn("_best", F.aggregate(final, F.lit(None).cast(choice), better)["ranks"])
     chosen = tracks.select(*keys, F.posexplode("_best").alias("_pos", "_rank")).select(*keys, (F.col("_pos") + 1).alias("rank"), "_rank.frame_index", "_rank.candidate_index")
     return eligible.join(chosen, [*keys, "frame_index", "candidate_index"])
 

@@ -422,3 +422,21 @@ def test_only_frames_of_sources_are_resolved_as_one_at_a_time():
     plate, vehicle = np.array([[20.0, 25, 53, 42], [20, 25, 51, 41]]), np.array([[0.0, 0, 57, 77], [0, 0, 57, 77]])
     tight = ownership.resolve_frame(plate, vehicle, np.array([0, 1]), np.array([0.5, 0.5]), np.array([0.5, 0.5]), ownership.History(c))[4]
     assert tight.tolist() == [1.0, (31 * 16 / (57 * 77)) / (33 * 17 / (57 * 77))]
+
+
+def test_spaced_crops_have_the_largest_sum_of_doubles(spark):
+    """Against all sets of four crops or fewer, summed from the best down; many totals differ by rounding only."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for track in range(60):
+        at = np.sort(rng.choice(30, rng.integers(6, 13), replace=False))
+        own = [(float(rng.choice([0.61, 0.64, 0.67, 0.7, 0.73, 0.76])), 0.7 + int(rng.integers(3)) / 10, 0.5, int(f), 0) for f in at]
+        rows += [(track, f, k, 60, 40, sharp, total, sure) for total, sharp, sure, f, k in own]
+        sets = [sorted(s, reverse=True) for n in range(1, 5) for s in itertools.combinations(own, n) if all(b[3] - a[3] >= 5 for a, b in zip(s, s[1:]))]
+        top = max(sets, key=lambda s: (np.cumsum([0.0, *(x[0] for x in s)])[-1], s))
+        want[track] = [x[3] for x in top]
+    df = spark.createDataFrame(rows, "track_id int, frame_index int, candidate_index int, width int, height int, sharpness_score double, total_score double, plate_confidence double")
+    got = {}
+    for r in evidence.spaced(df, ["track_id"]).orderBy("track_id", "rank").collect():
+        got.setdefault(r.track_id, []).append(r.frame_index)
+    assert got == want
