@@ -440,3 +440,10 @@ def test_spaced_crops_have_the_largest_sum_of_doubles(spark):
     for r in evidence.spaced(df, ["track_id"]).orderBy("track_id", "rank").collect():
         got.setdefault(r.track_id, []).append(r.frame_index)
     assert got == want
+
+
+def test_crop_paths_keep_all_digits_of_a_frame(spark):
+    from quillon.sources import sinks
+
+    row = spark.range(1).select(*[sinks.crop_path(F.lit(7), F.lit(1), F.lit(f)).alias(str(f)) for f in (42, 999999, 1004300)]).first()
+    assert list(row) == ["track_7/top1_frame000042.jpg", "track_7/top1_frame999999.jpg", "track_7/top1_frame1004300.jpg"]
