@@ -8,11 +8,12 @@ in `RADIUS` bits or fewer. Every such pair shares a bucket of the covering masks
 (see simhash), so no candidate is missed; single words change little between near
 copies, and several fingerprints make up for the noise of one.
 
-Equal sets are one class before any bucket is built. Candidates are checked in
-three steps, each of which leaves out what earlier steps have joined:
+Equal sets are one class before any bucket is built, and equal fingerprints of one
+kind are one member of it, however many classes have them. Candidates are checked
+in three steps, each of which leaves out what earlier steps have joined:
 
-* each class with the smallest of its buckets' smallest classes;
-* all other classes with the smallest of their buckets;
+* each class with the smallest of its fingerprints' and buckets' smallest classes;
+* all other classes with the smallest of theirs;
 * in buckets that still hold several components, classes of different components:
   up to `PAIRS` members as pairs, more by blocks of members, each two of which
   meet in one task unless both are of one component.
@@ -149,18 +150,29 @@ def checked(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return sized(both.filter(9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b"))
 
 
-def buckets(classes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of each bucket's smallest class with its others, and the members (key, n, cls, fp) of buckets of three or more."""
+def buckets(classes: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b), members (key, n, s, fp) of buckets of three classes or more, and their classes (s, fp, cls).
+
+    Equal fingerprints of one kind (s) are one member, which stands for all of its
+    classes and is named after the smallest; those of three classes or more are a
+    bucket too. Pairs are each fingerprint's smallest class with its others, and each
+    bucket's smallest name with its other names.
+    """
     kept = masks(radius)
-    rows = classes.select("cls", F.posexplode("fps").alias("s", "fp"))
+    each = classes.select("cls", F.posexplode("fps").alias("s", "fp"))
+    prints = sized(each.groupBy("s", "fp").agg(F.count("*").alias("c"), F.min("cls").alias("name")))
     keys = F.array(*[F.xxhash64(F.col("s") * len(kept) + t, F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(kept)])
-    rows = rows.select("cls", "fp", F.explode(keys).alias("key"))
-    found = sized(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("fp").alias("differ")).filter("n > 1"))
+    rows = prints.select("s", "fp", "c", "name", F.explode(keys).alias("key"))
+    found = sized(rows.groupBy("key").agg(F.sum("c").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi"), F.bit_xor("fp").alias("differ")).filter("lo != hi"))
     two = found.filter((F.col("n") == 2) & (F.bit_count("differ") <= radius)).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     many = sized(rows.join(small(found.filter("n > 2").select("key", "n", "lo")), "key"))
-    hubs = small(many.filter("cls = lo").select("key", F.col("fp").alias("hub")))
-    stars = many.filter("cls != lo").join(hubs, "key").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius).select(F.col("lo").alias("a"), F.col("cls").alias("b"))
-    return two.union(stars).distinct(), many.select("key", "n", "cls", "fp")
+    hubs = small(many.filter("name = lo").select("key", F.col("fp").alias("hub")))
+    stars = many.filter("name != lo").join(hubs, "key").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius).select(F.col("lo").alias("a"), F.col("name").alias("b"))
+    equal = each.join(small(prints.filter("c > 1").select("s", "fp", "name")), ["s", "fp"]).filter("cls != name").select(F.col("name").alias("a"), F.col("cls").alias("b"))
+    own = prints.filter("c > 2").select(F.xxhash64(F.lit("equal"), "s", "fp").alias("key"), F.col("c").alias("n"), "s", "fp")
+    many = many.select("key", "n", "s", "fp").union(own)
+    held = each.join(small(many.select("s", "fp").distinct()), ["s", "fp"], "left_semi").select("s", "fp", "cls")
+    return two.union(stars).union(equal).distinct(), many, held
 
 
 def spanning(names: np.ndarray, labels: np.ndarray, held: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -220,7 +232,7 @@ def blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
 def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
     """(node, component) of the classes that have a near copy; ``made`` is what `described` gave, saved."""
     classes = sized(made.select("cls", "size", "bits", "fps").dropDuplicates(["cls"]))
-    stars, many = buckets(classes)
+    stars, many, of_prints = buckets(classes)
     stars = possible(stars, classes)
     held = shingles(docs, made, stars.select(F.explode(F.array("a", "b")).alias("cls")))
     links = checked(stars.groupBy("b").agg(F.min("a").alias("a")), held)
@@ -228,10 +240,10 @@ def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: in
     apart = lambda df, found: label(label(df, "a", found), "b", found).filter("of_a != of_b").select("a", "b")
     links = links.union(checked(apart(stars, small(components(links))), held))
     found = small(components(links))
-    tagged = label(many, "cls", found).withColumnRenamed("of_cls", "label")
-    by_label = sized(tagged.groupBy("key", "label").agg(F.max("n").alias("n")))
-    open_ = sized(by_label.groupBy("key").agg(F.max("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi"))
-    left = tagged.filter(F.col("n") <= most).join(small(open_.filter(F.col("n") <= most).select("key")), "key", "left_semi")
+    tagged = sized(label(of_prints, "cls", found).withColumnRenamed("of_cls", "label"))
+    ends = tagged.groupBy("s", "fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    open_ = sized(many.join(small(ends), ["s", "fp"]).groupBy("key").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi"))
+    left = many.filter(F.col("n") <= most).join(small(open_.filter(F.col("n") <= most).select("key")), "key", "left_semi").join(tagged, ["s", "fp"])
     few = left.groupBy("key").agg(F.collect_list(F.struct("cls", "label", "fp")).alias("m")).select("m", F.explode("m").alias("x"))  # at most `most` members
     near = f"filter(m, y -> y.cls > x.cls and y.label != x.label and bit_count(y.fp ^ x.fp) <= {RADIUS})"
     pairs = few.select("x", F.explode(F.expr(near)).alias("y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
@@ -241,7 +253,8 @@ def classes_found(docs: DataFrame, made: DataFrame, most: int = PAIRS, block: in
         links = links.union(more)
     large = open_.filter(F.col("n") > most)
     if large.limit(1).count():
-        meet = components(by_label.join(small(large.select("key", "lo")), "key").select(F.col("lo").alias("a"), F.col("label").alias("b")))  # components that share a bucket
+        shared = many.join(small(large.select("key", "lo")), "key").select("s", "fp", "lo").distinct()
+        meet = components(shared.join(tagged.select("s", "fp", "label").distinct(), ["s", "fp"]).select(F.col("lo").alias("a"), F.col("label").alias("b")))  # components that share a bucket
         members = tagged.select("cls", "label").distinct().join(small(meet.withColumnRenamed("component", "meet")), F.col("label") == F.col("node")).select("meet", "cls", "label")
         dealt = blocks(saved(members), block).join(shingles(docs, made, members), "cls")
         links = links.union(saved(dealt.groupBy("meet", "i", "j").applyInArrow(_compare, "a bigint, b bigint")))

@@ -79,5 +79,42 @@ def test_the_stage_follows_the_similarity_and_not_the_digest(spark):
     assert kept == set(range(0, 40, 2)) | {100, 101}
 
 
+def test_equal_fingerprints_are_one_member_of_a_bucket(spark):
+    """Classes with equal fingerprints don't multiply a bucket's members: their number follows the different fingerprints, 15 keys each."""
+    r, near = random.Random(5), [0, 1, 2]  # three fingerprints within two bits of each other
+    counts = []
+    for n in (30, 60, 120):
+        rows = [(k, 100, [0] * 8, [near[k % 3] + (s << 40) for s in range(8)]) for k in range(1, n + 1)]
+        r.shuffle(rows)
+        classes = spark.createDataFrame(rows, "cls bigint, size int, bits array<bigint>, fps array<bigint>")
+        pairs, members, *rest = near_copies.buckets(classes)
+        keys = members.groupBy("key").count().collect()
+        counts.append(members.count())
+        assert max(k["count"] for k in keys) == 3
+        assert {p.b for p in pairs.collect()} == set(range(2, n + 1))
+        (held,) = rest
+        assert held.count() == 8 * n and {m.n for m in members.collect()} >= {n, n // 3}
+    assert len(set(counts)) == 1 and counts[0] <= 8 * 3 * (15 + 1)
+
+
+def test_copies_of_equal_fingerprints_are_grouped_by_similarity(spark):
+    """The same words in other orders: equal fingerprints, near copies only within an order."""
+    rows = []
+    for order in range(6):
+        w = prose(11, 120).split()
+        random.Random(order).shuffle(w)
+        for k in range(7):
+            rows.append((100 * order + k, " ".join([*w[: 10 + k], w[11 + k], w[10 + k], *w[12 + k :]])))
+    want = collections.defaultdict(set)
+    for (i, _), g in zip(rows, slow_groups([t for _, t in rows])):
+        want[g].add(i)
+    assert len(want) == 6
+    for most, block in ((16, 512), (2, 7)):
+        got = collections.defaultdict(set)
+        for r in near_copies.grouped(documents(spark, rows), most, block).collect():
+            got[r.component].add(r.doc_id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_empty(spark):
     assert near_copies.deduplicated(documents(spark, [(1, "a")]).filter("doc_id = 2")).count() == 0
